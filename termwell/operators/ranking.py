@@ -115,6 +115,11 @@ def rerank_merge(ranked: DataFrame, picks: DataFrame) -> DataFrame:
     )
 
 
+def rounded(score: Column, digits: int = 4) -> Column:
+    """Rounded half up after cutting the noise of floating-point arithmetic."""
+    return F.round(score.cast("decimal(20,10)"), digits).cast("double")
+
+
 def falling_score(position: Column, total: Column) -> Column:
     """From 1 at position 0, falling by 0.9 over the whole list."""
     return F.lit(1.0) - position / total * POSITION_DROP
@@ -126,7 +131,7 @@ def position_score(rows: DataFrame, within: Sequence[str], order: Sequence[str |
     position = F.col("_at") - 1
     return ranked.select(
         *rows.columns, position.alias("position"),
-        F.round(falling_score(position, F.col("_at_total")), 4).alias("final_score"),
+        rounded(falling_score(position, F.col("_at_total"))).alias("final_score"),
     )
 
 
@@ -134,7 +139,7 @@ def hybrid_score(confidence: Column, relevance: Column, position: Column, total:
     """Blend of source confidence, text relevance and list position, within 0 and 1."""
     place = F.when(total > 1, falling_score(position, total)).otherwise(1.0)
     raw = CONFIDENCE_WEIGHT * confidence + TEXT_WEIGHT * relevance + POSITION_WEIGHT * place
-    return F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4)
+    return rounded(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
 
 
 def passes_filters(row: dict[str, Column], year: Column, month: Column, countries: Column,

@@ -179,7 +179,7 @@ def ranked(d: SparkSql) -> str:
 SELECT l_orderkey AS run_id, l_partkey AS ord,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_suppkey) - 1 AS BIGINT) AS position,
   p.name AS name, p.org AS org, p.category AS category, p.region AS region, p.tags AS tags, p.difficulty AS difficulty,
-  round(l_extendedprice / {d.double("110000")}, 4) AS score
+  CAST(round(CAST(l_extendedprice / {d.double("110000")} AS DECIMAL(20, 10)), 4) AS DOUBLE) AS score
 FROM lineitem JOIN ({listing(d)}) AS p ON p.ord = l_partkey"""
 
 

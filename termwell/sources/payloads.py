@@ -21,10 +21,12 @@ def payload_items(payloads: DataFrame) -> DataFrame:
     """Items of the top-level JSON array of each ``(payload_id, raw)``.
 
     The items are split as texts first, so one malformed item does not take the
-    others with it. Anything but an array yields a single null item.
+    others with it. Anything but an array yields a single null item. The text is
+    parsed inside brackets, as the parser ignores whatever follows a complete value.
     """
     body = unfenced(F.col("raw"))
-    parsed = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>"))
+    enclosed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<array<string>>")
+    parsed = F.when(F.startswith(body, F.lit("[")) & (F.size(enclosed) == 1), enclosed[0])
     return payloads.select("payload_id", F.posexplode_outer(parsed).alias("item_no", "item"))
 
 
