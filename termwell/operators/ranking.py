@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from termwell.functions.numbers import rounded
 from termwell.functions.text import fingerprint, is_year_round, text_or_empty
 from termwell.operators.scan import numbered
 from termwell.vocab.listing import DIFFICULTIES
@@ -115,11 +116,6 @@ def rerank_merge(ranked: DataFrame, picks: DataFrame) -> DataFrame:
     )
 
 
-def rounded(score: Column, digits: int = 4) -> Column:
-    """Rounded half up after cutting the noise of floating-point arithmetic."""
-    return F.round(score.cast("decimal(20,10)"), digits).cast("double")
-
-
 def falling_score(position: Column, total: Column) -> Column:
     """From 1 at position 0, falling by 0.9 over the whole list."""
     return F.lit(1.0) - position / total * POSITION_DROP
@@ -187,7 +183,7 @@ def match_reasons(row: dict[str, Column], query: Column, relevance: Column, sort
     def asked_for(values: Column) -> Column:
         return F.exists(values, lambda value: F.contains(asked, value))
 
-    shown = F.format_string("%s", F.round(relevance, 2))
+    shown = rounded(relevance, 2).cast("string")
     reasons = F.array_compact(F.array(
         F.when(
             F.contains(asked, F.lower(row["region"])) | asked_for(F.transform(row["countries"], F.lower)),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termwell.functions.numbers import rounded
 from termwell.operators.joins import lookup_join
 from termwell.operators.querylog import MICROS, ttl_anchors
 from termwell.operators.scan import numbered, previous, running
@@ -138,7 +139,7 @@ def call_costs(calls: DataFrame) -> DataFrame:
 def stage_calls(calls: DataFrame, order: str = "call_id") -> DataFrame:
     """Per-call breakdown as a long table with the number of the call in its stage."""
     costed = call_costs(calls).select(
-        "run_id", "agent", order, "model", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd")
+        "run_id", "agent", order, "model", "input_tokens", "output_tokens", rounded(F.col("cost_usd"), 6).alias("cost_usd")
     )
     return numbered(costed, ["run_id", "agent"], [order], "call_no")
 
@@ -149,7 +150,7 @@ def stage_cost(calls: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("call_count"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        rounded(F.sum("cost_usd"), 6).alias("cost_usd"),
     )
 
 
@@ -157,7 +158,7 @@ def run_cost_total(calls: DataFrame) -> DataFrame:
     """Costs per run and stage with totals per run and over all (null keys)."""
     return call_costs(calls).rollup("run_id", "agent").agg(
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        rounded(F.sum("cost_usd"), 6).alias("cost_usd"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwell.functions.intent import detect_domains
+from termwell.functions.numbers import rounded
 from termwell.functions.patterns import found
 from termwell.vocab.query_rules import DOMAIN_RULES
 from termwell.vocab.runs import STAGES
@@ -158,11 +159,11 @@ def final_quality(rows: DataFrame, plans: DataFrame) -> DataFrame:
     average = F.coalesce("_avg", F.lit(0.0))
     covered = F.size(F.array_intersect("domains", F.coalesce("found_domains", none))) / F.size("domains")
     return plans.join(scores, "run_id", "left").join(flags, "run_id", "left").select(
-        "run_id", n.alias("rows"), F.round(average, 6).alias("avg_score"),
+        "run_id", n.alias("rows"), rounded(average, 6).alias("avg_score"),
         ((n > 0) & (average >= F.col("min_result_quality"))).alias("passed"),
         (F.col("is_cross_domain") & (covered < 0.5)).alias("thin_coverage"),
         (F.length(F.trim(F.coalesce("summary", F.lit("")))) < 30).alias("short_summary"),
-        F.round(average * (0.8 + 0.2 * n / F.greatest(n, F.lit(10))), 6).alias("quality_score"),
+        rounded(average * (0.8 + 0.2 * n / F.greatest(n, F.lit(10))), 6).alias("quality_score"),
     )
 
 

@@ -60,16 +60,15 @@ def presort(spark, sf):
     return K.presort(frame(spark, sf, "listing").select("category", "ord", "score"), ["category"], "score").drop("score")
 
 
-# Conversations choose a new order for the rows of the order of their number.
-_PICKS = "picks AS (SELECT l_orderkey AS query_id, l_linenumber AS pick_no, (l_partkey + l_linenumber) % 14 - 1 AS position FROM lineitem WHERE l_returnflag <> 'N')"
-_LISTS = "lists AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS position, l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-03-01 00:00:00')"
+# Returned lines choose a new order for the offers of their supplier.
+_LISTS = "lists AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS position, l_orderkey, l_linenumber FROM lineitem)"
 
 
 def _lists(spark, sf):
     """Offers per supplier by falling price, as one ranking per supplier."""
     from termwell.operators.scan import numbered
 
-    rows = provided(spark, sf, "lineitem").filter("l_shipdate < TIMESTAMP_NTZ '1996-03-01 00:00:00'").select(
+    rows = provided(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("query_id"), "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"
     )
     order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
@@ -123,11 +122,10 @@ _PASS = """(NOT w_free OR coalesce(cost_usd <= 0, false))
   AND (len(w_countries) = 0 OR list_has_any(list_transform(countries, lambda c: lower(c)), list_transform(w_countries, lambda c: lower(c))))"""
 
 
-@query("post_filter", f"""{EFFECTIVE_SQL}, listing AS ({LISTING.split('AS (', 1)[1][:-1]}), offered AS (SELECT e.query_id, l.*, e.free_only AS w_free, e.month AS w_month, e.year AS w_year, e.countries AS w_countries
-  FROM effective e JOIN listing l ON l.ord % 50 = e.query_id % 50)
+@query("post_filter", f"""{EFFECTIVE_SQL}, {ctes('listing', 'offers')[5:]}, offered AS (SELECT e.query_id, l.*, e.free_only AS w_free, e.month AS w_month, e.year AS w_year, e.countries AS w_countries
+  FROM effective e JOIN offers o USING (query_id) JOIN listing l USING (ord))
 SELECT query_id, ord FROM offered WHERE {_PASS}""")
 def post_filter(spark, sf):
-    """Each request is offered the catalog rows of its number class."""
     offered = search.offered_rows(spark, sf).select("query_id", "ord", "date", "date_sortable", "countries", "cost_usd")
     params = search.request_params(spark, sf)
     keep = K.passes_filters(
@@ -161,11 +159,11 @@ def sort_modes(spark, sf):
 
 _REASONS = """CASE WHEN contains(lower(q), lower(region)) OR len(list_filter(countries, lambda c: contains(lower(q), lower(c)))) > 0 THEN 'Geographic match: ' || region END,
   CASE WHEN contains(lower(q), lower(category)) OR len(list_filter(tags, lambda t: contains(lower(q), t))) > 0 THEN 'Category: ' || category END,
-  CASE WHEN score >= 0.4 THEN 'Strong BM25 corpus match (' || CAST(round(score, 2) AS VARCHAR) || ')' WHEN score >= 0.15 THEN 'Partial corpus match (' || CAST(round(score, 2) AS VARCHAR) || ')' END,
+  CASE WHEN score >= 0.4 THEN 'Strong BM25 corpus match (' || CAST(CAST(round(CAST(score AS DECIMAL(20, 10)), 2) AS DOUBLE) AS VARCHAR) || ')' WHEN score >= 0.15 THEN 'Partial corpus match (' || CAST(CAST(round(CAST(score AS DECIMAL(20, 10)), 2) AS DOUBLE) AS VARCHAR) || ')' END,
   CASE WHEN sort_by = 'deadline' THEN 'Sorted by upcoming deadline' END, CASE WHEN sort_by = 'cost_asc' THEN 'Sorted by cost (lowest first)' END"""
 
 
-@query("match_reasons", f"""{ctes('listing', 'requests')}, offered AS (SELECT r.query_id, r.query AS q, r.sort_by, l.* FROM requests r JOIN listing l ON l.ord % 50 = r.query_id % 50)
+@query("match_reasons", f"""{ctes('listing', 'requests', 'offers')}, offered AS (SELECT r.query_id, r.query AS q, r.sort_by, l.* FROM requests r JOIN offers o USING (query_id) JOIN listing l USING (ord))
 SELECT query_id, ord, coalesce(nullif(concat_ws('; ', {_REASONS}), ''), 'Relevance match for: ' || substr(q, 1, 50)) AS reasons FROM offered""")
 def match_reasons(spark, sf):
     offered = search.offered_rows(spark, sf).join(frame(spark, sf, "requests").select("query_id", "query", "sort_by"), "query_id")
@@ -211,8 +209,8 @@ def enrich_merge(spark, sf):
     return K.enrich_merge(rows, enriched, "ord", ["description"]).select("ord", "description")
 
 
-@query("ui_filter", f"""{ctes('listing', 'requests')}, offered AS (SELECT r.query_id, coalesce(r.region, 'All') AS f_region, coalesce(r.difficulty, 'All') AS f_difficulty,
-  coalesce(CAST(r.year AS STRING), 'Any year') AS f_year, coalesce(r.month, 'Any month') AS f_month, l.* FROM requests r JOIN listing l ON l.ord % 50 = r.query_id % 50)
+@query("ui_filter", f"""{ctes('listing', 'requests', 'offers')}, offered AS (SELECT r.query_id, coalesce(r.region, 'All') AS f_region, coalesce(r.difficulty, 'All') AS f_difficulty,
+  coalesce(CAST(r.year AS STRING), 'Any year') AS f_year, coalesce(r.month, 'Any month') AS f_month, l.* FROM requests r JOIN offers o USING (query_id) JOIN listing l USING (ord))
 SELECT query_id, ord FROM offered WHERE (f_region = 'All' OR region = 'Global' OR region = f_region) AND (f_difficulty = 'All' OR difficulty = f_difficulty)
   AND (f_year = 'Any year' OR regexp_matches(date, 'year.?round', 'i') OR contains(date || ' ' || deadline, f_year))
   AND (f_month = 'Any month' OR regexp_matches(date, 'year.?round', 'i') OR contains(lower(date), lower(substr(f_month, 1, 3))))""")
@@ -227,10 +225,10 @@ def ui_filter(spark, sf):
     return search.offered_rows(spark, sf).join(wanted, "query_id").filter(keep).select("query_id", "ord")
 
 
-_CATALOG = f"""{EFFECTIVE_SQL}, listing AS ({LISTING.split('AS (', 1)[1][:-1]}),
+_CATALOG = f"""{EFFECTIVE_SQL}, {ctes('listing', 'offers')[5:]},
 offered AS (SELECT e.query_id, l.*, e.free_only AS w_free, e.month AS w_month, e.year AS w_year, e.countries AS w_countries, e.sort_by,
   row_number() OVER (PARTITION BY e.query_id ORDER BY l.ord) - 1 AS position, count(*) OVER (PARTITION BY e.query_id) AS n
-  FROM effective e JOIN listing l ON l.ord % 50 = e.query_id % 50),
+  FROM effective e JOIN offers o USING (query_id) JOIN listing l USING (ord)),
 scored AS (SELECT * REPLACE ({_HYBRID} AS score) FROM offered WHERE {_PASS}),
 unique_rows AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, lower(name), lower(org) ORDER BY score DESC, position) = 1),
 sorted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY

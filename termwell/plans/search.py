@@ -10,14 +10,10 @@ from termwell.operators import ranking as K
 from termwell.plans.tables import frame
 from termwell.plans.text_queries import request_row
 
-CLASSES = 50
-
 
 def offered_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Catalog rows fetched for each request: those of its number class."""
-    requests = frame(spark, sf, "requests").select("query_id", (F.col("query_id") % CLASSES).alias("_class"))
-    rows = frame(spark, sf, "listing").withColumn("_class", F.col("ord") % CLASSES)
-    return requests.join(rows, "_class").drop("_class")
+    """Catalog rows fetched for each request."""
+    return frame(spark, sf, "offers").join(frame(spark, sf, "listing"), "ord")
 
 
 def request_params(spark: SparkSession, sf: str) -> DataFrame:

@@ -183,6 +183,13 @@ SELECT l_orderkey AS run_id, l_partkey AS ord,
 FROM lineitem JOIN ({listing(d)}) AS p ON p.ord = l_partkey"""
 
 
+def offers(d: SparkSql) -> str:
+    """Catalog rows fetched per request: the parts of ten orders, some forty."""
+    return f"""
+SELECT DISTINCT query_id, l_partkey AS ord
+FROM lineitem JOIN ({questions(d)}) AS asked ON CAST(floor(l_orderkey / 10) AS BIGINT) = CAST(floor(query_id / 1000) AS BIGINT)"""
+
+
 def runs(d: SparkSql) -> str:
     """Trace runs, with parents and some unfinished."""
     k = "event_id"
@@ -280,7 +287,7 @@ def provided(spark: SparkSession, sf: str, table: str) -> DataFrame:
 DERIVED: dict[str, Callable[[SparkSql], str]] = {
     build.__name__: build
     for build in (
-        listing, guarded_listing, chunks, queries, questions, requests, guard_requests, ranked, runs, calls,
+        listing, guarded_listing, chunks, queries, questions, requests, guard_requests, ranked, offers, runs, calls,
         http_requests, stage_events, sources, query_log, keyed_log, dated,
     )
 }
