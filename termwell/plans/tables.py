@@ -237,9 +237,9 @@ FROM events"""
 
 
 def query_log(d: SparkSql) -> str:
-    """Documents as a query log: one query every half hour, many of them copies."""
+    """Documents as a query log: one query every two minutes, some of them copies."""
     return f"""
-SELECT doc_id AS query_id, {d.plus_seconds(d.ntz("2024-01-01 00:00:00"), "doc_id * 1800")} AS ts, text, lang AS region,
+SELECT doc_id AS query_id, {d.plus_seconds(d.ntz("2024-01-01 00:00:00"), "doc_id * 120")} AS ts, text, lang AS region,
   source AS category
 FROM documents"""
 

@@ -96,7 +96,7 @@ class BreakerProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("breaker", "state string, failures bigint, wins bigint, open_at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows)).sort_values(["t", "call_id"])
         state, failures, wins, open_at = self.state.get() if self.state.exists() else ("closed", 0, 0, 0)
         states = []
@@ -148,7 +148,7 @@ class ExpiryProcessor(StatefulProcessor):
         self.handle = handle
         self.stored = handle.getValueState("stored", "stored_ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = max(int(batch["stored_ms"].max()) for batch in rows)
         known = self.stored.get()[0] if self.stored.exists() else None
         if known is None or newest > known:
@@ -158,8 +158,8 @@ class ExpiryProcessor(StatefulProcessor):
             self.handle.registerTimer(newest + self.ttl_ms)
         yield pd.DataFrame({"key": pd.Series([], dtype=str), "expired_ms": pd.Series([], dtype="int64")})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        at = expired.get_expiry_time_in_ms()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
         self.stored.clear()
         yield pd.DataFrame({"key": [key[0]], "expired_ms": [at]})
 
