@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from termwell.functions.literals import text_array
 from termwell.functions.patterns import any_found, found
 from termwell.functions.text import text_or_empty
 from termwell.vocab import guard_rules as rules
@@ -51,7 +52,11 @@ def excessive_repeat(clean: Column) -> Column:
     middle = F.try_element_at(chars, F.floor(F.size(chars) / 2).cast("int") + 1)
     others = F.length(F.replace(packed, middle, F.lit("")))
     repeated_char = (length > 8) & ((length - others) / length > MAX_CHAR_SHARE)
-    return F.coalesce(repeated_word | F.coalesce(repeated_char, F.lit(False)), F.lit(False))
+    # Over 20 characters such a share puts one character three times in a row
+    # somewhere, so other texts need no sorting.
+    unlikely = (length > 20) & ~packed.rlike(r"(?s)(.)\1\1")
+    too_much = F.when(unlikely, F.lit(False)).otherwise(repeated_char)
+    return F.coalesce(repeated_word, F.lit(False)) | F.coalesce(too_much, F.lit(False))
 
 
 def prompt_injection(clean: Column) -> Column:
@@ -64,7 +69,7 @@ def script_injection(clean: Column) -> Column:
 
 def off_topic(clean: Column) -> Column:
     words = F.regexp_extract_all(F.lower(clean), F.lit("[a-z]+"), F.lit(0))
-    educational = F.arrays_overlap(words, F.array(*[F.lit(word) for word in rules.EDUCATION_WORDS]))
+    educational = F.arrays_overlap(words, text_array(rules.EDUCATION_WORDS))
     return (F.length(F.trim(clean)) > 15) & ~educational & any_found(clean, rules.OFF_TOPIC_PATTERNS)
 
 

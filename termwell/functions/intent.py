@@ -9,29 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termwell.functions.patterns import FLAGS, FLAGS_IGNORE_CASE, first_matching, found, matching
+from termwell.functions.literals import no_texts, sql_text, text_array, text_map
+from termwell.functions.patterns import FLAGS, FLAGS_IGNORE_CASE, first_matching, matching, matching_all, words, words_found
 from termwell.functions.text import tokens
 from termwell.vocab import query_rules as rules
 from termwell.vocab.listing import MONTHS
 
-NO_TEXTS = "array<string>"
-
-
-def plain_words(query: Column) -> Column:
-    """Lower-case words made of letters only, repeats and order kept."""
-    return F.regexp_extract_all(F.lower(query), F.lit(FLAGS + r"\b[a-z]+\b"), F.lit(0))
-
-
-def _lookup(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(text) for pair in table.items() for text in pair])
-
-
 def sort_hint(query: Column) -> Column:
     return first_matching(query, rules.SORT_RULES, "relevance")
 
 
 def free_hint(query: Column) -> Column:
-    return found(query, rules.FREE_PATTERN)
+    return words_found(query, rules.FREE_PATTERN)
 
 
 def year_hint(query: Column) -> Column:
@@ -45,16 +34,19 @@ def month_hint(query: Column) -> Column:
         names[month.lower()] = month
         names[month[:3].lower()] = month
     mention = F.lower(F.regexp_extract(query, FLAGS_IGNORE_CASE + rules.MONTH_PATTERN, 1))
-    return F.try_element_at(_lookup(names), mention)
+    return F.try_element_at(text_map(names), mention)
 
 
 def country_hints(query: Column) -> Column:
     """Countries named anywhere in the query, sorted."""
-    lowered = F.lower(query)
-    return F.array_compact(F.array(*[
-        F.when(F.contains(lowered, F.lit(country)), F.lit(country.title()))
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('part', {sql_text(country)}, 'shown', {sql_text(country.title())})"
         for country in sorted(rules.COUNTRIES)
-    ]))
+    ) + ")")
+    named = F.transform(
+        F.array(F.lower(query)), lambda low: F.filter(table, lambda country: F.contains(low, country["part"]))
+    )
+    return named[0]["shown"]
 
 
 def category_hint(query: Column) -> Column:
@@ -62,7 +54,7 @@ def category_hint(query: Column) -> Column:
 
 
 def acronyms_found(query: Column) -> Column:
-    known = F.filter(plain_words(query), lambda word: word.isin(list(rules.ACRONYMS)))
+    known = F.filter(words(query), lambda word: F.array_contains(text_array(rules.ACRONYMS), word))
     return F.transform(known, F.upper)
 
 
@@ -96,22 +88,19 @@ def phrase_expansions(query: Column) -> Column:
 
 def synonym_expansions(query: Column) -> Column:
     """Expansions of the synonym words in the query, in table order."""
-    present = F.array_intersect(F.array(*[F.lit(word) for word in rules.SYNONYMS]), plain_words(query))
-    return F.transform(present, lambda word: F.element_at(_lookup(rules.SYNONYMS), word))
+    present = F.array_intersect(text_array(rules.SYNONYMS), words(query))
+    return F.transform(present, lambda word: F.element_at(text_map(rules.SYNONYMS), word))
 
 
 def acronym_expansions(query: Column) -> Column:
     """Long forms of the acronyms in the query, in order of appearance."""
     return F.transform(
-        acronyms_found(query), lambda name: F.element_at(_lookup(rules.ACRONYMS), F.lower(name))
+        acronyms_found(query), lambda name: F.element_at(text_map(rules.ACRONYMS), F.lower(name))
     )
 
 
 def combo_expansions(query: Column) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(found(query, place) & found(query, subject), F.lit(text))
-        for place, subject, text in rules.PLACE_SUBJECT_RULES
-    ]))
+    return matching_all(query, rules.PLACE_SUBJECT_RULES)
 
 
 def category_expansions(query: Column) -> Column:
@@ -131,7 +120,7 @@ def expand_query(query: Column) -> Column:
     )
     start = F.struct(
         F.array_distinct(tokens(base)).alias("seen"),
-        F.array().cast(NO_TEXTS).alias("added"),
+        no_texts().alias("added"),
     )
 
     def visit(state: Column, text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from termwell.functions.literals import no_texts, sql_array, text_array
 from termwell.functions.patterns import FLAGS
 from termwell.vocab.listing import MONTH_SPELLINGS, ROLLING_DEADLINES, UNDATED_WORDS
 
@@ -67,21 +68,24 @@ def fingerprint(name: Column, org: Column) -> Column:
     return F.concat(F.lower(name), F.lit("|"), F.lower(org))
 
 
-def mentions_month(text: Column, spellings: list[str]) -> Column:
-    lowered = F.lower(text)
-    hit = F.contains(lowered, F.lit(spellings[0]))
-    for spelling in spellings[1:]:
-        hit = hit | F.contains(lowered, F.lit(spelling))
-    return hit
+def _months_mentioned(text: Column) -> Column:
+    """The months mentioned in the text, in calendar order.
+
+    All spellings of a month contain its first, so only that one is looked for.
+    """
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('spellings', {sql_array(spellings)}, 'number', '-{number:02d}')"
+        for number, spellings in enumerate(MONTH_SPELLINGS, start=1)
+    ) + ")")
+    mentioned = F.transform(
+        F.array(F.lower(text)), lambda low: F.filter(table, lambda month: F.contains(low, month["spellings"][0]))
+    )
+    return mentioned[0]
 
 
 def months_in(text: Column) -> Column:
     """All spellings of every month mentioned in the text, in calendar order."""
-    none = F.array().cast("array<string>")
-    return F.flatten(F.array(*[
-        F.when(mentions_month(text, spellings), F.array(*[F.lit(s) for s in spellings])).otherwise(none)
-        for spellings in MONTH_SPELLINGS
-    ]))
+    return F.flatten(_months_mentioned(text)["spellings"])
 
 
 def years_in(text: Column) -> Column:
@@ -96,14 +100,9 @@ def is_year_round(date: Column) -> Column:
 def date_sortable(date: Column) -> Column:
     """``YYYY-MM`` or ``YYYY`` of a free-text date; null when it has none."""
     lowered = F.lower(date)
-    undated = F.lit(False)
-    for word in UNDATED_WORDS:
-        undated = undated | F.contains(lowered, F.lit(word))
+    undated = F.exists(text_array(UNDATED_WORDS), lambda word: F.contains(lowered, word))
     year = F.nullif(F.regexp_extract(date, FLAGS + r"\b(20[0-9]{2})\b", 1), F.lit(""))
-    month = F.coalesce(*[
-        F.when(mentions_month(date, spellings), F.lit(f"-{number:02d}"))
-        for number, spellings in enumerate(MONTH_SPELLINGS, start=1)
-    ], F.lit(""))
+    month = F.coalesce(F.try_element_at(_months_mentioned(date)["number"], F.lit(1)), F.lit(""))
     return F.when(~undated, F.concat(year, month))
 
 
@@ -155,7 +154,7 @@ def deadline_text(row: dict[str, Column]) -> Column:
     due_months, due_years = months_in(deadline), years_in(deadline)
     all_months = F.array_sort(F.array_union(exam_months, due_months))
     all_years = F.array_sort(F.array_union(exam_years, due_years))
-    none = F.array().cast("array<string>")
+    none = no_texts()
 
     def one(text: Column, condition: Column | None = None) -> Column:
         return F.array(text) if condition is None else F.when(condition, F.array(text)).otherwise(none)

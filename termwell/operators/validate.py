@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termwell.functions.intent import detect_domains
 from termwell.functions.numbers import rounded
-from termwell.functions.patterns import found
+from termwell.functions.patterns import words_found
 from termwell.vocab.query_rules import DOMAIN_RULES
 from termwell.vocab.runs import STAGES
 
@@ -64,7 +64,7 @@ def domain_flags(rows: DataFrame, within: str = "run_id") -> DataFrame:
     return rows.withColumn("_text", _domain_text()).groupBy(within).agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct(F.trim(F.lower("name"))).alias("distinct_names"),
-        *[F.bool_or(found(F.col("_text"), pattern)).alias(f"_has_{domain}") for pattern, domain in DOMAIN_RULES],
+        *[F.bool_or(words_found(F.col("_text"), pattern)).alias(f"_has_{domain}") for pattern, domain in DOMAIN_RULES],
     ).select(
         within, "n", "distinct_names",
         F.array_compact(F.array(*[F.when(F.col(f"_has_{d}"), F.lit(d)) for d in DOMAIN_NAMES])).alias("found_domains"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termwell.operators import catalog
 from termwell.plans.registry import query
-from termwell.plans.tables import AS_OF, ctes, frame, provided
+from termwell.plans.tables import AS_OF, ctes, frame, provided, wide_frame
 from termwell.plans.text_queries import CHUNKS_SQL, LISTING, dashed_sql
 from termwell.session import run_dir
 from termwell.sources import frames, logs, payloads
@@ -24,7 +24,7 @@ _FIELDS = [
 
 
 def _payloads(spark, sf):
-    rows = frame(spark, sf, "listing").withColumns({
+    rows = wide_frame(spark, sf, "listing").withColumns({
         "payload_id": F.floor(F.col("ord") / PAYLOAD_ROWS),
         "org": F.when(F.col("ord") % 13 != 4, F.col("org")),
         "confidence": F.when(F.col("ord") % 3 != 0, F.col("confidence")),
@@ -85,7 +85,7 @@ _NAME_SLUG = f"substr({dashed_sql('name')}, 1, 50)"
 
 
 def _store(spark, sf):
-    return catalog.chunk_upsert(catalog.make_chunks(frame(spark, sf, "listing"), F.col("stored_at")))
+    return catalog.chunk_upsert(catalog.make_chunks(wide_frame(spark, sf, "listing"), F.col("stored_at")))
 
 
 @query("chunk_upsert", f"{UPSERT_SQL} SELECT chunk_id, ord, section, strftime(stored_at + INTERVAL 30 DAYS, '%Y-%m-%d') AS expires_on FROM latest")
@@ -157,7 +157,7 @@ def _in(values) -> str:
 UNION ALL SELECT 'category', category, category IN {_in(CATEGORIES)}, count(*) FROM listing GROUP BY 2
 UNION ALL SELECT 'difficulty', difficulty, difficulty IN {_in(DIFFICULTIES)}, count(*) FROM listing GROUP BY 2""")
 def facets(spark, sf):
-    return catalog.facets(frame(spark, sf, "listing"))
+    return catalog.facets(wide_frame(spark, sf, "listing"))
 
 
 @query("region_vocabulary", """SELECT r_name AS region, count(*) AS customers, count(DISTINCT n_nationkey) AS nations,

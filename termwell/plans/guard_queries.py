@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from termwell.functions import guards as G
 from termwell.functions import text as T
 from termwell.operators import quality
+from termwell.operators.layout import spread
 from termwell.plans.intent_queries import lit, words_apart
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame, provided
+from termwell.plans.tables import ctes, frame, provided, wide_frame
 from termwell.plans.text_queries import sanitised_sql
 from termwell.vocab import guard_rules as rules
 from termwell.vocab.listing import CATEGORIES, DIFFICULTIES, MONTHS, REGIONS, SORT_MODES
@@ -69,12 +70,12 @@ DOC_BASE = f"WITH docs AS (SELECT doc_id AS query_id, text AS query FROM documen
 
 
 def _requests(spark, sf):
-    rows = frame(spark, sf, "guard_requests")
+    rows = wide_frame(spark, sf, "guard_requests")
     return rows.withColumn("clean", T.sanitised(F.col("query")))
 
 
 def _documents(spark, sf):
-    docs = provided(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    docs = spread(provided(spark, sf, "documents")).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return docs.withColumn("clean", T.sanitised(F.col("query")))
 
 
@@ -114,7 +115,7 @@ def guard_repeat_documents(spark, sf):
 @query("guard_filters", f"""{ctes('guard_requests')} SELECT query_id, {REGION_SQL} AS bad_region, {DIFFICULTY_SQL} AS bad_difficulty,
   coalesce(length(category) > 80, false) AS bad_category FROM guard_requests""")
 def guard_filters(spark, sf):
-    return frame(spark, sf, "guard_requests").select(
+    return wide_frame(spark, sf, "guard_requests").select(
         "query_id", G.invalid_region(F.col("region")).alias("bad_region"),
         G.invalid_difficulty(F.col("difficulty")).alias("bad_difficulty"), G.invalid_category(F.col("category")).alias("bad_category"),
     )
@@ -135,7 +136,7 @@ verdicts AS (SELECT *, CASE WHEN block IS NOT NULL THEN 'block' WHEN pii THEN 'w
 @query("guard_verdict", f"""{VERDICT_SQL} SELECT query_id, action, code, {_SEVERITY} AS severity,
   CASE WHEN action <> 'block' AND clean <> query THEN clean END AS sanitised_query FROM verdicts""")
 def guard_verdict(spark, sf):
-    return quality.check_input(frame(spark, sf, "guard_requests")).select("query_id", "action", "code", "severity", "sanitised_query")
+    return quality.check_input(wide_frame(spark, sf, "guard_requests")).select("query_id", "action", "code", "severity", "sanitised_query")
 
 
 GUARDED = ctes("guarded_listing")
@@ -152,7 +153,7 @@ _THIN_SQL = "(coalesce(description, '') <> '' AND length(trim(description, ' '))
 def _output_rule(name: str, sql: str, column) -> None:
     @query(name, f"{GUARDED} SELECT ord, {sql} AS broken FROM guarded_listing")
     def run(spark, sf):
-        return frame(spark, sf, "guarded_listing").select("ord", column().alias("broken"))
+        return wide_frame(spark, sf, "guarded_listing").select("ord", column().alias("broken"))
 
 
 _output_rule("out_required", _MISSING_SQL, lambda: G.missing_required(F.col("name"), F.col("org"), F.col("category")))
@@ -168,7 +169,7 @@ _DUPLICATE = "row_number() OVER (PARTITION BY trim(lower(name), ' '), trim(lower
 
 @query("out_duplicate", f"{GUARDED} SELECT ord, {_DUPLICATE} AS duplicate FROM guarded_listing")
 def out_duplicate(spark, sf):
-    return quality.mark_duplicates(frame(spark, sf, "guarded_listing")).select("ord", "duplicate")
+    return quality.mark_duplicates(wide_frame(spark, sf, "guarded_listing")).select("ord", "duplicate")
 
 
 _CHECKED = f"""{GUARDED}, dup AS (SELECT *, {_DUPLICATE} AS duplicate, {_MISSING_SQL} AS missing FROM guarded_listing),
@@ -181,7 +182,7 @@ checked AS (SELECT ord, name, CASE WHEN duplicate THEN 'DUPLICATE_IN_RESULTS' WH
 @query("out_violations", f"""{_CHECKED} SELECT ord, unnest(CASE WHEN block IS NOT NULL THEN [block] ELSE warns END) AS code,
   CASE WHEN block IS NOT NULL THEN 'block' ELSE 'warn' END AS action FROM checked""")
 def out_violations(spark, sf):
-    checked = quality.check_output(frame(spark, sf, "guarded_listing"))
+    checked = quality.check_output(wide_frame(spark, sf, "guarded_listing"))
     return quality.output_violations(checked).select("ord", "code", "action")
 
 
@@ -189,7 +190,7 @@ def out_violations(spark, sf):
   count(*) FILTER (WHERE block IS NOT NULL) AS total_blocked, count(*) FILTER (WHERE block IS NULL AND len(warns) > 0) AS total_warned,
   CAST(sum(CASE WHEN block IS NOT NULL THEN 1 ELSE len(warns) END) AS BIGINT) AS total_violations FROM checked""")
 def out_summary(spark, sf):
-    return quality.output_summary(quality.check_output(frame(spark, sf, "guarded_listing")))
+    return quality.output_summary(quality.check_output(wide_frame(spark, sf, "guarded_listing")))
 
 
 REQUEST_FIELD_SQL = f"""CASE WHEN query IS NULL OR length(trim(query, ' ')) < 1 OR length(query) > 500 OR regexp_matches(query, '<[^>]+>') THEN 'query'
@@ -201,4 +202,4 @@ REQUEST_FIELD_SQL = f"""CASE WHEN query IS NULL OR length(trim(query, ' ')) < 1
 
 @query("request_schema", f"{ctes('requests')} SELECT query_id, {REQUEST_FIELD_SQL} AS invalid_field FROM requests")
 def request_schema(spark, sf):
-    return quality.check_requests(frame(spark, sf, "requests")).select("query_id", "invalid_field")
+    return quality.check_requests(wide_frame(spark, sf, "requests")).select("query_id", "invalid_field")

@@ -8,7 +8,7 @@ from termwell.functions import intent as I
 from termwell.functions import text as T
 from termwell.operators import validate
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame
+from termwell.plans.tables import ctes, frame, wide_frame
 from termwell.plans.text_queries import request_row
 from termwell.sources import payloads
 from termwell.vocab import query_rules as rules
@@ -78,7 +78,7 @@ BASE = f"{ctes('questions')}, q AS (SELECT query_id, text, {words_apart('text')}
 
 
 def _questions(spark, sf):
-    return frame(spark, sf, "questions")
+    return wide_frame(spark, sf, "questions")
 
 
 def _signal(name: str, sql: str, column):
@@ -152,7 +152,7 @@ EFFECTIVE_SQL = f"""{REQUESTS}, effective AS (SELECT query_id, region, difficult
 
 
 def _effective(spark, sf):
-    requests = frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query")))
+    requests = wide_frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query")))
     params = I.effective_params(request_row(), F.col("signals"))
     return requests.select("query_id", "region", "difficulty", *[value.alias(name) for name, value in params.items()])
 
@@ -214,7 +214,7 @@ def _block(title: str, items: str) -> str:
 @query("prompt_text", f"""{REQUESTS} SELECT query_id, concat_ws(chr(10), 'Search query: ' || query, {_block('Search intent (honour these):', _HINTS)},
   {_block('Strict filters:', _STRICT)}, chr(10) || 'Return JSON array now.') AS prompt FROM q""")
 def prompt_text(spark, sf):
-    rows = frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query"))).select("*", "signals.*")
+    rows = wide_frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query"))).select("*", "signals.*")
     names = ("query", "region", "category", "difficulty", "sort_hint", "free_hint", "year_hint", "month_hint", "country_hints", "category_hint")
     return rows.select("query_id", T.prompt_text({c: F.col(c) for c in names}).alias("prompt"))
 
@@ -249,4 +249,4 @@ def shard_rows(spark, sf):
     raw = F.expr("""CASE query_id % 5 WHEN 0 THEN 'no json' WHEN 1 THEN '{"shards": []}'
       WHEN 2 THEN concat('{"intent": "find", "shards": [{"query": "a ', query_id, '", "region": "Asia", "focus": "geography"}, {"query": "b", "category": ""}], "enrich_top_n": 4}')
       WHEN 3 THEN '{"shards": [{"focus": "category", "difficulty": "Hard"}, null]}' ELSE '{"intent": "x", "enrich_top_n": 1}' END""")
-    return payloads.shard_rows(frame(spark, sf, "requests").withColumn("raw", raw))
+    return payloads.shard_rows(wide_frame(spark, sf, "requests").withColumn("raw", raw))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termwell.functions import intent as I
 from termwell.operators import ranking as K
-from termwell.plans.tables import frame
+from termwell.plans.tables import frame, wide_frame
 from termwell.plans.text_queries import request_row
 
 
@@ -18,7 +18,7 @@ def offered_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def request_params(spark: SparkSession, sf: str) -> DataFrame:
     """Effective settings of each request as a struct ``w``, with page and size."""
-    requests = frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query")))
+    requests = wide_frame(spark, sf, "requests").withColumn("signals", I.intent(F.col("query")))
     params = I.effective_params(request_row(), F.col("signals"))
     return requests.select(
         "query_id", "query", F.greatest("page", F.lit(1)).alias("page"), F.greatest("page_size", F.lit(1)).alias("page_size"),
@@ -47,6 +47,8 @@ def catalog_search(fetched: DataFrame, requests: DataFrame) -> DataFrame:
 def search_catalog(spark: SparkSession, sf: str) -> DataFrame:
     from termwell.operators.scan import numbered
 
-    offered = numbered(offered_rows(spark, sf), ["query_id"], ["ord"], "_at")
-    fetched = offered.withColumn("position", F.col("_at") - 1).withColumn("relevance", F.col("score"))
+    placed = numbered(frame(spark, sf, "offers"), ["query_id"], ["ord"], "_at")
+    fetched = placed.join(frame(spark, sf, "listing"), "ord").select(
+        "*", (F.col("_at") - 1).alias("position"), F.col("score").alias("relevance")
+    ).drop("_at")
     return catalog_search(fetched, request_params(spark, sf))

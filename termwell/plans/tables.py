@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termwell.operators.layout import spread
 from termwell.plans.dialects import DUCK, SPARK, SparkSql, pick
 from termwell.vocab.listing import CATEGORIES, DIFFICULTIES, MONTHS, REGIONS, SORT_MODES
 
@@ -299,6 +300,11 @@ def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return FRAMES[name](spark, sf)
 
 
+def wide_frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A derived input spread over all cores, for costly row-wise work."""
+    return spread(frame(spark, sf, name))
+
+
 def ctes(*names: str) -> str:
     """The derived inputs as the beginning of a DuckDB statement."""
     return "WITH " + ",\n".join(f"{name} AS ({DERIVED[name](DUCK)})" for name in names)

@@ -8,7 +8,7 @@ from termwell.functions import text as T
 from termwell.operators import catalog
 from termwell.plans.registry import query
 from termwell.plans.retrieval_queries import _TOPK, bm25_topk
-from termwell.plans.tables import ctes, frame, provided
+from termwell.plans.tables import ctes, frame, provided, wide_frame
 from termwell.vocab.listing import MONTH_SPELLINGS, ROLLING_DEADLINES, UNDATED_WORDS
 
 LISTING = ctes("listing")
@@ -118,58 +118,58 @@ def embed_text(spark, sf):
 
 @query("slug", f"{LISTING} SELECT ord, substr({dashed_sql('name')}, 1, 50) AS name_slug, substr({dashed_sql(chr(39).join(['name || ', '-', ' || org']))}, 1, 50) AS full_slug FROM listing")
 def slug(spark, sf):
-    return frame(spark, sf, "listing").select(
+    return wide_frame(spark, sf, "listing").select(
         "ord", T.slug(F.col("name")).alias("name_slug"), T.slug(F.col("name"), F.col("org")).alias("full_slug")
     )
 
 
 @query("stable_id", f"""{LISTING} SELECT ord, substr({dashed_sql("name || '-' || org")}, 1, 40) || '-' || substr(sha1(lower(name || '-' || org)), 1, 6) AS id FROM listing""")
 def stable_id(spark, sf):
-    return frame(spark, sf, "listing").select("ord", T.stable_id(F.col("name"), F.col("org")).alias("id"))
+    return wide_frame(spark, sf, "listing").select("ord", T.stable_id(F.col("name"), F.col("org")).alias("id"))
 
 
 @query("extract_months", f"{LISTING} SELECT ord, array_to_string({months_sql('date')}, ' ') AS months FROM listing")
 def extract_months(spark, sf):
-    return frame(spark, sf, "listing").select("ord", F.array_join(T.months_in(F.col("date")), " ").alias("months"))
+    return wide_frame(spark, sf, "listing").select("ord", F.array_join(T.months_in(F.col("date")), " ").alias("months"))
 
 
 @query("extract_years", f"{LISTING} SELECT ord, array_to_string({years_sql(chr(39).join(['date || ', ' ', ' || deadline']))}, ' ') AS years FROM listing")
 def extract_years(spark, sf):
     both = F.concat_ws(" ", "date", "deadline")
-    return frame(spark, sf, "listing").select("ord", F.array_join(T.years_in(both), " ").alias("years"))
+    return wide_frame(spark, sf, "listing").select("ord", F.array_join(T.years_in(both), " ").alias("years"))
 
 
 @query("date_sortable", f"{LISTING} SELECT ord, {date_sortable_sql('date')} AS exam_date, {date_sortable_sql('deadline')} AS due FROM listing")
 def date_sortable(spark, sf):
-    return frame(spark, sf, "listing").select(
+    return wide_frame(spark, sf, "listing").select(
         "ord", T.date_sortable(F.col("date")).alias("exam_date"), T.date_sortable(F.col("deadline")).alias("due")
     )
 
 
 @query("is_year_round", f"{LISTING} SELECT ord, {year_round_sql('date')} AS is_year_round FROM listing")
 def is_year_round(spark, sf):
-    return frame(spark, sf, "listing").select("ord", T.is_year_round(F.col("date")).alias("is_year_round"))
+    return wide_frame(spark, sf, "listing").select("ord", T.is_year_round(F.col("date")).alias("is_year_round"))
 
 
 @query("overview_text", f"{LISTING} SELECT ord, {OVERVIEW_SQL} AS text FROM listing")
 def overview_text(spark, sf):
-    return frame(spark, sf, "listing").select("ord", T.overview_text(listing_row()).alias("text"))
+    return wide_frame(spark, sf, "listing").select("ord", T.overview_text(listing_row()).alias("text"))
 
 
 @query("subjects_text", f"{LISTING} SELECT ord, {SUBJECTS_SQL} AS text FROM listing")
 def subjects_text(spark, sf):
-    return frame(spark, sf, "listing").select("ord", T.subjects_text(listing_row()).alias("text"))
+    return wide_frame(spark, sf, "listing").select("ord", T.subjects_text(listing_row()).alias("text"))
 
 
 @query("deadline_text", f"{LISTING} SELECT ord, {DEADLINE_SQL} AS text FROM listing")
 def deadline_text(spark, sf):
-    return frame(spark, sf, "listing").select("ord", T.deadline_text(listing_row()).alias("text"))
+    return wide_frame(spark, sf, "listing").select("ord", T.deadline_text(listing_row()).alias("text"))
 
 
 @query("make_chunks", f"""{CHUNKS_SQL} SELECT ord, chunk_id, section, array_to_string(tags, '|') AS tags, text, exam_date, date_sortable,
   strftime(stored_at, '%Y-%m-%d') AS stored_on, is_year_round FROM store""")
 def make_chunks(spark, sf):
-    made = catalog.make_chunks(frame(spark, sf, "listing"), F.col("stored_at"))
+    made = catalog.make_chunks(wide_frame(spark, sf, "listing"), F.col("stored_at"))
     return made.select(
         "ord", "chunk_id", "section", F.array_join("tags", "|").alias("tags"), "text", "exam_date", "date_sortable",
         F.date_format("stored_at", "yyyy-MM-dd").alias("stored_on"), "is_year_round",
@@ -194,7 +194,7 @@ def context_block(spark, sf):
 SELECT name, org, string_agg('[' || upper(section) || '] ' || text, chr(10) || chr(10) ORDER BY chunk_id) AS context FROM latest GROUP BY name, org""")
 def exam_context(spark, sf):
     """All sections of one exam; an exam has three chunks."""
-    chunks = catalog.chunk_upsert(catalog.make_chunks(frame(spark, sf, "listing"), F.col("stored_at")))
+    chunks = catalog.chunk_upsert(catalog.make_chunks(wide_frame(spark, sf, "listing"), F.col("stored_at")))
     block = F.concat(F.lit("["), F.upper("section"), F.lit("] "), F.col("text"))
     gathered = F.array_sort(F.collect_list(F.struct(F.col("chunk_id"), block.alias("block"))))
     return chunks.groupBy("name", "org").agg(F.array_join(gathered["block"], "\n\n").alias("context"))
@@ -205,7 +205,7 @@ _RUN_LISTING = f"{ctes('listing', 'ranked')}, full_rows AS (SELECT r.run_id, r.p
 
 def _run_rows(spark, sf):
     ranked = frame(spark, sf, "ranked").select("run_id", "position", "ord")
-    return ranked.join(frame(spark, sf, "listing"), "ord")
+    return ranked.join(wide_frame(spark, sf, "listing"), "ord")
 
 
 @query("result_lines", f"""{_RUN_LISTING} SELECT run_id, string_agg(CAST(position + 1 AS VARCHAR) || '. **' || name || '** (' || category || ') | ' || region
@@ -281,7 +281,7 @@ def sanitise_pages(spark, sf):
 @query("identity_key", f"""{LISTING} SELECT ord, {squeezed_sql("'  ' || upper(name) || '  x '")} || '|' || {squeezed_sql('org')} AS key, lower(name) || '|' || lower(org) AS plain FROM listing""")
 def identity_key(spark, sf):
     loud = F.concat(F.lit("  "), F.upper("name"), F.lit("  x "))
-    return frame(spark, sf, "listing").select(
+    return wide_frame(spark, sf, "listing").select(
         "ord", T.identity_key(loud, F.col("org")).alias("key"), T.fingerprint(F.col("name"), F.col("org")).alias("plain")
     )
 
