@@ -77,16 +77,21 @@ def _applies(context: Column, rule: Column) -> Column:
     return F.arrays_overlap(context["words"], rule["words"]) | several
 
 
-def _in_context(text: Column, result: Callable[[Column], Column]) -> Column:
-    """Evaluate with the text, its lower-case form and its words computed once."""
-    context = F.struct(text.alias("text"), F.lower(text).alias("low"), words(text).alias("words"))
+def _in_context(text: Column, patterns: list[str], result: Callable[[Column], Column]) -> Column:
+    """Evaluate with the text, its lower-case form and its words computed once.
+
+    Only the words that stand in a rule are kept, mostly none.
+    """
+    known = sorted({a for pattern in patterns for a in alternatives(pattern) if re.fullmatch("[a-z]+", a)})
+    kept = F.array_intersect(words(text), F.expr(sql_array(known)))
+    context = F.struct(text.alias("text"), F.lower(text).alias("low"), kept.alias("words"))
     return F.transform(F.array(context), result)[0]
 
 
 def words_found(text: Column, pattern: str) -> Column:
     """True where one alternative of a whole-word rule occurs, letter case aside."""
     rule = F.expr(f"array({_sql_rule(pattern)})")
-    return _in_context(text, lambda context: F.exists(rule, lambda r: _applies(context, r)))
+    return _in_context(text, [pattern], lambda context: F.exists(rule, lambda r: _applies(context, r)))
 
 
 def matching(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -106,7 +111,8 @@ def matching_all(text: Column, rules: list[tuple[str, str | None, str]]) -> Colu
         hit = _applies(context, rule["first"])
         return hit & _applies(context, rule["second"]) if paired else hit
 
-    kept = _in_context(text, lambda context: F.filter(table, lambda rule: applies(context, rule)))
+    patterns = [pattern for first, second, _ in rules for pattern in (first, second) if pattern]
+    kept = _in_context(text, patterns, lambda context: F.filter(table, lambda rule: applies(context, rule)))
     return kept["value"]
 
 

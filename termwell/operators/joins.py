@@ -36,9 +36,9 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: s
     """
     keys = list(keys)
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.count()
-    least = max(hot_min_rows, total // HOT_SHARE)
-    if total < least:
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    least = max(hot_min_rows, (total or 0) // HOT_SHARE)
+    if (largest or 0) <= least:
         return facts.join(lookup, keys, how)
     hot = F.broadcast(counts.filter(F.col("_n") > least).select(*keys))
     hot_facts = facts.join(hot, keys, "left_semi")

@@ -124,9 +124,11 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
     used = durable(used.withColumn("set_id", F.sha2(F.array_join("set", " "), 256)).withColumn(
         "bucket", F.floor(F.col("t") / ttl)
     ))
-    sets = used.groupBy(*scope, "set_id").agg(
-        F.min("query_id").alias("set_first"), F.min("set").alias("set")
-    ).withColumn("m", F.size("set"))
+    firsts = used.groupBy(*scope, "set_id").agg(F.min("query_id").alias("set_first"))
+    sets = durable(
+        firsts.join(used.select(F.col("query_id").alias("set_first"), "set"), "set_first")
+        .withColumn("m", F.size("set"))
+    )
     entries = used.groupBy(*scope, "set_id", "bucket").agg(
         F.min(F.struct("t", "query_id")).alias("first"), F.max(F.struct("t", "query_id")).alias("last")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termwell.functions.intent import detect_domains
 from termwell.functions.numbers import rounded
-from termwell.functions.patterns import words_found
+from termwell.functions.patterns import matching
 from termwell.vocab.query_rules import DOMAIN_RULES
 from termwell.vocab.runs import STAGES
 
@@ -58,13 +58,14 @@ def _domain_text() -> Column:
 def domain_flags(rows: DataFrame, within: str = "run_id") -> DataFrame:
     """Row count, distinct names and the domains the rows of a run cover.
 
-    Each row yields eleven flags that are combined with a maximum, so nothing is
-    multiplied out and the groups combine inside each partition.
+    A row names its domains once; the aggregate keeps a flag per domain, so
+    nothing is multiplied out and the groups combine inside each partition.
     """
-    return rows.withColumn("_text", _domain_text()).groupBy(within).agg(
+    named = rows.select(within, F.trim(F.lower("name")).alias("_name"), matching(_domain_text(), DOMAIN_RULES).alias("_found"))
+    return named.groupBy(within).agg(
         F.count(F.lit(1)).alias("n"),
-        F.countDistinct(F.trim(F.lower("name"))).alias("distinct_names"),
-        *[F.bool_or(words_found(F.col("_text"), pattern)).alias(f"_has_{domain}") for pattern, domain in DOMAIN_RULES],
+        F.countDistinct("_name").alias("distinct_names"),
+        *[F.bool_or(F.array_contains("_found", domain)).alias(f"_has_{domain}") for domain in DOMAIN_NAMES],
     ).select(
         within, "n", "distinct_names",
         F.array_compact(F.array(*[F.when(F.col(f"_has_{d}"), F.lit(d)) for d in DOMAIN_NAMES])).alias("found_domains"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from termwell.operators import querylog as L
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame
+from termwell.plans.tables import ctes, frame, wide_frame
 from termwell.operators.scan import previous
 
 KEYED = ctes("keyed_log")
@@ -44,7 +44,7 @@ near AS (SELECT query_id, set_first AS match_id, round(similarity, 6) AS similar
 
 
 def _near(spark, sf):
-    return L.near_dup_queries(frame(spark, sf, "query_log").drop("category"), ["region"])
+    return L.near_dup_queries(wide_frame(spark, sf, "query_log").drop("category"), ["region"])
 
 
 @query("near_dup_queries", f"{NEAR_SQL} SELECT * FROM near")

@@ -259,14 +259,15 @@ SELECT o_orderkey AS id, date_sortable, stored_at, is_year_round FROM (
   FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 4) AS base"""
 
 
-def _bind(build: Callable[[SparkSql], str]) -> Callable[[SparkSession, str], DataFrame]:
+def _bind(build: Callable[[SparkSql], str]) -> Callable[[SparkSession, str, bool], DataFrame]:
     statement = build(SPARK)
+    used = [t for t in PROVIDED if f"FROM {t}" in statement or f"JOIN {t}" in statement]
 
-    def frame(spark: SparkSession, sf: str) -> DataFrame:
-        used = [t for t in PROVIDED if f"FROM {t}" in statement or f"JOIN {t}" in statement]
-        return spark.sql(with_placeholders(statement, used), **{t: provided(spark, sf, t) for t in used})
+    def bound(spark: SparkSession, sf: str, wide: bool) -> DataFrame:
+        tables = {t: spread(provided(spark, sf, t)) if wide else provided(spark, sf, t) for t in used}
+        return spark.sql(with_placeholders(statement, used), **tables)
 
-    return frame
+    return bound
 
 
 PROVIDED = ["part", "documents", "benchmark", "conversations", "lineitem", "events", "orders"]
@@ -297,12 +298,12 @@ FRAMES = {name: _bind(build) for name, build in DERIVED.items()}
 
 def frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived input as a Spark frame."""
-    return FRAMES[name](spark, sf)
+    return FRAMES[name](spark, sf, False)
 
 
 def wide_frame(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A derived input spread over all cores, for costly row-wise work."""
-    return spread(frame(spark, sf, name))
+    """A derived input with its tables spread over all cores, for costly row-wise work."""
+    return FRAMES[name](spark, sf, True)
 
 
 def ctes(*names: str) -> str:

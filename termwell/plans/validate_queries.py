@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termwell.operators import validate as V
 from termwell.plans.intent_queries import DOMAINS_SQL, all_sql, lit, words_apart
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame, provided
+from termwell.plans.tables import ctes, frame, provided, wide_frame
 from termwell.vocab import query_rules as rules
 from termwell.vocab.runs import STAGES
 
@@ -50,7 +50,7 @@ def _plans(spark, sf):
 
 
 def _rows(spark, sf):
-    return frame(spark, sf, "ranked")
+    return wide_frame(spark, sf, "ranked")
 
 
 @query("covered_domains", f"{_BASE} SELECT run_id, array_to_string(p.domains, ', ') AS domains, array_to_string({_covered()}, ', ') AS covered FROM {_JOINED}")
