@@ -26,7 +26,7 @@ RERANK_ABOVE = 8
 STRONG_MATCH, PARTIAL_MATCH = 0.4, 0.15
 UNDATED_KEY = "9999-99"
 UNPRICED_KEY = 9999999.0
-MAX_PAGE, MAX_PAGE_SIZE = 100, 50
+MAX_PAGE_SIZE = 50
 
 
 def shard_union(shards: Sequence[DataFrame]) -> DataFrame:
@@ -50,7 +50,8 @@ def _with_fingerprint(rows: DataFrame) -> DataFrame:
 def dedup_first(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """The first row per name and organiser, with the categories of all its copies.
 
-    ``source_shards`` lists each category once, by first appearance, with its count.
+    ``source_shards`` lists each category once, by first appearance, with its
+    count; categories come from a closed vocabulary, so the list stays short.
     """
     keys = [*within, "_fp"]
     marked = _with_fingerprint(rows)
@@ -206,16 +207,11 @@ def paginate(rows: DataFrame, within: Sequence[str], order: Sequence[Column],
              page: Column, page_size: Column) -> DataFrame:
     """One page per query with the row number and the total number of rows.
 
-    No page reaches beyond row 5,000, so each partition hands on at most that
-    many rows per query.
+    The order must be unique within a query. Rows are numbered in slices, so a
+    query may have any number of results; pass the columns the page needs only.
     """
-    keys = [F.col(c) for c in within]
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    ranked = rows.withColumn("row_no", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    reachable = ranked.filter(F.col("row_no") <= MAX_PAGE * MAX_PAGE_SIZE)
-    return reachable.join(totals, list(within)).filter(
-        (F.col("row_no") > (page - 1) * page_size) & (F.col("row_no") <= page * page_size)
-    )
+    ranked = numbered(rows, within, order, "row_no", totals=True).withColumnRenamed("row_no_total", "total")
+    return ranked.filter((F.col("row_no") > (page - 1) * page_size) & (F.col("row_no") <= page * page_size))
 
 
 def one_page(rows: DataFrame, order: Sequence[Column], page: int, page_size: int) -> DataFrame:

@@ -34,13 +34,6 @@ def sliced(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
             values: dict[str, tuple[str, Column]], inclusive: bool = True,
             totals: bool = False) -> DataFrame:
@@ -55,40 +48,33 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     group = list(group)
     inputs = {f"_in_{name}": expr for name, (_, expr) in values.items()}
     rows = sliced(df.withColumns(inputs), group, order)
-    local = (
-        W.partitionBy(SLICE, *group).orderBy(*_asc(order))
-        .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    )
+
+    # What the earlier slices of a group hold, as one row ahead of each slice.
     earlier = W.partitionBy(*group).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
     per_slice = rows.groupBy(SLICE, *group).agg(
-        *[aggregates[kind](f"_in_{name}").alias(f"_total_{name}") for name, (kind, _) in values.items()]
+        *[aggregates[kind](f"_in_{name}").alias(f"_in_{name}") for name, (kind, _) in values.items()]
     )
     carried = per_slice.select(
         SLICE, *group,
-        *[aggregates[kind](f"_total_{name}").over(earlier).alias(f"_carry_{name}")
-          for name, (kind, _) in values.items()],
-        *[aggregates[kind](f"_total_{name}").over(whole).alias(f"{name}_total")
+        *[aggregates[kind](f"_in_{name}").over(earlier).alias(f"_in_{name}") for name, (kind, _) in values.items()],
+        *[aggregates[kind](f"_in_{name}").over(whole).alias(f"_all_{name}")
           for name, (kind, _) in values.items() if totals],
+        F.lit(0).alias("_row"),
     )
-    scanned = rows.select(
-        *df.columns, SLICE,
-        *[aggregates[kind](f"_in_{name}").over(local).alias(f"_local_{name}")
-          for name, (kind, _) in values.items()],
-    )
-    joined = scanned.join(carried, _same(scanned, carried, [SLICE, *group]), "left")
-
-    def combined(name: str, kind: str) -> Column:
-        inside, before = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
-        if kind == "sum":
-            return F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
-        return F.when(before > inside, before).otherwise(F.coalesce(inside, before))
-
-    return joined.select(
-        *[scanned[column] for column in df.columns],
-        *[combined(name, kind).alias(name) for name, (kind, _) in values.items()],
-        *[F.col(f"{name}_total") for name in values if totals],
-    )
+    placed = rows.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    piece = W.partitionBy(SLICE, *group)
+    upto = piece.orderBy("_row", *_asc(order)).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+
+    def scanned(name: str, kind: str) -> Column:
+        value = aggregates[kind](f"_in_{name}").over(upto)
+        return F.coalesce(value, F.lit(0)) if kind == "sum" else value
+
+    return placed.select(
+        *df.columns, "_row",
+        *[scanned(name, kind).alias(name) for name, (kind, _) in values.items()],
+        *[F.max(f"_all_{name}").over(piece).alias(f"{name}_total") for name in values if totals],
+    ).filter(F.col("_row") == 1).drop("_row")
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank",

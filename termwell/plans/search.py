@@ -30,8 +30,12 @@ def catalog_search(fetched: DataFrame, requests: DataFrame) -> DataFrame:
     """Filter, score, deduplicate, sort and page fetched rows for all requests.
 
     ``fetched(query_id, ord, position, relevance, …)`` holds the rows fetched per
-    request in source order; ``requests`` is as made by ``request_params``.
+    request in source order; ``requests`` is as made by ``request_params``. The
+    page holds keys and scores, to be joined with whatever is shown.
     """
+    fetched = fetched.select(
+        "query_id", "ord", "position", "relevance", "confidence", "name", "org", "date", "date_sortable", "countries", "cost_usd", "difficulty"
+    )
     sizes = fetched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     asked = requests.join(sizes, "query_id")
     row = {c: F.col(c) for c in ("date", "date_sortable", "countries", "cost_usd", "difficulty", "score")}
@@ -39,9 +43,12 @@ def catalog_search(fetched: DataFrame, requests: DataFrame) -> DataFrame:
     scored = fetched.join(asked, "query_id").filter(keep).withColumn(
         "score", K.hybrid_score(F.col("confidence"), F.col("relevance"), F.col("position"), F.col("n"))
     )
-    unique = K.dedup_best(scored, ["query_id"]).withColumn("sort_by", F.col("w.sort_by"))
-    order = [K.sort_key(F.col("sort_by"), row), F.asc("position")]
-    return K.paginate(unique, ["query_id"], order, F.col("page"), F.col("page_size"))
+    keyed = scored.select(
+        "query_id", "ord", "position", "name", "org", "score", "page", "page_size", F.col("w.sort_by").alias("sort_by"),
+        K.sort_key(F.col("w.sort_by"), row).alias("key"),
+    )
+    unique = K.dedup_best(keyed, ["query_id"]).drop("name", "org")
+    return K.paginate(unique, ["query_id"], ["key", "position"], F.col("page"), F.col("page_size"))
 
 
 def search_catalog(spark: SparkSession, sf: str) -> DataFrame:
