@@ -43,12 +43,12 @@ def excessive_repeat(clean: Column) -> Column:
     must stand in the middle of the sorted characters, so only that one is counted.
     """
     lowered = F.lower(clean)
-    words = F.array_sort(F.filter(F.split(lowered, r"(?U)\s+"), lambda word: word != ""))
+    words = F.sort_array(F.filter(F.split(lowered, r"(?U)\s+"), lambda word: word != ""))
     shifted = F.slice(words, MAX_TOKEN_REPEATS + 1, F.greatest(F.size(words) - MAX_TOKEN_REPEATS, F.lit(0)))
     repeated_word = F.exists(F.zip_with(words, shifted, lambda word, later: word == later), lambda same: same)
     packed = without_space(lowered)
     length = F.length(packed)
-    chars = F.array_sort(F.filter(F.split(packed, ""), lambda char: char != ""))
+    chars = F.sort_array(F.filter(F.split(packed, ""), lambda char: char != ""))
     middle = F.try_element_at(chars, F.floor(F.size(chars) / 2).cast("int") + 1)
     others = F.length(F.replace(packed, middle, F.lit("")))
     repeated_char = (length > 8) & ((length - others) / length > MAX_CHAR_SHARE)

@@ -143,7 +143,7 @@ def _sentences(words: Column, template: str, name: Column) -> Column:
                 parts.append(F.lit(piece))
         return F.concat(*parts)
 
-    return F.transform(F.array_sort(F.array_distinct(words)), fill)
+    return F.transform(F.sort_array(F.array_distinct(words)), fill)
 
 
 def deadline_text(row: dict[str, Column]) -> Column:
@@ -152,8 +152,8 @@ def deadline_text(row: dict[str, Column]) -> Column:
     year_round = is_year_round(date)
     exam_months, exam_years = months_in(date), years_in(date)
     due_months, due_years = months_in(deadline), years_in(deadline)
-    all_months = F.array_sort(F.array_union(exam_months, due_months))
-    all_years = F.array_sort(F.array_union(exam_years, due_years))
+    all_months = F.sort_array(F.array_union(exam_months, due_months))
+    all_years = F.sort_array(F.array_union(exam_years, due_years))
     none = no_texts()
 
     def one(text: Column, condition: Column | None = None) -> Column:

@@ -29,7 +29,7 @@ def _anchors_of_small_keys(times: DataFrame, key: str, ttl: int) -> DataFrame:
             fresh, F.struct(t.alias("last"), F.concat(state["anchors"], F.array(t)).alias("anchors"))
         ).otherwise(state)
 
-    return times.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("_ts")).select(
+    return times.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("_ts")).select(
         key, F.explode(F.aggregate("_ts", start, visit)["anchors"]).alias("anchor")
     )
 
@@ -92,13 +92,13 @@ def repeat_queries(log: DataFrame, ttl: int = QUERY_TTL, group_rows: int = GROUP
 
 
 def token_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens(text)))
+    return F.sort_array(F.array_distinct(tokens(text)))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two token sets; 0 if either is empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    """Shared share of two token sets, each without repeats; 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(shared > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
 def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float = NEAR_DUPLICATE_JACCARD,
@@ -124,19 +124,23 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
     used = durable(used.withColumn("set_id", F.sha2(F.array_join("set", " "), 256)).withColumn(
         "bucket", F.floor(F.col("t") / ttl)
     ))
-    firsts = used.groupBy(*scope, "set_id").agg(F.min("query_id").alias("set_first"))
+    # A set goes by its lowest query id from here on.
+    by_bucket = used.groupBy(*scope, "set_id", "bucket").agg(
+        F.min(F.struct("t", "query_id")).alias("first"), F.max(F.struct("t", "query_id")).alias("last"),
+        F.min("query_id").alias("_low"),
+    )
+    names = by_bucket.groupBy(*scope, "set_id").agg(F.min("_low").alias("set_first"))
+    entries = durable(by_bucket.join(names, [*scope, "set_id"]).select("set_first", "bucket", "first", "last"))
     sets = durable(
-        firsts.join(used.select(F.col("query_id").alias("set_first"), "set"), "set_first")
+        entries.select("set_first").distinct()
+        .join(used.select(F.col("query_id").alias("set_first"), *scope, "set"), "set_first")
         .withColumn("m", F.size("set"))
     )
-    entries = used.groupBy(*scope, "set_id", "bucket").agg(
-        F.min(F.struct("t", "query_id")).alias("first"), F.max(F.struct("t", "query_id")).alias("last")
-    )
 
     # A later use in a bucket follows the same set, and so does a first use whose
     # set was last used in the bucket before and is still live.
-    earlier = entries.select(*scope, "set_id", (F.col("bucket") + 1).alias("bucket"), F.col("last.t").alias("before_t"))
-    starts = entries.join(earlier, [*scope, "set_id", "bucket"], "left").withColumn(
+    earlier = entries.select("set_first", (F.col("bucket") + 1).alias("bucket"), F.col("last.t").alias("before_t"))
+    starts = entries.join(earlier, ["set_first", "bucket"], "left").withColumn(
         "own_live", F.coalesce(F.col("before_t") > F.col("first.t") - ttl, F.lit(False))
     )
     first_rows = starts.select(F.col("first.query_id").alias("query_id"), "own_live")
@@ -144,57 +148,54 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
         used.select("query_id", *scope, "set_id").join(first_rows, "query_id", "left")
         .filter(F.coalesce("own_live", F.lit(True))).select("query_id", *scope, "set_id")
     )
-    same = lookup_join(own, sets.select(*scope, "set_id", "set_first"), [*scope, "set_id"], "inner").select(
+    same = lookup_join(own, names, [*scope, "set_id"], "inner").select(
         "query_id", F.col("set_first").alias("match_id"), F.lit(1.0).alias("similarity")
     )
 
     # The rarest tokens of each set.
-    words = sets.select(*scope, "set_id", "m", F.explode("set").alias("token"))
+    words = sets.select("set_first", *scope, "m", F.explode("set").alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     keep = (F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).cast("int")
-    prefixes = (
+    prefixes = durable(
         lookup_join(words, counts, ["token"], "inner")
-        .groupBy(*scope, "set_id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_rare"))
-        .select(*scope, "set_id", "m", F.explode(F.slice("_rare", F.lit(1), keep)["token"]).alias("token"))
+        .groupBy("set_first", *scope, "m").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_rare"))
+        .select("set_first", *scope, "m", F.explode(F.slice("_rare", F.lit(1), keep)["token"]).alias("token"))
     )
     probes = starts.filter(~F.col("own_live")).select(
-        *scope, "bucket", F.col("set_id").alias("probe"), F.col("first.query_id").alias("query_id"),
-        F.col("first").alias("own"),
+        F.col("set_first").alias("probe"), "bucket", F.col("first.query_id").alias("query_id"), F.col("first").alias("own"),
     )
-    probe_tokens = (
-        probes.join(prefixes.withColumnRenamed("set_id", "probe"), [*scope, "probe"])
-        .withColumnRenamed("m", "probe_m")
+    probe_tokens = probes.join(
+        prefixes.withColumnsRenamed({"set_first": "probe", "m": "probe_m"}), "probe"
     )
     # An entry is seen from its own bucket by its first use, from the next by its last.
     visible = entries.select(
-        *scope, "set_id",
+        "set_first",
         F.inline(F.array(
             F.struct(F.col("bucket").alias("bucket"), F.col("first").alias("seen")),
             F.struct((F.col("bucket") + 1).alias("bucket"), F.col("last").alias("seen")),
         )),
     )
-    entry_tokens = visible.join(prefixes, [*scope, "set_id"])
+    entry_tokens = visible.join(prefixes, "set_first")
     pairs = (
         probe_tokens.join(entry_tokens, [*scope, "token", "bucket"])
         .filter(
-            (F.col("probe") != F.col("set_id"))
+            (F.col("probe") != F.col("set_first"))
             & (F.col("seen") < F.col("own")) & (F.col("seen.t") > F.col("own.t") - ttl)
             & (F.col("m") >= F.col("probe_m") * threshold - 1e-9)
             & (F.col("probe_m") >= F.col("m") * threshold - 1e-9)
         )
-        .select(*scope, "query_id", "probe", "set_id").distinct()
+        .select("query_id", "probe", "set_first").distinct()
     )
-    left = sets.select(*scope, F.col("set_id").alias("probe"), F.col("set").alias("probe_set"))
-    right = sets.select(*scope, "set_id", "set", "set_first")
+    left = sets.select(F.col("set_first").alias("probe"), F.col("set").alias("probe_set"))
     scored = (
-        pairs.join(left, [*scope, "probe"]).join(right, [*scope, "set_id"])
+        pairs.join(left, "probe").join(sets.select("set_first", "set"), "set_first")
         .withColumn("similarity", token_jaccard(F.col("probe_set"), F.col("set")))
         .filter(F.col("similarity") >= threshold)
     )
     near = scored.groupBy("query_id").agg(
-        F.max(F.struct("similarity", -F.col("set_first"))).alias("_best")
+        F.max(F.struct(F.col("similarity"), (-F.col("set_first")).alias("order"))).alias("_best")
     ).select(
-        "query_id", (-F.col("_best")["col2"]).alias("match_id"), F.col("_best.similarity").alias("similarity")
+        "query_id", (-F.col("_best.order")).alias("match_id"), F.col("_best.similarity").alias("similarity")
     )
     return same.unionByName(near).withColumn("similarity", F.round("similarity", 6))
 

@@ -61,7 +61,7 @@ def dedup_first(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     )
     shards = (
         marked.groupBy(*keys, "category").agg(F.min("ord").alias("_at"), F.count(F.lit(1)).alias("_n"))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "category", "_n"))).alias("_shards"))
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_at", "category", "_n"))).alias("_shards"))
     )
     named = F.transform("_shards", lambda s: F.struct(s["category"].alias("category"), s["_n"].alias("n")))
     return first.join(shards, keys).select(

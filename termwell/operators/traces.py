@@ -178,7 +178,7 @@ def source_label(sources: DataFrame) -> DataFrame:
     """Distinct sources of a run joined by "+" in order of appearance."""
     distinct = sources.filter(F.col("rag_source").isNotNull()).groupBy("run_id", "rag_source").agg(F.min("ord").alias("_at"))
     labels = distinct.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "rag_source"))).alias("_s")
+        F.sort_array(F.collect_list(F.struct("_at", "rag_source"))).alias("_s")
     ).select("run_id", F.array_join(F.col("_s.rag_source"), "+").alias("label"))
     return sources.select("run_id").distinct().join(labels, "run_id", "left").select(
         "run_id", F.coalesce(F.nullif("label", F.lit("")), F.lit("mixed")).alias("label")

@@ -215,9 +215,9 @@ def run_audit(stages: DataFrame) -> DataFrame:
     failed, rolled_back = F.col("failed"), F.col("rolled_back")
     entry = F.struct("stage", F.struct((~failed).alias("passed"), F.col("quality_score")).alias("validation"))
     return per_stage.groupBy("run_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("validations"),
-        F.array_sort(F.collect_list(F.when(~failed, F.col("stage")))).alias("done"),
-        F.array_sort(F.collect_list(F.when(failed, F.col("stage")))).alias("failed_stages"),
-        F.array_sort(F.collect_list(F.when(rolled_back, F.struct("stage", "note")))).alias("rollbacks"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("validations"),
+        F.sort_array(F.collect_list(F.when(~failed, F.col("stage")))).alias("done"),
+        F.sort_array(F.collect_list(F.when(failed, F.col("stage")))).alias("failed_stages"),
+        F.sort_array(F.collect_list(F.when(rolled_back, F.struct("stage", "note")))).alias("rollbacks"),
         F.bool_or(failed | rolled_back).alias("degraded"),
     )

@@ -31,7 +31,7 @@ def _payloads(spark, sf):
         "date_sortable": F.when(F.col("ord") % 4 == 0, F.lit("")).otherwise(F.col("date_sortable")),
     })
     item = F.to_json(F.struct(*_FIELDS))
-    texts = rows.groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))).alias("items"))
+    texts = rows.groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("ord", item.alias("item")))).alias("items"))
     body = F.concat(F.lit("["), F.array_join(F.col("items.item"), ",\n"), F.lit("]"))
     raw = (
         F.when(F.col("payload_id") % 11 == 5, F.lit("Sorry, no data."))

@@ -168,7 +168,7 @@ def _shown(names: dict[str, str]) -> str:
 
 
 def _map_text(column):
-    return F.array_join(F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"]))), ", ")
+    return F.array_join(F.sort_array(F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"]))), ", ")
 
 
 _FILTER_TEXT = _shown({

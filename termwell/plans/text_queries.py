@@ -186,7 +186,7 @@ def context_block(spark, sf):
         F.lit("## "), F.col("name"), F.lit(" ("), F.col("section"), F.lit(") — score "), shown, F.lit("\n"), F.col("text")
     )
     blocks = bm25_topk(spark, sf).join(frame(spark, sf, "chunks"), "chunk_id").select("query_id", "rank", block.alias("block"))
-    gathered = F.array_sort(F.collect_list(F.struct("rank", "block")))
+    gathered = F.sort_array(F.collect_list(F.struct("rank", "block")))
     return blocks.groupBy("query_id").agg(F.array_join(gathered["block"], "\n\n").alias("context"))
 
 
@@ -196,7 +196,7 @@ def exam_context(spark, sf):
     """All sections of one exam; an exam has three chunks."""
     chunks = catalog.chunk_upsert(catalog.make_chunks(wide_frame(spark, sf, "listing"), F.col("stored_at")))
     block = F.concat(F.lit("["), F.upper("section"), F.lit("] "), F.col("text"))
-    gathered = F.array_sort(F.collect_list(F.struct(F.col("chunk_id"), block.alias("block"))))
+    gathered = F.sort_array(F.collect_list(F.struct(F.col("chunk_id"), block.alias("block"))))
     return chunks.groupBy("name", "org").agg(F.array_join(gathered["block"], "\n\n").alias("context"))
 
 
@@ -219,7 +219,7 @@ def result_lines(spark, sf):
         F.lit(" | Deadline: "), F.col("deadline"), F.lit(" | Diff: "), F.col("difficulty"), F.lit(" | Cost: "), F.col("cost"),
     )
     top = _run_rows(spark, sf).filter("position < 8").select("run_id", "position", line.alias("line"))
-    gathered = F.array_sort(F.collect_list(F.struct("position", "line")))
+    gathered = F.sort_array(F.collect_list(F.struct("position", "line")))
     return top.groupBy("run_id").agg(F.array_join(gathered["line"], "\n").alias("lines"))
 
 
