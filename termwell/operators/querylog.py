@@ -58,7 +58,7 @@ def _anchors_of_hot_keys(times: DataFrame, key: str, ttl: int) -> DataFrame | No
 
     anchors = None
     for (number,) in stored.select(SLICE).distinct().orderBy(SLICE).toLocalIterator():
-        part = stored.filter(F.col(SLICE) == number).select(key, "t").join(F.broadcast(state), key, "left")
+        part = stored.filter(F.col(SLICE) == number).select(key, "t").join(state, key, "left")
         fresh = durable(part.groupBy(key).applyInPandas(walk, f"{key} {key_type}, anchor bigint"))
         latest = fresh.select(key, F.col("anchor").alias("last"))
         state = durable(state.unionByName(latest).groupBy(key).agg(F.max("last").alias("last")))

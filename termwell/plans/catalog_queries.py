@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termwell.operators import catalog
+from termwell.operators.joins import sized_broadcast
 from termwell.plans.registry import query
 from termwell.plans.tables import AS_OF, ctes, frame, provided, wide_frame
 from termwell.plans.text_queries import CHUNKS_SQL, LISTING, dashed_sql
@@ -166,8 +167,8 @@ def facets(spark, sf):
   FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) GROUP BY r_name, initcap_like""")
 def region_vocabulary(spark, sf):
     """Customers per region, with the vocabulary entry the region name matches."""
-    nations = F.broadcast(provided(spark, sf, "nation"))
-    regions = F.broadcast(provided(spark, sf, "region"))
+    nations = sized_broadcast(provided(spark, sf, "nation"))
+    regions = sized_broadcast(provided(spark, sf, "region"))
     placed = (
         provided(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
