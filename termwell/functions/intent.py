@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from termwell.functions.literals import no_texts, sql_text, text_array, text_map
-from termwell.functions.patterns import FLAGS, FLAGS_IGNORE_CASE, first_matching, matching, matching_all, words, words_found
+from termwell.functions.patterns import FLAGS_IGNORE_CASE, first_matching, matching, matching_all, words, words_found
 from termwell.functions.text import tokens
 from termwell.vocab import query_rules as rules
 from termwell.vocab.listing import MONTHS

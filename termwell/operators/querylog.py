@@ -96,9 +96,16 @@ def token_set(text: Column) -> Column:
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two token sets, each without repeats; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(shared > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
+    """Shared share of two token sets, each without repeats; 0 if either is empty.
+
+    The lambda holds the intersection, which is costly, so it is taken once.
+    """
+    both = F.size(a) + F.size(b)
+    shares = F.transform(
+        F.array(F.size(F.array_intersect(a, b))),
+        lambda shared: F.when(shared > 0, shared / (both - shared)).otherwise(0.0),
+    )
+    return shares[0]
 
 
 def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float = NEAR_DUPLICATE_JACCARD,

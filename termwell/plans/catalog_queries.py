@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termwell.operators import catalog
 from termwell.operators.joins import sized_broadcast
 from termwell.plans.registry import query
-from termwell.plans.tables import AS_OF, ctes, frame, provided, wide_frame
+from termwell.plans.tables import AS_OF, frame, provided, wide_frame
 from termwell.plans.text_queries import CHUNKS_SQL, LISTING, dashed_sql
 from termwell.session import run_dir
 from termwell.sources import frames, logs, payloads

@@ -10,7 +10,7 @@ from termwell.operators import quality
 from termwell.operators.layout import spread
 from termwell.plans.intent_queries import lit, words_apart
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame, provided, wide_frame
+from termwell.plans.tables import ctes, provided, wide_frame
 from termwell.plans.text_queries import sanitised_sql
 from termwell.vocab import guard_rules as rules
 from termwell.vocab.listing import CATEGORIES, DIFFICULTIES, MONTHS, REGIONS, SORT_MODES

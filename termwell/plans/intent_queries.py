@@ -8,7 +8,7 @@ from termwell.functions import intent as I
 from termwell.functions import text as T
 from termwell.operators import validate
 from termwell.plans.registry import query
-from termwell.plans.tables import ctes, frame, wide_frame
+from termwell.plans.tables import ctes, wide_frame
 from termwell.plans.text_queries import request_row
 from termwell.sources import payloads
 from termwell.vocab import query_rules as rules

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termwell.functions import intent as I
 from termwell.operators import ranking as K
 from termwell.plans import search
 from termwell.plans.intent_queries import EFFECTIVE_SQL

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termwell.plans.guard_queries import REQUEST_FIELD_SQL, VERDICT_SQL
 from termwell.plans.registry import query
-from termwell.plans.tables import EVENT_TYPES, ctes, frame
+from termwell.plans.tables import EVENT_TYPES, frame
 from termwell.plans.text_queries import CHUNKS_SQL
 from termwell.plans.trace_queries import BREAKER_SQL, PROGRESS_SQL, RECOVERY_S, _time
 from termwell.session import run_dir
