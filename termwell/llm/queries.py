@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termwell.llm import sharding  # noqa: F401
+from termwell.llm import mixing, sharding  # noqa: F401
 from termwell.llm.registry import REGISTRY
 
 
