@@ -81,20 +81,26 @@ def word_spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums over the bytes, from which the hash of any span follows."""
+    powers, _ = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[:-1], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes: equal spans have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers, inverses = _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+    _, inverses = _tables(len(sums))
     return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: str | bytes | None, inside: np.ndarray = ~SPACE) -> np.ndarray:
     """Hashes of the words of a text; words are runs of bytes of the given table, by default ``[^\\x20\\x09-\\x0D]+``."""
     data = np.frombuffer((text or "").encode() if not isinstance(text, bytes) else text, np.uint8)
-    return span_hashes(data, *word_spans(data, inside))
+    return span_hashes(hash_sums(data), *word_spans(data, inside))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
