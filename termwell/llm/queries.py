@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termwell.llm import decontaminate, language, licences, minhash, mixing, neighbours, quality, sharding, warc  # noqa: F401
+from termwell.llm import decontaminate, language, licences, minhash, mixing, neighbours, quality, sharding, substrings, warc  # noqa: F401
 from termwell.llm.registry import REGISTRY
 
 
