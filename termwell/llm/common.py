@@ -6,6 +6,9 @@ text gives the hashes of all its words, without a Python object per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,18 @@ def drop_stored(spark: SparkSession) -> int:
     return len(paths)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand Python at most so many rows at a time, for rows that may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that all bits depend on all bits."""
     x = x.astype(np.uint64, copy=True)
