@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from termwell.llm import decontaminate, language, licences, minhash, mixing, neighbours, quality, sharding, substrings, warc  # noqa: F401
-from termwell.llm.registry import REGISTRY
+import corpus_pipeline
+from termwell.llm import (  # noqa: F401
+    decontaminate,
+    language,
+    licences,
+    minhash,
+    mixing,
+    neighbours,
+    quality,
+    sharding,
+    substrings,
+    warc,
+)
+from termwell.llm.registry import REGISTRY, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 
 def load_llm_queries():
