@@ -49,7 +49,7 @@ RECORD_SCHEMA = ("archive string, page_id long, uri string, record_type string,
                  "payload_digest string, payload binary, error string")
 
 
-def with_roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def _with_roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Add ``sha1`` and ``refers_to``: the smallest identifier with an equal payload, null for that one itself.
 
     Payloads below ``min_bytes`` are never revisits. Counts are combined before
@@ -120,7 +120,7 @@ def _archive(batches):
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", payload: str = "html",
                    min_bytes: int = 0) -> None:
     """Write every row as a record; one archive per partition below ``path``."""
-    rows = with_roles(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).alias("uri"),
+    rows = _with_roles(pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(uri).alias("uri"),
                                    F.coalesce(F.col(payload), F.lit("")).alias("payload")),
                       payload="payload", min_bytes=min_bytes)
     frames = rows.select("page_id", "uri", F.col("payload").cast("binary").alias("payload"), "sha1", "refers_to")
