@@ -9,15 +9,17 @@ is done as soon as every part's first arrival lies before the horizon up to whic
 all arrivals are known, so most shingles cost one random number.
 
 Texts that agree in a band of ``ROWS`` parts are compared. Texts with equal word
-sequences are merged first. A bucket links its members to its smallest one and,
-in a ring, to their neighbours in a random order that every round draws anew; a
-bucket of at most ``SMALL_BUCKET`` members links all. Links are verified on the
-exact similarity, verified links joined to classes, and buckets that still
-hold several classes go into another round, until a round finds no new link. So
-work per round is proportional to the members, never to the pairs of a group.
+sequences are merged first. A bucket pairs its members with one of them, its hub,
+and in some buckets, in a ring, with their neighbours in a random order; a bucket
+of at most ``SMALL_BUCKET`` members pairs all. Pairs whose signatures agree in
+``LEAST_AGREE`` parts are verified on the exact similarity, and verified links are
+joined to classes. Buckets that still hold several classes go into another round:
+up to ``MIDDLE_BUCKET`` members, all pairs across classes are compared, beyond it a
+new hub and a new ring are drawn, until a round finds no new link. So work per
+round is proportional to the members, never to the pairs of a large group.
 
 With 32 bands of 4, a pair at similarity 0.8 meets in no band with probability
-5e-8.
+5e-8, and agrees in fewer than ``LEAST_AGREE`` parts with 1e-8.
 
 Defined cases: a null text has no words; all texts without words form one class;
 texts of fewer than five words have one shingle, all their words; an empty table
@@ -37,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termwell.llm.common import mixed, read_table, shingle_hashes, stored, word_hashes
+from termwell.llm.common import mixed, read_table, shingle_hashes, small_batches, stored, word_hashes
 from termwell.llm.registry import query
 
 SHINGLE = 5
@@ -46,6 +48,9 @@ BANDS = 32
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 SMALL_BUCKET = 8
+MIDDLE_BUCKET = 64
+RING_SHARE = 4
+LEAST_AGREE = 76
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,13 +140,15 @@ def _sequence_key(words: np.ndarray) -> int:
 
 def _signatures(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, bands = [], []
-        for text in batch.column("text").to_pylist():
-            words = word_hashes(text)
+        keys, bands, sketches = [], [], []
+        for text in batch.column("text"):
+            words = word_hashes(text.as_py())
+            signature = prob_minhash(*weighted_shingles(words))
             keys.append(_sequence_key(words))
-            bands.append(band_hashes(prob_minhash(*weighted_shingles(words))).tobytes() if len(words) else None)
+            bands.append(band_hashes(signature).tobytes() if len(words) else None)
+            sketches.append((mixed(signature) & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "rep": pa.array(keys, pa.int64()),
-                               "bands": pa.array(bands, pa.binary())})
+                               "bands": pa.array(bands, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
 
 def _unpacked(batches) -> Iterator[pa.RecordBatch]:
@@ -163,11 +170,20 @@ def _shingled(batches) -> Iterator[pa.RecordBatch]:
                 "counts": pa.array([s[1].astype(np.int32).tobytes() for s in sets], pa.binary())})
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-    load = lambda items, counts: (np.frombuffer(items, np.uint64), np.frombuffer(counts, np.int32))
-    return pd.Series([probability_jaccard(load(w, x), load(y, z)) >= THRESHOLD
-                      for w, x, y, z in zip(a, na, b, nb, strict=True)], dtype=bool)
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+@F.arrow_udf(T.IntegerType())
+def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Parts in which two signatures agree, from one byte of each part."""
+    return pa.array((_rows(a, COMPONENTS) == _rows(b, COMPONENTS)).sum(axis=1).astype(np.int32))
+
+
+@F.arrow_udf(T.DoubleType())
+def _similarity(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
+    load = lambda items, counts: (np.frombuffer(items.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int32))
+    return pa.array([probability_jaccard(load(w, x), load(y, z)) for w, x, y, z in zip(a, na, b, nb, strict=True)], pa.float64())
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -194,52 +210,53 @@ def connected(links: DataFrame) -> DataFrame:
 
 def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
     """Pairs (a, b) of texts of different classes that this round compares, each once."""
-    rows = buckets
-    if classes is not None:
-        rows = buckets.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-        mixed_up = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter(
-            "low < high").select("bucket")
-        rows = rows.join(mixed_up, "bucket", "left_semi")
+    if classes is None:
+        rows = buckets.withColumn("class", F.col("rep"))
     else:
-        rows = rows.withColumn("class", F.col("rep"))
-    member = F.struct(F.xxhash64("rep", F.lit(number)).alias("turn"), F.col("rep").alias("rep"), F.col("class").alias("class"))
-    # The hub of a bucket: its smallest text, in later rounds a random one.
-    first = F.min("rep") if number == 0 else F.min(member)["rep"]
-    hubs = rows.groupBy("bucket").agg(first.alias("hub"), F.count(F.lit(1)).alias("n"),
-                                      F.min_by("class", "rep" if number == 0 else member).alias("hub_class"))
-    hubs = hubs.filter("n > 1")
-    joined = rows.join(hubs, "bucket")
-    star = joined.filter((F.col("class") != F.col("hub_class"))).select(
-        F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    small = joined.filter(F.col("n") <= SMALL_BUCKET)
-    few = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
-    pairs = few.select(F.explode(F.expr(
-        "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.class <> x.class), "
-        "y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p")).select("p.a", "p.b")
-    large = joined.filter(F.col("n") > SMALL_BUCKET)
-    # The ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
-    block = large.withColumn("turn", F.xxhash64("rep", "bucket", F.lit(number))).withColumn(
-        "block", F.pmod(F.col("turn"), F.ceil(F.col("n") / F.lit(1000))))
+        rows = buckets.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    turn = F.xxhash64("rep", "bucket", F.lit(number))
+    # The hub of a bucket: its smallest text at first, so that buckets of a group share it, then a random one.
+    order = F.struct(F.col("rep") if number == 0 else turn, F.col("rep"))
+    about = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), F.col("rep").alias("hub"), F.col("class").alias("hub_class")))
+        .alias("first"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(
+        "bucket", "n", "first.hub", "first.hub_class")
+    joined = rows.join(about, "bucket")
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    few = joined.filter(F.col("n") <= (SMALL_BUCKET if number == 0 else MIDDLE_BUCKET))
+    many = joined.filter(F.col("n") > (SMALL_BUCKET if number == 0 else MIDDLE_BUCKET))
+    star = many.filter(F.col("class") != F.col("hub_class")).select(*pair("hub", "rep"))
+    # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
+    placed = many.filter(F.pmod("bucket", F.lit(RING_SHARE)) == number % RING_SHARE).withColumn("turn", turn).withColumn(
+        "block", F.pmod("turn", F.ceil(F.col("n") / F.lit(1000))))
     after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
-    ring = block.select("rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
-    ring = ring.filter("other IS NOT NULL AND class <> other_class").select(
-        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    return star.union(pairs).union(ring).distinct()
+    ring = placed.select("rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
+    found = star.union(ring.filter("class <> other_class").select(*pair("rep", "other")))
+    if number < 2:  # later rounds would find the same pairs
+        lists = few.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
+        every = lists.select(F.explode(F.expr(
+            "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.class <> x.class), "
+            "y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p"))
+        found = found.union(every.select(*pair("p.a", "p.b")))
+    return found.distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id): the class of each row, named by its smallest document."""
+    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(docs.mapInArrow(_signatures, "doc_id long, rep long, bands binary"), "signatures")
-    texts = stored(signed.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
+    with small_batches(spark):
+        signed = stored(docs.mapInArrow(_signatures, "doc_id long, rep long, bands binary, sketch binary"), "signatures")
+    texts = stored(signed.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
+                                             F.first("sketch").alias("sketch")), "texts")
     every = texts.filter("bands IS NOT NULL").select("rep", "bands").mapInArrow(_unpacked, "bucket long, rep long")
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = stored(every.join(crowded, "bucket", "left_semi"), "buckets")
+    sets = None
 
-    members = buckets.select("rep").distinct()
-    speakers = texts.join(members, "rep", "left_semi").select("doc_id")
-    sources = docs.join(speakers, docs["doc_id"].eqNullSafe(speakers["doc_id"]), "left_semi").select("text")
-    sets = stored(sources.mapInArrow(_shingled, "rep long, items binary, counts binary").dropDuplicates(["rep"]), "shingles")
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
+        return pairs.join(named("a"), "a").join(named("b"), "b")
 
     tried, links, classes, number = None, None, None, 0
     while True:
@@ -247,12 +264,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        if pairs.limit(1).count() == 0:
-            break
         tried = pairs if tried is None else tried.union(pairs)
-        left = sets.select(F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("na"))
-        right = sets.select(F.col("rep").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("nb"))
-        fresh = stored(pairs.join(left, "a").join(right, "b").filter(_similar("ia", "na", "ib", "nb")).select("a", "b"), "similar")
+        close = stored(both(pairs, texts.select("rep", "sketch")).filter(
+            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
+        if close.limit(1).count():
+            if sets is None:
+                members = buckets.select("rep").distinct()
+                speakers = texts.join(members, "rep", "left_semi").select("doc_id")
+                sources = docs.join(speakers, docs["doc_id"].eqNullSafe(speakers["doc_id"]), "left_semi").select("text")
+                with small_batches(spark):
+                    sets = stored(sources.mapInArrow(_shingled, "rep long, items binary, counts binary").dropDuplicates(["rep"]), "shingles")
+            with small_batches(spark):
+                fresh = stored(both(close, sets).filter(
+                    _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
+        else:
+            fresh = close
         if fresh.limit(1).count() == 0 and number > 0:
             break
         links = fresh if links is None else links.union(fresh)
