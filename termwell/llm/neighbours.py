@@ -125,9 +125,9 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[vectors, rest]
 
 
-def _asked(vectors: np.ndarray) -> np.ndarray:
-    """Queries at length one; their last component is 0."""
-    return np.c_[vectors / np.linalg.norm(vectors, axis=1, keepdims=True), np.zeros(len(vectors))]
+def _asked(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Queries as long as the vectors; their last component is 0."""
+    return np.c_[vectors * (longest / np.linalg.norm(vectors, axis=1, keepdims=True)), np.zeros(len(vectors))]
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -161,12 +161,12 @@ def _placed(forest, longest: float, copies: int, chunks: int):
     return place
 
 
-def _probing(forest, copies: int, chunks: int):
+def _probing(forest, longest: float, copies: int, chunks: int):
     def probe(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                margins = forest.value.margins(_asked(_matrix(part.column("v")))).tolist()
+                margins = forest.value.margins(_asked(_matrix(part.column("v")), longest)).tolist()
                 found = [forest.value.probes(m) for m in margins]
                 rows = np.repeat(np.arange(part.num_rows), [len(f) * chunks for f in found])
                 tree, leaf = np.array([pair for f in found for pair in f for _ in range(chunks)], np.int32).reshape(-1, 2).T
@@ -248,7 +248,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEIGHBOURS, vec_id: str =
     held = distinct.select("h2", "v", "ids").mapInArrow(
         _placed(forest, longest, blocks, chunks), "tree int, leaf int, chunk int, block int, v array<double>, ids array<long>")
     probes = asked.select("h1", "h2", "v").mapInArrow(
-        _probing(forest, blocks, chunks), "tree int, leaf int, chunk int, block int, h1 long, h2 long, v array<double>")
+        _probing(forest, longest, blocks, chunks), "tree int, leaf int, chunk int, block int, h1 long, h2 long, v array<double>")
     key = ["tree", "leaf", "chunk", "block"]
     ranked = probes.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(
         lambda a, b: _best(k + 1)(a, b), "h1 long, h2 long, ids array<long>, scores array<double>")
