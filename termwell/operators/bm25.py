@@ -9,6 +9,7 @@ one task, whatever their share of the postings.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,24 +38,25 @@ class Index:
     stats: DataFrame
 
 
-def first_per_chunk(chunks: DataFrame, order: str) -> DataFrame:
+def first_per_chunk(chunks: DataFrame, order: str | Sequence[str]) -> DataFrame:
     """The first row of every chunk id; later duplicates are ignored."""
     rest = [column for column in chunks.columns if column != "chunk_id"]
+    place = F.col(order) if isinstance(order, str) else F.struct(*order)
     return chunks.groupBy("chunk_id").agg(
-        F.min_by(F.struct(*rest), F.col(order)).alias("_row")
+        F.min_by(F.struct(*rest), place).alias("_row")
     ).select("chunk_id", *[F.col(f"_row.{column}").alias(column) for column in rest])
 
 
 FIELDS = ["name", "section", "region", "category", "tags", "text"]
 
 
-def doc_tokens(chunks: DataFrame) -> DataFrame:
+def doc_tokens(chunks: DataFrame, order: str | None = None) -> DataFrame:
     """Token list and length per chunk, split by chunk id.
 
     The raw fields are shuffled rather than the larger token lists, and the one
     shuffle serves postings, lengths and document counts.
     """
-    docs = chunks.select("chunk_id", *FIELDS).repartition("chunk_id")
+    docs = first_per_chunk(chunks.select("chunk_id", *FIELDS, *([order] if order else [])), order or FIELDS)
     return (
         docs.select("chunk_id", tokens(index_text(*[F.col(field) for field in FIELDS])).alias("tokens"))
         .select("chunk_id", F.size("tokens").alias("dl"), "tokens")
@@ -67,9 +69,9 @@ def corpus_stats(doc_len: DataFrame) -> DataFrame:
     )
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Full index of chunks with unique chunk ids."""
-    docs = doc_tokens(chunks)
+def build_index(chunks: DataFrame, order: str | None = None) -> Index:
+    """Full index of chunks; of rows with one chunk id the first by ``order`` counts, else by its fields."""
+    docs = doc_tokens(chunks, order)
     postings = (
         docs.select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
         .filter(F.col("term").isNotNull())

@@ -200,9 +200,9 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
         .filter(F.col("similarity") >= threshold)
     )
     near = scored.groupBy("query_id").agg(
-        F.max(F.struct(F.col("similarity"), (-F.col("set_first")).alias("order"))).alias("_best")
+        F.min(F.struct((-F.col("similarity")).alias("order"), F.col("set_first").alias("match_id"))).alias("_best")
     ).select(
-        "query_id", (-F.col("_best.order")).alias("match_id"), F.col("_best.similarity").alias("similarity")
+        "query_id", F.col("_best.match_id").alias("match_id"), (-F.col("_best.order")).alias("similarity")
     )
     return same.unionByName(near).withColumn("similarity", F.round("similarity", 6))
 

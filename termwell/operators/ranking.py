@@ -224,9 +224,13 @@ def head_limit(rows: DataFrame, order: Sequence[Column], limit: int) -> DataFram
 
 
 def enrich_select(ranked: DataFrame, top_n: Column, order: Sequence[Column]) -> DataFrame:
-    """The best ``top_n`` rows of each query; ``top_n`` is a column of the row."""
+    """The best ``top_n`` rows of each query; ``top_n`` is a column of the row.
+
+    The largest ``top_n`` is read first, so that each task passes on no more rows of a query.
+    """
+    most = ranked.agg(F.max(top_n)).first()[0] or 0
     at = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return ranked.withColumn("rank", at).filter((F.col("rank") <= MAX_PAGE_SIZE) & (F.col("rank") <= top_n))
+    return ranked.withColumn("rank", at).filter((F.col("rank") <= int(most)) & (F.col("rank") <= top_n))
 
 
 def enrich_merge(rows: DataFrame, enriched: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -19,6 +19,9 @@ class SparkSql:
     def plus_seconds(self, timestamp: str, seconds: str) -> str:
         return f"timestampadd(SECOND, CAST({seconds} AS INT), {timestamp})"
 
+    def explode_range(self, count: int) -> str:
+        return f"explode(sequence(0, {count - 1}))"
+
     def char(self, code: int) -> str:
         return f"chr({code})"
 
@@ -47,6 +50,9 @@ class DuckSql(SparkSql):
     def plus_seconds(self, timestamp: str, seconds: str) -> str:
         return f"({timestamp} + to_seconds(CAST({seconds} AS BIGINT)))"
 
+    def explode_range(self, count: int) -> str:
+        return f"unnest(range({count}))"
+
     def json_int(self, column: str, key: str) -> str:
         return f"CAST(json_extract_string({column}, '$.{key}') AS BIGINT)"
 

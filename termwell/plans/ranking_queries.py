@@ -59,7 +59,7 @@ def presort(spark, sf):
     return K.presort(frame(spark, sf, "listing").select("category", "ord", "score"), ["category"], "score").drop("score")
 
 
-# Returned lines choose a new order for the offers of their supplier.
+# All lines choose a new order for the offers of their supplier.
 _LISTS = "lists AS (SELECT l_suppkey AS query_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS position, l_orderkey, l_linenumber FROM lineitem)"
 
 
@@ -76,14 +76,14 @@ def _lists(spark, sf):
 
 
 def _picks(spark, sf):
-    return provided(spark, sf, "lineitem").filter("l_returnflag <> 'N'").select(
+    return provided(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("query_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pick_no"),
         ((F.col("l_partkey") + F.col("l_linenumber")) % 14 - 1).alias("position"),
     )
 
 
 @query("rerank_merge", f"""WITH {_LISTS}, picks AS (SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS pick_no, (l_partkey + l_linenumber) % 14 - 1 AS position
-  FROM lineitem WHERE l_returnflag <> 'N'),
+  FROM lineitem),
 sizes AS (SELECT query_id, count(*) AS n FROM lists GROUP BY 1),
 valid AS (SELECT query_id, position, min(pick_no) AS pick FROM picks JOIN sizes USING (query_id) WHERE n > 8 AND position >= 0 AND position < least(n, 12) GROUP BY 1, 2),
 top AS (SELECT l.*, row_number() OVER (PARTITION BY l.query_id ORDER BY pick NULLS LAST, l.position) - 1 AS new_position

@@ -88,9 +88,10 @@ def bm25_index(spark, sf):
 @query("bm25_index_add", f"{_INDEX} SELECT chunk_id, dl, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, CAST(sum(df) AS BIGINT) AS df_sum "
                          "FROM postings JOIN doc_len USING (chunk_id) JOIN term_df USING (term) GROUP BY ALL")
 def bm25_index_add(spark, sf):
-    """Documents of one language indexed first, then all others added."""
+    """Documents of one language indexed first, then all others added; every row comes twice."""
     chunks = frame(spark, sf, "chunks")
-    index = bm25.add_to_index(bm25.build_index(chunks.filter("region = 'en'")), chunks)
+    first = chunks.filter("region = 'en'")
+    index = bm25.add_to_index(bm25.build_index(first.unionByName(first)), chunks.unionByName(chunks))
     return index.postings.join(index.term_df, "term").groupBy("chunk_id", "dl").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.sum("df").alias("df_sum")
     )
@@ -327,23 +328,23 @@ def enrichment_context(spark, sf):
     )
 
 
-@query("weighted_keyword_score", f"""{ctes('listing', 'questions')}, fields AS (SELECT ord, tags, name, category, subjects, countries, org, region, coalesce(description, '') AS description FROM listing),
-offered AS (SELECT q.query_id, q.text, f.* FROM questions q JOIN fields f ON f.ord = q.query_id // 1000),
+@query("weighted_keyword_score", f"""{ctes('listing', 'questions', 'offers')}, fields AS (SELECT ord, tags, name, category, subjects, countries, org, region, coalesce(description, '') AS description FROM listing),
+offered AS (SELECT q.query_id, q.text, f.* FROM offers o JOIN questions q USING (query_id) JOIN fields f ON f.ord = o.ord),
 words AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM offered)
 SELECT query_id, ord, CASE WHEN len(w) > 0 THEN round(({' + '.join(
     f"CAST({weight} AS DOUBLE) * len(list_intersect(w, regexp_extract_all(lower({column}), '[a-z0-9]+')))"
     for column, weight in (("array_to_string(tags, ' ')", 3.0), ("name", 2.5), ("category", 2.0),
         ("array_to_string(subjects, ' ')", 1.5), ("array_to_string(countries, ' ')", 1.5), ("org", 1.0), ("region", 1.0), ("description", 0.8)))}) / (CAST(13.3 AS DOUBLE) * len(w)), 4) ELSE 0.0 END AS score FROM words""")
 def weighted_keyword_score(spark, sf):
-    """Each question scored against the listing row of its conversation number."""
-    row = frame(spark, sf, "listing")
-    asked = frame(spark, sf, "questions").withColumn("ord", F.floor(F.col("query_id") / 1000))
-    words = {
-        field: T.tokens(F.array_join(field, " ") if field in ("tags", "subjects", "countries") else T.text_or_empty(F.col(field)))
+    """Each question scored against all listing rows offered to it."""
+    # Words are found once per listing row and per question, not once per pair.
+    rows = frame(spark, sf, "listing").select("ord", *[
+        T.tokens(F.array_join(field, " ") if field in ("tags", "subjects", "countries") else T.text_or_empty(F.col(field))).alias(field)
         for field in bm25.FIELD_WEIGHTS
-    }
-    score = bm25.keyword_score(T.tokens(F.col("query_text")), words)
-    joined = asked.withColumnRenamed("text", "query_text").join(row, "ord")
+    ])
+    asked = frame(spark, sf, "questions").select("query_id", T.tokens(F.col("text")).alias("words"))
+    score = bm25.keyword_score(F.col("words"), {field: F.col(field) for field in bm25.FIELD_WEIGHTS})
+    joined = frame(spark, sf, "offers").join(asked, "query_id").join(rows, "ord")
     return joined.select("query_id", "ord", score.alias("score"))
 
 

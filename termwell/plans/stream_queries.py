@@ -124,14 +124,16 @@ def stream_expiry(spark, sf):
     return expired.select("key", F.date_format(F.timestamp_millis("expired_ms"), "yyyy-MM-dd").alias("expired_on"))
 
 
-@query("stream_ingest", f"""{CHUNKS_SQL} SELECT section, count(DISTINCT chunk_id) AS chunks, count(DISTINCT chunk_id) AS indexed FROM store GROUP BY section""")
+@query("stream_ingest", f"""{CHUNKS_SQL} SELECT chunk_id, section, ord, strftime(stored_at, '%Y-%m-%d') AS stored_on, 1::BIGINT AS indexed
+FROM store QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY stored_at DESC, ord DESC) = 1""")
 def stream_ingest(spark, sf):
-    """Catalog rows arriving in three files become chunks and index entries once each."""
+    """Catalog rows arriving in three files: the store holds the latest version of a chunk, the index each chunk once."""
+    from termwell.operators import catalog
+
     listing = _timestamps(frame(spark, sf, "listing"), "stored_at")
     path = run_dir(spark, "ingest")
     jobs.stream_ingest(_stream(listing, "listing", 3, "ord"), path)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    lengths = spark.read.parquet(f"{path}/index/doc_len").select(F.col("chunk_id").alias("indexed_id"))
-    return chunks.join(lengths, F.col("chunk_id") == F.col("indexed_id"), "left").groupBy("section").agg(
-        F.count("chunk_id").alias("chunks"), F.count("indexed_id").alias("indexed")
-    )
+    chunks = catalog.chunk_upsert(spark.read.parquet(f"{path}/chunks").drop("batch", "expires_at"))
+    lengths = spark.read.parquet(f"{path}/index/doc_len").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("indexed"))
+    return chunks.join(lengths, "chunk_id", "left").select(
+        "chunk_id", "section", "ord", F.date_format("stored_at", "yyyy-MM-dd").alias("stored_on"), "indexed")

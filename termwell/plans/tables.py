@@ -132,12 +132,12 @@ def queries(d: SparkSql) -> str:
 
 
 def questions(d: SparkSql) -> str:
-    """Query texts with words of the rule tables, some followed by a whole message."""
+    """Query texts with words of the rule tables, each followed by a whole message."""
     c, t = "conv_id", "turn"
     return f"""
 SELECT {c} * 1000 + {t} AS query_id,
   concat({pick(d, TOPICS, f"{c} + {t}")}, ' ', {pick(d, PLACES, f"{c} + 3 * {t}")}, ' ',
-         {pick(d, TIMES, f"{c} * 3 + {t}")}, CASE WHEN {t} % 2 = 1 THEN concat(' ', text) ELSE '' END) AS text
+         {pick(d, TIMES, f"{c} * 3 + {t}")}, ' ', text) AS text
 FROM conversations"""
 
 
@@ -161,17 +161,16 @@ FROM ({questions(d)}) AS base"""
 
 
 def guard_requests(d: SparkSql) -> str:
-    """Raw request texts that trip the input rules, alone or before a whole message."""
+    """Whole messages, each by itself, after a text that trips the input rules, and that text alone."""
     c, t = "conv_id", "turn"
+    trip = f"""concat({pick(d, GUARD_TEXTS, f"{c} * 7 + {t}")}, CASE WHEN {c} % 11 = 3 THEN {d.char(7)} ELSE '' END)"""
     return f"""
-SELECT {c} * 1000 + {t} AS query_id,
-  concat({pick(d, GUARD_TEXTS, f"{c} * 7 + {t}")},
-         CASE WHEN {c} % 11 = 3 THEN {d.char(7)} ELSE '' END,
-         CASE WHEN {t} % 3 = 2 THEN concat(' ', text) ELSE '' END) AS query,
+SELECT ({c} * 1000 + {t}) * 3 + form AS query_id,
+  CASE form WHEN 0 THEN text WHEN 1 THEN concat({trip}, ' ', text) ELSE {trip} END AS query,
   {pick(d, [None, "Asia", "global", "", "Mars", "Europe", "Africa"], c)} AS region,
   CASE WHEN {c} % 13 = 5 THEN repeat('x', 100) ELSE 'Government' END AS category,
   {pick(d, ["Hard", None, "very hard", "Ultra Hard", "Medium"], t)} AS difficulty
-FROM conversations"""
+FROM (SELECT *, {d.explode_range(3)} AS form FROM conversations) AS forms"""
 
 
 def ranked(d: SparkSql) -> str:
@@ -185,10 +184,11 @@ FROM lineitem JOIN ({listing(d)}) AS p ON p.ord = l_partkey"""
 
 
 def offers(d: SparkSql) -> str:
-    """Catalog rows fetched per request: the parts of ten orders, some forty."""
-    return f"""
-SELECT DISTINCT query_id, l_partkey AS ord
-FROM lineitem JOIN ({questions(d)}) AS asked ON CAST(floor(l_orderkey / 10) AS BIGINT) = CAST(floor(query_id / 1000) AS BIGINT)"""
+    """Catalog rows fetched per request: every line of an order belongs to one turn of one conversation."""
+    return """
+SELECT DISTINCT conv_id * 1000 + l_linenumber % turns AS query_id, l_partkey AS ord
+FROM (SELECT *, l_orderkey % (SELECT max(conv_id) + 1 FROM conversations) AS asked FROM lineitem) AS lines
+JOIN (SELECT conv_id, max(turn) + 1 AS turns FROM conversations GROUP BY conv_id) AS talks ON asked = conv_id"""
 
 
 def runs(d: SparkSql) -> str:

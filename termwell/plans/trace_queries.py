@@ -135,10 +135,10 @@ def calls_saved(spark, sf):
     return O.calls_saved(frame(spark, sf, "sources"))
 
 
-@query("source_rollup", f"{SOURCES} SELECT run_id, stage, CASE WHEN bool_and(rag_source = 'rag') THEN 'rag' ELSE 'mixed' END AS rag_source FROM sources WHERE value < 5 OR rag_source = 'rag' GROUP BY 1, 2")
+@query("source_rollup", f"{SOURCES} SELECT run_id, stage, CASE WHEN bool_and(rag_source = 'rag') THEN 'rag' ELSE 'mixed' END AS rag_source FROM sources GROUP BY 1, 2")
 def source_rollup(spark, sf):
-    """Parts of a stage: all from the index, and others that cost little."""
-    return O.source_rollup(frame(spark, sf, "sources").filter("value < 5 OR rag_source = 'rag'"))
+    """All parts of each stage of a run."""
+    return O.source_rollup(frame(spark, sf, "sources"))
 
 
 @query("source_label", f"""{SOURCES}, firsts AS (SELECT run_id, rag_source, min(ord) AS pos FROM sources GROUP BY 1, 2)

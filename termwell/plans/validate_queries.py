@@ -12,13 +12,13 @@ from termwell.vocab import query_rules as rules
 from termwell.vocab.runs import STAGES
 
 
-@query("validate_plan", """WITH shards AS (SELECT l_orderkey AS run_id, l_shipdate AS query FROM lineitem WHERE l_returnflag = 'A')
+@query("validate_plan", """WITH shards AS (SELECT l_orderkey AS run_id, l_shipdate AS query FROM lineitem)
 SELECT o_orderkey AS run_id, coalesce(n, 0) AS shards, coalesce(n, 0) >= 2 AS passed, round(least(1.0::DOUBLE, coalesce(n, 0) / 2::DOUBLE), 3) AS quality_score,
   coalesce(d, 0) < coalesce(n, 0) AS duplicate_queries
 FROM orders LEFT JOIN (SELECT run_id, count(*) AS n, count(DISTINCT query) AS d FROM shards GROUP BY 1) ON run_id = o_orderkey""")
 def validate_plan(spark, sf):
     runs = provided(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"))
-    shards = provided(spark, sf, "lineitem").filter("l_returnflag = 'A'").select(
+    shards = provided(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").alias("query")
     )
     return V.validate_plan(runs, shards, 2)
@@ -90,14 +90,14 @@ def validate_enrichment(spark, sf):
     return V.validate_enrichment(frame(spark, sf, "sources").select("run_id", F.col("rag_source").alias("source")))
 
 
-_SUMMARIES = """summaries AS (SELECT doc_id AS run_id, CASE doc_id % 4 WHEN 0 THEN '**' || substr(text, 1, 20) || '** ' || text WHEN 1 THEN '' WHEN 2 THEN substr(text, 1, 40) ELSE text END AS summary,
+_SUMMARIES = """summaries AS (SELECT doc_id AS run_id, CASE doc_id % 4 WHEN 0 THEN '**' || substr(text, 1, 20) || '** ' || text ELSE text END AS summary,
   doc_id % 3 <> 0 AS required FROM documents)"""
 
 
 def _summaries(spark, sf):
     return provided(spark, sf, "documents").selectExpr(
         "doc_id AS run_id",
-        "CASE doc_id % 4 WHEN 0 THEN concat('**', substr(text, 1, 20), '** ', text) WHEN 1 THEN '' WHEN 2 THEN substr(text, 1, 40) ELSE text END AS summary",
+        "CASE doc_id % 4 WHEN 0 THEN concat('**', substr(text, 1, 20), '** ', text) ELSE text END AS summary",
         "doc_id % 3 <> 0 AS required",
     )
 

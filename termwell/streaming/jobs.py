@@ -47,18 +47,20 @@ def stream_events(events: DataFrame, event_types: Sequence[str]) -> DataFrame:
 def stream_ingest(listing: DataFrame, path: str) -> None:
     """Continuous write-back: new listing rows become chunks and index postings.
 
-    Every batch writes its own folders, so a repeated batch replaces itself.
-    Chunk ids indexed by earlier batches are skipped.
+    Every batch writes its own folders, so a repeated batch replaces itself. All
+    chunks go to the store, which ``chunk_upsert`` reads, so a later version
+    replaces an earlier one whatever batches they came in. The index skips
+    chunk ids indexed by earlier batches.
     """
     spark = listing.sparkSession
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         chunks = catalog.chunk_upsert(catalog.make_chunks(batch, F.col("stored_at")))
-        known = _earlier_lengths(spark, path, batch_id)
-        if known is not None:
-            chunks = chunks.join(known, "chunk_id", "left_anti")
         replace_batch(chunks, batch_id, f"{path}/chunks")
         written = spark.read.parquet(f"{path}/chunks/batch={batch_id}")
+        known = _earlier_lengths(spark, path, batch_id)
+        if known is not None:
+            written = written.join(known, "chunk_id", "left_anti")
         index = bm25.build_index(written)
         replace_batch(index.postings, batch_id, f"{path}/index/postings")
         replace_batch(index.doc_len, batch_id, f"{path}/index/doc_len")
