@@ -300,11 +300,16 @@ def log_levels(requests: DataFrame) -> DataFrame:
     )
 
 
-def run_progress(events: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    """Per run: last time of each event type, latest event, count and error flag."""
+def run_progress(events: DataFrame, event_types: Sequence[str], planned: str, finished: str) -> DataFrame:
+    """Per run: last time of each event type, latest event, shards planned and finished, count and error flag.
+
+    A shard is planned by an event of the type ``planned`` and finished by one of ``finished``.
+    """
     return events.groupBy("run_id").agg(
         *[F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(f"last_{kind}") for kind in event_types],
         F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"),
+        F.count_if(F.col("event_type") == planned).alias("shards_planned"),
+        F.count_if(F.col("event_type") == finished).alias("shards_finished"),
         F.count(F.lit(1)).alias("events"),
         F.bool_or(F.col("event_type") == "error").alias("has_error"),
     )

@@ -55,13 +55,20 @@ def _domain_text() -> Column:
     return F.lower(F.concat_ws(" ", "name", "category", F.array_join("tags", " ")))
 
 
+def with_row_domains(catalog: DataFrame) -> DataFrame:
+    """Catalog rows with ``row_domains``, the domains their texts name."""
+    return catalog.withColumn("row_domains", matching(_domain_text(), DOMAIN_RULES))
+
+
 def domain_flags(rows: DataFrame, within: str = "run_id") -> DataFrame:
     """Row count, distinct names and the domains the rows of a run cover.
 
-    A row names its domains once; the aggregate keeps a flag per domain, so
-    nothing is multiplied out and the groups combine inside each partition.
+    The rules need not run on every row: rows that bring ``row_domains``, found
+    once per catalog row, are taken at their word. The aggregate keeps a flag per
+    domain, so nothing is multiplied out and the groups combine inside each partition.
     """
-    named = rows.select(within, F.trim(F.lower("name")).alias("_name"), matching(_domain_text(), DOMAIN_RULES).alias("_found"))
+    known = rows if "row_domains" in rows.columns else with_row_domains(rows)
+    named = known.select(within, F.trim(F.lower("name")).alias("_name"), F.col("row_domains").alias("_found"))
     return named.groupBy(within).agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("_name").alias("distinct_names"),

@@ -226,12 +226,13 @@ def log_levels(spark, sf):
 
 
 PROGRESS_SQL = f"""{ctes('stage_events')} SELECT run_id, {', '.join(f"strftime(max(ts) FILTER (WHERE event_type = '{k}'), {SECOND}) AS last_{k}" for k in EVENT_TYPES)},
-  last(event_type ORDER BY ts, event_id) AS last_event, count(*) AS events, bool_or(event_type = 'error') AS has_error FROM stage_events GROUP BY run_id"""
+  last(event_type ORDER BY ts, event_id) AS last_event, count(*) FILTER (WHERE event_type = 'click') AS shards_planned,
+  count(*) FILTER (WHERE event_type = 'purchase') AS shards_finished, count(*) AS events, bool_or(event_type = 'error') AS has_error FROM stage_events GROUP BY run_id"""
 
 
 @query("run_progress", PROGRESS_SQL)
 def run_progress(spark, sf):
-    progress = O.run_progress(frame(spark, sf, "stage_events"), EVENT_TYPES)
+    progress = O.run_progress(frame(spark, sf, "stage_events"), EVENT_TYPES, "click", "purchase")
     return progress.withColumns({f"last_{k}": _time(f"last_{k}") for k in EVENT_TYPES})
 
 

@@ -50,7 +50,9 @@ def _plans(spark, sf):
 
 
 def _rows(spark, sf):
-    return wide_frame(spark, sf, "ranked")
+    """Ranked rows with the domains of their catalog rows, which are found before the join."""
+    found = V.with_row_domains(wide_frame(spark, sf, "listing")).select("ord", "row_domains")
+    return frame(spark, sf, "ranked").join(found, "ord", "left")
 
 
 @query("covered_domains", f"{_BASE} SELECT run_id, array_to_string(p.domains, ', ') AS domains, array_to_string({_covered()}, ', ') AS covered FROM {_JOINED}")
@@ -81,7 +83,7 @@ SELECT run_id, count(*) AS rows, count(*) - count(DISTINCT lower(name)) AS dupli
   coalesce(bool_or(next > score), false) AS out_of_order, round(1.0::DOUBLE - (count(*) - count(DISTINCT lower(name))) / count(*)::DOUBLE * 0.5::DOUBLE, 3) AS quality_score FROM pairs GROUP BY run_id""")
 def validate_ranking(spark, sf):
     score = F.when(F.col("run_id") % 9 == 0, 1 - F.col("score")).otherwise(F.col("score"))
-    return V.validate_ranking(_rows(spark, sf).select("run_id", "position", "name", score.alias("score")), 0)
+    return V.validate_ranking(frame(spark, sf, "ranked").select("run_id", "position", "name", score.alias("score")), 0)
 
 
 @query("validate_enrichment", f"""{ctes('sources')} SELECT run_id, count(*) AS rows, count(*) FILTER (WHERE rag_source = 'error') AS errors,

@@ -4,76 +4,68 @@ Fixed values: expansions and signals only agree with the published behaviour
 when these tables hold exactly these entries in this order.
 """
 
-
-def _phrase_pattern(phrase: str) -> str:
-    """A phrase matches as whole words with any white space in between."""
-    return r"\b" + phrase.replace(" ", r"\s+") + r"\b"
-
-
-# (phrase, expansion); words may carry regex options such as "an?".
-PHRASES = [
-    ("mbbs entrance", "medical admissions India NEET AIIMS JIPMER undergraduate"),
-    ("medical entrance", "medical admissions NEET AIIMS JIPMER India undergraduate"),
-    ("become a doctor", "medical admissions NEET AIIMS MBBS undergraduate India"),
-    ("study medicine", "medical admissions MBBS NEET AIIMS undergraduate"),
-    ("medical school", "medical admissions MCAT NEET USMLE MBBS"),
-    ("doctor entrance", "NEET AIIMS JIPMER medical admissions India"),
-    ("medical college", "NEET AIIMS JIPMER medical admissions India undergraduate"),
-    ("med school", "MCAT USMLE medical admissions USA"),
-    ("pg medical", "NEET PG postgraduate medical India AIIMS PG"),
-    ("medical pg", "NEET PG postgraduate medical India AIIMS PG"),
-    ("eng(?:ineering)? entrance", "engineering admissions JEE IIT India undergraduate"),
-    ("iit entrance", "JEE Advanced IIT engineering admissions India"),
-    ("become an? engineer", "engineering admissions JEE GATE IIT India"),
-    ("computer science entrance", "engineering JEE GATE IIT computer science India"),
-    ("engg? college", "JEE engineering admissions India IIT NIT undergraduate"),
-    ("mba entrance", "MBA business admissions CAT GMAT XAT SNAP India"),
-    ("iim admission", "CAT IIM MBA business admissions India"),
-    ("business school", "MBA GMAT CAT business admissions"),
-    ("become an? mba", "MBA CAT GMAT business management India"),
-    ("management entrance", "CAT XAT SNAP NMAT GMAT MBA management India"),
-    ("law school admission", "LSAT law school admissions USA"),
-    ("law entrance", "CLAT law India NLU undergraduate"),
-    ("nlu entrance", "CLAT NLU law India undergraduate"),
-    ("become a lawyer", "CLAT LSAT law school admissions"),
-    ("practice law", "bar exam LSAT law licensing"),
-    ("english proficiency", "IELTS TOEFL PTE English language proficiency"),
-    ("study abroad", "IELTS TOEFL GRE GMAT graduate language proficiency"),
-    ("work abroad", "IELTS TOEFL OET language proficiency"),
-    ("visa english", "IELTS TOEFL PTE language proficiency immigration"),
-    ("japanese language", "JLPT Japanese language proficiency N1 N2 N3"),
-    ("french language", "DELF DALF French language proficiency"),
-    ("spanish language", "DELE SIELE Spanish language proficiency"),
-    ("german language", "TestDaF Goethe German language proficiency"),
-    ("chinese language", "HSK Chinese language proficiency Mandarin"),
-    ("government job", "civil services UPSC IAS IPS government India"),
-    ("civil service", "UPSC IAS IPS civil services government India"),
-    ("ias exam", "UPSC civil services IAS government India"),
-    ("chartered accountant", "CA ICAI accounting CPA ACCA finance"),
-    ("financial analyst", "CFA CMA FRM finance investment"),
-    ("ca exam", "CA ICAI chartered accountant India accounting"),
-    ("foreign medical", "FMGE USMLE PLAB AMC foreign medical graduate licensing"),
-    ("doctor in usa", "USMLE ECFMG medical licensing USA"),
-    ("doctor in uk", "PLAB GMC medical licensing UK"),
-    ("doctor in australia", "AMC medical licensing Australia"),
-    ("nurse license", "NCLEX nursing registration RN LPN"),
-    ("nursing exam", "NCLEX nursing RN LPN licensing"),
-    ("cloud certification", "AWS Azure GCP cloud professional certification"),
-    ("it certification", "AWS CISSP CompTIA PMP professional certification"),
-    ("cybersecurity cert", "CISSP CEH CompTIA Security+ cybersecurity"),
-    ("undergrad usa", "SAT ACT undergraduate college admissions USA"),
-    ("college usa", "SAT ACT undergraduate admissions USA"),
-    ("university uk", "A-levels UCAS undergraduate admissions UK"),
-    ("university australia", "IELTS undergraduate admissions Australia"),
-    ("university abroad", "IELTS TOEFL SAT GRE undergraduate graduate admissions"),
-    ("phd admission", "GRE graduate admissions PhD research"),
-    ("masters admission", "GRE GMAT graduate admissions masters"),
-    ("ms usa", "GRE graduate admissions masters USA"),
-    ("masters? in usa", "GRE graduate admissions USA IELTS TOEFL"),
+# (pattern, expansion): a phrase matches as whole words with any white space in between.
+PHRASE_RULES = [
+    (r"\bmbbs\s+entrance\b", "medical admissions India NEET AIIMS JIPMER undergraduate"),
+    (r"\bmedical\s+entrance\b", "medical admissions NEET AIIMS JIPMER India undergraduate"),
+    (r"\bbecome\s+a\s+doctor\b", "medical admissions NEET AIIMS MBBS undergraduate India"),
+    (r"\bstudy\s+medicine\b", "medical admissions MBBS NEET AIIMS undergraduate"),
+    (r"\bmedical\s+school\b", "medical admissions MCAT NEET USMLE MBBS"),
+    (r"\bdoctor\s+entrance\b", "NEET AIIMS JIPMER medical admissions India"),
+    (r"\bmedical\s+college\b", "NEET AIIMS JIPMER medical admissions India undergraduate"),
+    (r"\bmed\s+school\b", "MCAT USMLE medical admissions USA"),
+    (r"\bpg\s+medical\b", "NEET PG postgraduate medical India AIIMS PG"),
+    (r"\bmedical\s+pg\b", "NEET PG postgraduate medical India AIIMS PG"),
+    (r"\beng(?:ineering)?\s+entrance\b", "engineering admissions JEE IIT India undergraduate"),
+    (r"\biit\s+entrance\b", "JEE Advanced IIT engineering admissions India"),
+    (r"\bbecome\s+an?\s+engineer\b", "engineering admissions JEE GATE IIT India"),
+    (r"\bcomputer\s+science\s+entrance\b", "engineering JEE GATE IIT computer science India"),
+    (r"\bengg?\s+college\b", "JEE engineering admissions India IIT NIT undergraduate"),
+    (r"\bmba\s+entrance\b", "MBA business admissions CAT GMAT XAT SNAP India"),
+    (r"\biim\s+admission\b", "CAT IIM MBA business admissions India"),
+    (r"\bbusiness\s+school\b", "MBA GMAT CAT business admissions"),
+    (r"\bbecome\s+an?\s+mba\b", "MBA CAT GMAT business management India"),
+    (r"\bmanagement\s+entrance\b", "CAT XAT SNAP NMAT GMAT MBA management India"),
+    (r"\blaw\s+school\s+admission\b", "LSAT law school admissions USA"),
+    (r"\blaw\s+entrance\b", "CLAT law India NLU undergraduate"),
+    (r"\bnlu\s+entrance\b", "CLAT NLU law India undergraduate"),
+    (r"\bbecome\s+a\s+lawyer\b", "CLAT LSAT law school admissions"),
+    (r"\bpractice\s+law\b", "bar exam LSAT law licensing"),
+    (r"\benglish\s+proficiency\b", "IELTS TOEFL PTE English language proficiency"),
+    (r"\bstudy\s+abroad\b", "IELTS TOEFL GRE GMAT graduate language proficiency"),
+    (r"\bwork\s+abroad\b", "IELTS TOEFL OET language proficiency"),
+    (r"\bvisa\s+english\b", "IELTS TOEFL PTE language proficiency immigration"),
+    (r"\bjapanese\s+language\b", "JLPT Japanese language proficiency N1 N2 N3"),
+    (r"\bfrench\s+language\b", "DELF DALF French language proficiency"),
+    (r"\bspanish\s+language\b", "DELE SIELE Spanish language proficiency"),
+    (r"\bgerman\s+language\b", "TestDaF Goethe German language proficiency"),
+    (r"\bchinese\s+language\b", "HSK Chinese language proficiency Mandarin"),
+    (r"\bgovernment\s+job\b", "civil services UPSC IAS IPS government India"),
+    (r"\bcivil\s+service\b", "UPSC IAS IPS civil services government India"),
+    (r"\bias\s+exam\b", "UPSC civil services IAS government India"),
+    (r"\bchartered\s+accountant\b", "CA ICAI accounting CPA ACCA finance"),
+    (r"\bfinancial\s+analyst\b", "CFA CMA FRM finance investment"),
+    (r"\bca\s+exam\b", "CA ICAI chartered accountant India accounting"),
+    (r"\bforeign\s+medical\b", "FMGE USMLE PLAB AMC foreign medical graduate licensing"),
+    (r"\bdoctor\s+in\s+usa\b", "USMLE ECFMG medical licensing USA"),
+    (r"\bdoctor\s+in\s+uk\b", "PLAB GMC medical licensing UK"),
+    (r"\bdoctor\s+in\s+australia\b", "AMC medical licensing Australia"),
+    (r"\bnurse\s+license\b", "NCLEX nursing registration RN LPN"),
+    (r"\bnursing\s+exam\b", "NCLEX nursing RN LPN licensing"),
+    (r"\bcloud\s+certification\b", "AWS Azure GCP cloud professional certification"),
+    (r"\bit\s+certification\b", "AWS CISSP CompTIA PMP professional certification"),
+    (r"\bcybersecurity\s+cert\b", "CISSP CEH CompTIA Security+ cybersecurity"),
+    (r"\bundergrad\s+usa\b", "SAT ACT undergraduate college admissions USA"),
+    (r"\bcollege\s+usa\b", "SAT ACT undergraduate admissions USA"),
+    (r"\buniversity\s+uk\b", "A-levels UCAS undergraduate admissions UK"),
+    (r"\buniversity\s+australia\b", "IELTS undergraduate admissions Australia"),
+    (r"\buniversity\s+abroad\b", "IELTS TOEFL SAT GRE undergraduate graduate admissions"),
+    (r"\bphd\s+admission\b", "GRE graduate admissions PhD research"),
+    (r"\bmasters\s+admission\b", "GRE GMAT graduate admissions masters"),
+    (r"\bms\s+usa\b", "GRE graduate admissions masters USA"),
+    (r"\bmasters?\s+in\s+usa\b", "GRE graduate admissions USA IELTS TOEFL"),
 ]
 
-PHRASE_RULES = [(_phrase_pattern(phrase), expansion) for phrase, expansion in PHRASES]
-
 SYNONYMS = {
     "doctor": "medical NEET AIIMS MBBS medical admissions",
     "doctors": "medical NEET AIIMS MBBS medical admissions",
