@@ -107,4 +107,4 @@ def test_domains(spark):
 
 
 def test_rule_counts():
-    assert [len(t) for t in (rules.PHRASES, rules.SYNONYMS, rules.ACRONYMS, rules.PLACE_SUBJECT_RULES)] == [58, 67, 69, 16]
+    assert [len(t) for t in (rules.PHRASE_RULES, rules.SYNONYMS, rules.ACRONYMS, rules.PLACE_SUBJECT_RULES)] == [58, 67, 69, 16]
