@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from termwell.session import run_dir
@@ -63,6 +64,46 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+BLOCK_BITS = 1 << 16
+
+
+def bit_filter(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> np.ndarray:
+    """A one-hash membership filter of 64-bit keys, for scans that should skip most other rows.
+
+    It has about 16 bits per key, but never more than ``most_bits``: 16 MB by default,
+    whatever the number of keys. A crowded filter lets more other rows pass and
+    never drops a key. Its blocks are filled on the executors.
+    """
+    bits = BLOCK_BITS
+    wanted = min(16 * keys.count(), most_bits)
+    while bits < wanted:
+        bits *= 2
+
+    def place(batches):
+        for batch in batches:
+            at = np.unique(mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(bits - 1))
+            yield pa.record_batch({"block": pa.array((at // BLOCK_BITS).astype(np.int32)),
+                                   "bit": pa.array((at % BLOCK_BITS).astype(np.int32))})
+
+    def pack(rows: pa.Table) -> pa.Table:
+        flags = np.zeros(BLOCK_BITS, bool)
+        flags[rows.column("bit").to_numpy()] = True
+        return pa.table({"block": rows.column("block")[:1], "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
+
+    blocks = keys.select(column).filter(f"{column} IS NOT NULL").mapInArrow(place, "block int, bit int").groupBy("block").applyInArrow(
+        lambda rows: pack(rows), "block int, flags binary")
+    filled = np.zeros(bits // 8, np.uint8)
+    for row in blocks.collect():
+        filled[row["block"] * BLOCK_BITS // 8:(row["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(row["flags"], np.uint8)
+    return filled
+
+
+def may_hold(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that were surely not put into the filter."""
+    at = mixed(keys.view(np.uint64)) & np.uint64(len(filled) * 8 - 1)
+    return (filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that all bits depend on all bits."""
     x = x.astype(np.uint64, copy=True)
@@ -78,7 +119,7 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse; grown in steps and kept."""
     global _powers, _inverses
     if len(_powers) < n:
@@ -98,7 +139,7 @@ def word_spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def hash_sums(data: np.ndarray) -> np.ndarray:
     """Running sums over the bytes, from which the hash of any span follows."""
-    powers, _ = _tables(len(data) + 1)
+    powers, _ = powers_of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * powers[:-1], out=sums[1:])
     return sums
@@ -108,7 +149,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span of bytes: equal spans have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    _, inverses = _tables(len(sums))
+    _, inverses = powers_of(len(sums))
     return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -124,7 +165,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     size = min(size, n)
-    powers, _ = _tables(size + 1)
+    powers, _ = powers_of(size + 1)
     out = np.full(n - size + 1, np.uint64(size))
     for k in range(size):
         out += words[k:n - size + 1 + k] * powers[k + 1]

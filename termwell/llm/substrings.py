@@ -7,8 +7,8 @@ Windows are dealt to shards by their anchor, the smallest hash among the
 ``ANCHOR``-word strings inside a window: equal windows have equal anchors, so they meet in
 one shard, and neighbouring windows share an anchor and travel together as one
 segment. Only segments whose anchor stands twice in the corpus can hold a
-repeated window; the others never leave their document. Equal segments are merged,
-with their first place. Each shard indexes its distinct segments: a suffix
+repeated window; a filter of those anchors, of bounded size, keeps nearly all others in their
+documents. Equal segments are merged, with their first place. Each shard indexes its distinct segments: a suffix
 order over words, its Burrows-Wheeler transform in a wavelet matrix of packed bits with
 block counts. The segments are then streamed through backward search: the match
 that ends at a word grows to the left while the index holds it, and where it reaches
@@ -35,11 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwell.llm.common import read_table, shingle_hashes, small_batches, stored, word_hashes
+from termwell.llm.common import bit_filter, may_hold, mixed, powers_of, read_table, shingle_hashes, small_batches, stored, word_hashes
 from termwell.llm.registry import query
 
 WINDOW = 20
-ANCHOR = 6
+ANCHOR = 10
 SHARD_WORDS = 500_000
 HEAVY = 50_000
 LAST = (1 << 63) - 1
@@ -105,12 +105,21 @@ class FMIndex:
         return self.smaller[symbol] + self._down(at, symbol) - self.base[symbol]
 
     def intervals(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that begin with ``text[start:start + size]``, for all starts at once, by ``size`` backward steps."""
-        bounds = np.r_[np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order), np.int64)]
+        """Rows that begin with ``text[start:start + size]``, for all starts at once, by ``size`` backward steps.
+
+        A match that only one row is left of is not extended further; its interval is empty.
+        """
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        active = np.arange(len(starts))
+        lows, highs = low.copy(), np.full(len(starts), len(self.order), np.int64)
         for back in range(size - 1, -1, -1):
-            symbol = text[starts + back].astype(np.int64)
-            bounds = self.extended(bounds, np.r_[symbol, symbol])
-        return bounds[:len(starts)], bounds[len(starts):]
+            symbol = text[starts[active] + back].astype(np.int64)
+            bounds = self.extended(np.r_[lows, highs], np.r_[symbol, symbol])
+            lows, highs = bounds[:len(active)], bounds[len(active):]
+            several = highs - lows > 1
+            active, lows, highs = active[several], lows[several], highs[several]
+        low[active], high[active] = lows, highs
+        return low, high
 
 
 def repeated_windows(segments: list[list[bytes]], docs: np.ndarray, starts: np.ndarray,
@@ -130,17 +139,21 @@ def repeated_windows(segments: list[list[bytes]], docs: np.ndarray, starts: np.n
     at = heads[segment] + offset
     index = FMIndex(text)
     low, high = index.intervals(text, at, window)
+    several = np.flatnonzero(high > low)
+    segment, offset, at, low, high = segment[several], offset[several], at[several], low[several], high[several]
+    if not len(several):
+        return segment, offset
     # Places in the order of the corpus; equal places get equal numbers.
     doc, start = docs[segment], starts[segment] + offset
     order = np.lexsort((start, doc))
     fresh = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)]
-    place = np.full(len(text) + 1, len(order), np.int64)
+    place = np.full(len(text), len(order) + 1, np.int64)
     place[at[order]] = np.cumsum(fresh)
     # All intervals are those of strings of one length: equal or apart.
     lows, which = np.unique(low, return_inverse=True)
     highs = np.zeros(len(lows), np.int64)
     highs[which] = high
-    rows = np.r_[place[index.order], len(order)]
+    rows = np.r_[place[index.order], 0]
     first = np.minimum.reduceat(rows, np.stack([lows, highs], axis=1).ravel())[::2]
     again = first[which] < place[at]
     return segment[again], offset[again]
@@ -172,37 +185,66 @@ def _read(batches) -> Iterator[pa.RecordBatch]:
 
 def _anchor_rows(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        anchors = [np.frombuffer(a.as_buffer(), np.int64) for a in batch.column("anchors")]
-        if anchors:
-            rows = np.repeat(np.arange(len(anchors)), [len(a) for a in anchors])
-            yield pa.record_batch({"anchor": pa.array(np.concatenate(anchors), pa.int64()),
-                                   "doc_id": batch.column("doc_id").take(pa.array(rows))})
+        for one in batch.column("anchors"):
+            yield pa.record_batch({"anchor": pa.array(np.frombuffer(one.as_buffer(), np.int64))})
 
 
-def _packed(batches) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "packed": pa.array(
-            [packer.compress((text.as_py() or "").encode()) for text in batch.column("text")], pa.binary())})
+def _packed(wanted):
+    """The texts of the documents in a filter."""
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(wanted.value, batch.column("doc_id").to_numpy())))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "packed": pa.array(
+                [packer.compress((text.as_py() or "").encode()) for text in batch.column("text")], pa.binary())})
+
+    return pack
 
 
 SEGMENT = "anchor long, segment binary, doc_id long, start long, n long, words binary"
 
 
-def _segments(batches) -> Iterator[pa.RecordBatch]:
-    """The segments of each document whose anchor stands in ``shared``."""
-    opener = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for doc, packed, shared in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("shared"), strict=True):
-            raw = opener.decompress(packed.as_py())
-            words = raw.split()
-            anchors, starts, counts = anchored(word_hashes(raw))
-            kept = np.flatnonzero(np.isin(anchors, shared.values.to_numpy(zero_copy_only=False)))
-            pieces = [words[s:s + n + WINDOW - 1] for s, n in zip(starts[kept].tolist(), counts[kept].tolist(), strict=True)]
-            yield pa.record_batch({
-                "anchor": pa.array(anchors[kept]), "segment": pa.array([_key(p) for p in pieces], pa.binary()),
-                "doc_id": pa.array(np.full(len(kept), doc, np.int64)), "start": pa.array(starts[kept], pa.int64()),
-                "n": pa.array(counts[kept], pa.int64()), "words": pa.array([b" ".join(p) for p in pieces], pa.binary())})
+def sequence_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """128 bits for each run of words, equal for equal runs, from running sums over the hashes of the words."""
+    powers, inverses = powers_of(len(hashes) + 1)
+    halves = []
+    for turn in (np.uint64(0), np.uint64(0x5BD1E995)):
+        sums = np.r_[np.uint64(0), np.cumsum(mixed(hashes ^ turn) * powers[:-1], dtype=np.uint64)]
+        halves.append(mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)))
+    flat = np.stack(halves, axis=1).tobytes()
+    return [flat[k:k + 16] for k in range(0, len(flat), 16)]
+
+
+def _segments(shared):
+    """The segments of each document whose anchor may stand twice."""
+    def segments(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, keys, docs, begins, sizes, pieces = [], [], [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                raw = (text.as_py() or "").encode()
+                hashes = word_hashes(raw)
+                anchor, start, n = anchored(hashes)
+                kept = may_hold(shared.value, anchor)
+                if not kept.any():
+                    continue
+                start, n = start[kept], n[kept]
+                words = raw.split()
+                whole, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+                last = start + n + WINDOW - 1
+                low, high = np.r_[0, ends][start].tolist(), (ends[last - 1] - 1).tolist()
+                pieces.extend([whole[a:b] for a, b in zip(low, high, strict=True)])
+                keys.extend(sequence_keys(hashes, start, last))
+                anchors.append(anchor[kept])
+                begins.append(start)
+                sizes.append(n)
+                docs.append(np.full(len(n), doc, np.int64))
+            if pieces:
+                yield pa.record_batch({
+                    "anchor": pa.array(np.concatenate(anchors)), "segment": pa.array(keys, pa.binary()),
+                    "doc_id": pa.array(np.concatenate(docs)), "start": pa.array(np.concatenate(begins), pa.int64()),
+                    "n": pa.array(np.concatenate(sizes), pa.int64()), "words": pa.array(pieces, pa.binary())})
+
+    return segments
 
 
 def _cut(batches) -> Iterator[pa.RecordBatch]:
@@ -281,23 +323,23 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """(doc_id, n_words, n_removed, kept_sha256): every row after the words of repeated windows are removed.
 
     Documents without repeats are described where they are read; only texts that
-    share an anchor, or hold one twice, are shuffled.
+    lose words are shuffled.
     """
     spark = df.sparkSession
+    send = spark.sparkContext.broadcast
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"))
     with small_batches(spark):
         read = stored(docs.mapInArrow(_read, "doc_id long, n_words long, whole string, anchors binary"), "read")
-        anchors = read.select("doc_id", "anchors").mapInArrow(_anchor_rows, "anchor long, doc_id long")
-        twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-        lists = anchors.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-        suspects = stored(docs.mapInArrow(_packed, "doc_id long, packed binary").join(lists, "doc_id"), "suspects")
-        segments = stored(suspects.mapInArrow(_segments, SEGMENT), "segments")
+        anchors = read.select("anchors").mapInArrow(_anchor_rows, "anchor long")
+        twice = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
+        segments = stored(docs.mapInArrow(_segments(send(bit_filter(twice, "anchor"))), SEGMENT), "segments")
         spans = stored(_repeats(segments, heavy_above), "spans")
-        per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-        cleaned = stored(suspects.select("doc_id", "packed").join(per_doc, "doc_id").mapInArrow(
+        per_doc = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "document-spans")
+        texts = docs.mapInArrow(_packed(send(bit_filter(per_doc, "doc_id"))), "doc_id long, packed binary")
+        cleaned = stored(texts.join(per_doc, "doc_id").mapInArrow(
             _kept, "doc_id long, n_words long, n_removed long, kept binary").select(
             "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cleaned")
-    untouched = read.join(spans.select("doc_id").distinct(), "doc_id", "left_anti").select(
+    untouched = read.join(per_doc.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"))
     return cleaned.unionByName(untouched).withColumn("doc_id", F.expr(f"nullif(doc_id, {LAST}L)"))
 
