@@ -15,12 +15,16 @@ from termwell.streaming import jobs
 from termwell.streaming import runner as R
 
 
-def _stream(rows: DataFrame, label: str, files: int = 1, order: str | None = None) -> DataFrame:
-    """A derived input written to the shared folder and read back as a stream."""
+def _stream(rows: DataFrame, label: str, files: int | None = None, order: str | None = None) -> DataFrame:
+    """A derived input written to the shared folder and read back as a stream.
+
+    It is written as it is partitioned and read in one go, or, given an order, in
+    so many range partitions of it, one per micro-batch.
+    """
     spark = rows.sparkSession
     path = run_dir(spark, label)
-    (rows.repartitionByRange(files, order) if order else rows.coalesce(files)).write.parquet(path)
-    return R.table_stream(spark, path, max_files=1)
+    (rows.repartitionByRange(files, order) if order else rows).write.parquet(path)
+    return R.table_stream(spark, path, max_files=1 if order else None)
 
 
 def _timestamps(rows: DataFrame, column: str) -> DataFrame:
