@@ -9,14 +9,15 @@ is done as soon as every part's first arrival lies before the horizon up to whic
 all arrivals are known, so most shingles cost one random number.
 
 Texts that agree in a band of ``ROWS`` parts are compared. Texts with equal word
-sequences are merged first. A bucket pairs its members with one of them, its hub,
-and in some buckets, in a ring, with their neighbours in a random order; a bucket
-of at most ``SMALL_BUCKET`` members pairs all. Pairs whose signatures agree in
-``LEAST_AGREE`` parts are verified on the exact similarity, and verified links are
-joined to classes. Buckets that still hold several classes go into another round:
-up to ``MIDDLE_BUCKET`` members, all pairs across classes are compared, beyond it a
-new hub and a new ring are drawn, until a round finds no new link. So work per
-round is proportional to the members, never to the pairs of a large group.
+sequences are merged first. Pairs whose signatures agree in ``LEAST_AGREE`` parts
+are verified on the similarity of their sets, verified links are joined to classes,
+and only texts of different classes are compared further. First a bucket's members are
+compared with its smallest one; then, in two rounds, with a random one and with their
+neighbours in a random ring, in a quarter of the buckets; then, in buckets of at most
+``MIDDLE_BUCKET`` members, all that are still in different classes with one another, and
+in larger ones with a panel of ``PANEL`` random members, drawn anew and doubled until a
+round finds no new link. So work per round is proportional to the members, never to the
+pairs of a large group.
 
 With 32 bands of 4, a pair at similarity 0.8 meets in no band with probability
 5e-8, and agrees in fewer than ``LEAST_AGREE`` parts with 1e-8.
@@ -39,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termwell.llm.common import mixed, read_table, shingle_hashes, small_batches, stored, word_hashes
+from termwell.llm.common import bit_filter, may_hold, mixed, read_table, shingle_hashes, small_batches, stored, word_hashes
 from termwell.llm.registry import query
 
 SHINGLE = 5
@@ -47,9 +48,11 @@ THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
 COMPONENTS = BANDS * ROWS
-SMALL_BUCKET = 8
 MIDDLE_BUCKET = 64
-RING_SHARE = 4
+PANEL = 8
+QUARTERS = 4
+RANDOM_ROUNDS = 2
+ROWS_PER_TASK = 20_000
 LEAST_AGREE = 76
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -151,23 +154,54 @@ def _signatures(batches) -> Iterator[pa.RecordBatch]:
                                "bands": pa.array(bands, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
 
-def _unpacked(batches) -> Iterator[pa.RecordBatch]:
-    """One row per band of a text."""
-    for batch in batches:
-        reps = batch.column("rep").to_numpy()
-        grid = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64).reshape(len(reps), BANDS)
-        yield pa.record_batch({"bucket": pa.array(grid.ravel()), "rep": pa.array(np.repeat(reps, BANDS))})
+def _unpacked(crowded=None):
+    """One row per band of a text; with a filter, of the buckets that may hold several texts."""
+    def unpack(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
+            found = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
+            if crowded is not None:
+                kept = may_hold(crowded.value, found)
+                reps, found = reps[kept], found[kept]
+            yield pa.record_batch({"bucket": pa.array(found), "rep": pa.array(reps)})
 
+    return unpack
 
-def _shingled(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for one in range(0, batch.num_rows, 256):
-            words = [word_hashes(text) for text in batch.slice(one, 256).column("text").to_pylist()]
-            sets = [weighted_shingles(w) for w in words]
+
+def _shingled(speaking):
+    """The weighted shingles of the documents in a filter; counts are left out where all are 1.
+
+    32 bits of a shingle's hash suffice to compare two texts: two shingles of one
+    pair of texts of 1,000 shingles collide with a probability of 1 in 4,000, which
+    moves their similarity by a thousandth.
+    """
+    def shingle(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            wanted = may_hold(speaking.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+            words = [word_hashes(text.as_py()) for text in batch.column("text").filter(pa.array(wanted))]
+            sets = [np.unique(shingle_hashes(w, SHINGLE).astype(np.uint32), return_counts=True) for w in words]
             yield pa.record_batch({
                 "rep": pa.array([_sequence_key(w) for w in words], pa.int64()),
                 "items": pa.array([s[0].tobytes() for s in sets], pa.binary()),
-                "counts": pa.array([s[1].astype(np.int32).tobytes() for s in sets], pa.binary())})
+                "counts": pa.array([s[1].astype(np.int32).tobytes() if (s[1] != 1).any() else b"" for s in sets], pa.binary())})
+
+    return shingle
+
+
+def _held(wanted):
+    """The rows whose text is in a filter."""
+    def hold(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(wanted.value, batch.column("rep").to_numpy())))
+
+    return hold
+
+
+def _loaded(items: pa.BinaryScalar, counts: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    found = np.frombuffer(items.as_buffer(), np.uint32)
+    weights = np.frombuffer(counts.as_buffer(), np.int32)
+    return found, weights if len(weights) else np.ones(len(found), np.int32)
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -182,8 +216,7 @@ def _agreeing(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.DoubleType())
 def _similarity(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> pa.Array:
-    load = lambda items, counts: (np.frombuffer(items.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int32))
-    return pa.array([probability_jaccard(load(w, x), load(y, z)) for w, x, y, z in zip(a, na, b, nb, strict=True)], pa.float64())
+    return pa.array([probability_jaccard(_loaded(w, x), _loaded(y, z)) for w, x, y, z in zip(a, na, b, nb, strict=True)], pa.float64())
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -194,46 +227,59 @@ def connected(links: DataFrame) -> DataFrame:
     labels are stored.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    n = both.count()
+    labels = stored(_dealt(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), n), "labels")
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(
-            F.min("seen").alias("seen"))
-        taken = labels.join(near, "a", "left").select(
-            "a", "label", F.least("label", F.coalesce("seen", "label")).alias("next"))
-        jumped = taken.join(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), "next", "left")
-        after = stored(jumped.select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"),
-                                     (F.least("next", F.coalesce("beyond", "next")) != F.col("label")).alias("moved")), "labels")
+        own = labels.select("a", "label", F.col("label").alias("old"))
+        near = _dealt(both.join(labels.select(F.col("a").alias("b"), "label"), "b"), n).select(
+            "a", "label", F.lit(None).cast("long").alias("old"))
+        lowest = _dealt(own.union(near).groupBy("a").agg(F.min("label").alias("next"), F.max("old").alias("old")), n)
+        jumped = lowest.join(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), "next", "left")
+        after = stored(_dealt(jumped, n).select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"), "old"), "labels")
         labels = after.select("a", "label")
-        if after.filter("moved").limit(1).count() == 0:
+        if after.filter("label <> old").limit(1).count() == 0:
             return labels.select(F.col("a").alias("rep"), F.col("label").alias("class"))
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The frame in tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds stay cheap."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
 def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
     """Pairs (a, b) of texts of different classes that this round compares, each once."""
+    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     if classes is None:
-        rows = buckets.withColumn("class", F.col("rep"))
-    else:
-        rows = buckets.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+        # Hubs are the smallest texts, so that the buckets of a group share one.
+        hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("high")).filter("hub < high")
+        return buckets.join(hubs, "bucket").filter("rep <> hub").select(*pair("hub", "rep")).distinct()
+    exhaustive = RANDOM_ROUNDS + 1
+    quarter = F.pmod("bucket", F.lit(QUARTERS)) == number % QUARTERS
+    some = buckets if number == exhaustive else buckets.filter(quarter)
+    rows = some.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     turn = F.xxhash64("rep", "bucket", F.lit(number))
-    # The hub of a bucket: its smallest text at first, so that buckets of a group share it, then a random one.
-    order = F.struct(F.col("rep") if number == 0 else turn, F.col("rep"))
     about = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), F.col("rep").alias("hub"), F.col("class").alias("hub_class")))
-        .alias("first"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select(
-        "bucket", "n", "first.hub", "first.hub_class")
-    joined = rows.join(about, "bucket")
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    few = joined.filter(F.col("n") <= (SMALL_BUCKET if number == 0 else MIDDLE_BUCKET))
-    many = joined.filter(F.col("n") > (SMALL_BUCKET if number == 0 else MIDDLE_BUCKET))
-    star = many.filter(F.col("class") != F.col("hub_class")).select(*pair("hub", "rep"))
-    # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
-    placed = many.filter(F.pmod("bucket", F.lit(RING_SHARE)) == number % RING_SHARE).withColumn("turn", turn).withColumn(
-        "block", F.pmod("turn", F.ceil(F.col("n") / F.lit(1000))))
-    after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
-    ring = placed.select("rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
-    found = star.union(ring.filter("class <> other_class").select(*pair("rep", "other")))
-    if number < 2:  # later rounds would find the same pairs
-        lists = few.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"),
+        F.min(F.struct(turn.alias("turn"), F.col("rep"), F.col("class"))).alias("hub")).filter("low < high").select(
+        "bucket", "n", F.col("hub.rep").alias("hub"), F.col("hub.class").alias("hub_class"))
+    if number > exhaustive:
+        about = about.filter(F.col("n") > MIDDLE_BUCKET)
+    joined = rows.join(about, "bucket").withColumn("turn", turn)
+    if number < exhaustive:
+        # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
+        after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
+        ring = joined.withColumn("block", F.pmod("turn", F.ceil(F.col("n") / F.lit(1000)))).select(
+            "rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
+        star = joined.filter("class <> hub_class").select(*pair("rep", "hub"))
+        return star.union(ring.filter("class <> other_class").select(*pair("rep", "other"))).distinct()
+    large = joined.filter(quarter & (F.col("n") > MIDDLE_BUCKET))
+    first = F.row_number().over(W.partitionBy("bucket").orderBy("turn", "rep"))
+    panel = large.withColumn("place", first).filter(F.col("place") <= PANEL << (number - exhaustive)).select(
+        "bucket", F.col("rep").alias("other"), F.col("class").alias("other_class"))
+    found = large.join(panel, "bucket").filter("class <> other_class").select(*pair("rep", "other"))
+    if number == exhaustive:
+        lists = joined.filter(F.col("n") <= MIDDLE_BUCKET).groupBy("bucket").agg(
+            F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
         every = lists.select(F.explode(F.expr(
             "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.class <> x.class), "
             "y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p"))
@@ -249,41 +295,55 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         signed = stored(docs.mapInArrow(_signatures, "doc_id long, rep long, bands binary, sketch binary"), "signatures")
     texts = stored(signed.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"),
                                              F.first("sketch").alias("sketch")), "texts")
-    every = texts.filter("bands IS NOT NULL").select("rep", "bands").mapInArrow(_unpacked, "bucket long, rep long")
-    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = stored(every.join(crowded, "bucket", "left_semi"), "buckets")
+    banded = texts.filter("bands IS NOT NULL").select("rep", "bands")
+    crowded = banded.mapInArrow(_unpacked(), "bucket long, rep long").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    send = spark.sparkContext.broadcast
+    buckets = stored(banded.mapInArrow(_unpacked(send(bit_filter(stored(crowded.select("bucket"), "crowded"), "bucket"))),
+                                       "bucket long, rep long"), "buckets")
+    members = stored(texts.select("rep", "doc_id", "sketch").join(buckets.select("rep").distinct(), "rep", "left_semi"), "members")
     sets = None
 
-    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    def both(pairs: DataFrame, of: DataFrame, n_pairs: int) -> DataFrame:
         named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
-        return pairs.join(named("a"), "a").join(named("b"), "b")
+        return _dealt(_dealt(pairs.join(named("a"), "a"), 10 * n_pairs).join(named("b"), "b"), 10 * n_pairs)
 
-    tried, links, classes, number = None, None, None, 0
+    tried, links, classes, number, late, n_buckets = None, None, None, 0, False, buckets.count()
     while True:
         pairs = _candidates(buckets, classes, number)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(_dealt(pairs, n_buckets), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        close = stored(both(pairs, texts.select("rep", "sketch")).filter(
-            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
-        if close.limit(1).count():
-            if sets is None:
-                members = buckets.select("rep").distinct()
-                speakers = texts.join(members, "rep", "left_semi").select("doc_id")
-                sources = docs.join(speakers, docs["doc_id"].eqNullSafe(speakers["doc_id"]), "left_semi").select("text")
-                with small_batches(spark):
-                    sets = stored(sources.mapInArrow(_shingled, "rep long, items binary, counts binary").dropDuplicates(["rep"]), "shingles")
+        n_pairs = pairs.count()
+        if not n_pairs:
+            if classes is None or number > RANDOM_ROUNDS:
+                break
+            number += 1
+            continue
+        if sets is None:
+            speaking = send(bit_filter(members, "doc_id"))
             with small_batches(spark):
-                fresh = stored(both(close, sets).filter(
-                    _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
-        else:
-            fresh = close
-        if fresh.limit(1).count() == 0 and number > 0:
+                sets = stored(docs.mapInArrow(_shingled(speaking), "rep long, items binary, counts binary")
+                              .dropDuplicates(["rep"]).join(members.select("rep"), "rep", "left_semi"), "shingles")
+        close = stored(both(pairs, members.select("rep", "sketch"), n_pairs).filter(
+            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
+        # Only sets of texts in these pairs are shuffled.
+        ends = send(bit_filter(close.select(F.explode(F.array("a", "b")).alias("rep")), "rep"))
+        with small_batches(spark):
+            fresh = stored(both(close, sets.mapInArrow(_held(ends), sets.schema), close.count()).filter(
+                _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
+        new = fresh.limit(1).count() > 0
+        if new:
+            links = fresh if links is None else links.union(fresh)
+        elif number > RANDOM_ROUNDS:
             break
-        links = fresh if links is None else links.union(fresh)
-        classes = connected(links)
+        if number <= RANDOM_ROUNDS and (new or classes is None):
+            classes = connected(links if links is not None else fresh)
+        late = late or new and number > RANDOM_ROUNDS
         number += 1
+    if late:  # what the last rounds joined is little, and is put together once
+        classes = connected(links)
 
     if classes is None:
         named = texts.select("rep", F.col("doc_id").alias("class_id"))
