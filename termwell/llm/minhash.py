@@ -16,8 +16,10 @@ compared with its smallest one; then, in two rounds, with a random one and with
 neighbours in a random ring, in a quarter of the buckets; then, in buckets of at most
 ``MIDDLE_BUCKET`` members, all that are still in different classes with one another, and
 in larger ones with a panel of ``PANEL`` random members, drawn anew and doubled until a
-round finds no new link. So work per round is proportional to the members, never to the
-pairs of a large group.
+round finds no new link. Up to here work per round is proportional to the members. Last,
+the members of all larger buckets that still hold several classes are joined on the
+rarest of their shingles, which finds every pair left (see ``_rare_pairs``); its work
+grows with how often these rarest shingles are shared between classes.
 
 With 32 bands of 4, a pair at similarity 0.8 meets in no band with probability
 5e-8, and agrees in fewer than ``LEAST_AGREE`` parts with 1e-8.
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,8 @@ QUARTERS = 4
 RANDOM_ROUNDS = 2
 ROWS_PER_TASK = 20_000
 LEAST_AGREE = 76
+COUNTERS = 1 << 20
+BLOCK_ROWS = 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -287,6 +291,102 @@ def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> D
     return found.distinct()
 
 
+def _counted(batches) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle, in counters that shingles share by their hash."""
+    sums = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for items in batch.column("items"):
+            sums += np.bincount(_counter(np.frombuffer(items.as_buffer(), np.uint32)), minlength=COUNTERS)
+    at = np.flatnonzero(sums)
+    yield pa.record_batch({"counter": pa.array(at), "n": pa.array(sums[at])})
+
+
+def _counter(items: np.ndarray) -> np.ndarray:
+    return (mixed(items.astype(np.uint64)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def rare_prefix(items: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set and the share of its weight that lies before each.
+
+    A pair is similar only if the shares u and v of the two sets' weights that their common
+    shingles have satisfy 1/u + 1/v <= 1 + 1/THRESHOLD: with p and q as the weights over their
+    sums, each inner sum of the similarity is at least 1/p + (1 - v)/q, and the sum of
+    1 / (1/p + (1 - v)/q) over common shingles is at most 1 / (1/u + 1/v - 1). Where the
+    first common shingle in any order of all shingles has the shares before and before' of
+    the weights in front of it, u <= 1 - before and v <= 1 - before'. So it stands where
+    before <= 1 - THRESHOLD in both sets, and ``_near_enough`` holds for it.
+    """
+    seen = counts[_counter(items)]
+    order = np.lexsort((items, seen))
+    weight = weights[order].astype(np.float64)
+    before = (np.cumsum(weight) - weight) / weight.sum()
+    kept = (before <= 1.0 - THRESHOLD + 1e-9) & (seen[order] > 1)  # what one set holds is shared with none
+    return items[order][kept], before[kept]
+
+
+def _near_enough(a: str, b: str) -> Column:
+    return 1.0 / (1.0 - F.col(a)) + 1.0 / (1.0 - F.col(b)) <= 1.0 + 1.0 / THRESHOLD + 1e-9
+
+
+def _prefixed(counts):
+    def prefix(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rare_prefix(*_loaded(x, n), counts.value) for x, n in zip(batch.column("items"), batch.column("counts"), strict=True)]
+            reps = np.repeat(batch.column("rep").to_numpy(), [len(f[0]) for f in found])
+            items, before = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in (0, 1))
+            yield pa.record_batch({"rep": pa.array(reps, pa.int64()), "item": pa.array(items.astype(np.int64)),
+                                   "before": pa.array(before, pa.float64())})
+
+    return prefix
+
+
+def _among_items(wanted):
+    def hold(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(wanted.value, batch.column("item").to_numpy())))
+
+    return hold
+
+
+def _rare_pairs(buckets: DataFrame, classes: DataFrame | None, sets: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of different classes among the members of large buckets: all that can be similar.
+
+    For each shingle, rows of its commonest class meet only rows of other classes, so that
+    a large class is not joined with itself.
+    """
+    send = buckets.sparkSession.sparkContext.broadcast
+    classed = buckets if classes is None else buckets.join(classes, "rep", "left")
+    classed = classed.withColumn("class", F.coalesce("class", "rep") if classes is not None else F.col("rep"))
+    mixed_up = classed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter(
+        (F.col("n") > MIDDLE_BUCKET) & (F.col("low") < F.col("high"))).select("bucket")
+    open_ = stored(classed.join(mixed_up, "bucket", "left_semi").select("rep", "class").distinct(), "open")
+    if open_.limit(1).count() == 0:
+        return None
+    held = stored(sets.mapInArrow(_held(send(bit_filter(open_, "rep"))), sets.schema).join(open_, "rep", "left_semi"), "open-shingles")
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in held.mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row["counter"]] = row["n"]
+    prefixes = stored(held.mapInArrow(_prefixed(send(counts)), "rep long, item long, before double").join(open_, "rep"), "prefixes")
+    # With a share of more than half of what both may lack before it, a shingle meets only such as have less.
+    early = 1.0 - 2.0 / (1.0 + 1.0 / THRESHOLD) + 1e-9
+    per_class = prefixes.groupBy("item", "class").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("before"))
+    shared = stored(per_class.groupBy("item").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("class", "n").alias("top"), F.sum("n").alias("n"),
+        F.max("n").alias("most"), F.min("before").alias("least")).filter((F.col("low") < F.col("high")) & (F.col("least") <= early)).select(
+        "item", "top", F.ceil((F.col("n") - F.col("most") + 1) / F.lit(BLOCK_ROWS)).alias("blocks")), "shared")
+    if shared.limit(1).count() == 0:
+        return None
+    rows = stored(prefixes.mapInArrow(_among_items(send(bit_filter(shared, "item"))), prefixes.schema).join(shared, "item"), "shared-rows")
+    minor = rows.filter("class <> top").select(
+        "item", F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("before").alias("before_a"),
+        F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
+    other = rows.select("item", F.col("rep").alias("b"), F.col("class").alias("class_b"), F.col("before").alias("before_b"),
+                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    met = [minor.filter(x).join(other.filter(y), ["item", "block"]).filter("class_a <> class_b").filter(_near_enough("before_a", "before_b"))
+           for x, y in ((F.col("before_a") <= early, F.lit(True)), (F.col("before_a") > early, F.col("before_b") <= early))]
+    return met[0].union(met[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id): the class of each row, named by its smallest document."""
     spark = df.sparkSession
@@ -308,6 +408,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
         return _dealt(_dealt(pairs.join(named("a"), "a"), 10 * n_pairs).join(named("b"), "b"), 10 * n_pairs)
 
+    def similar(pairs: DataFrame, n_pairs: int) -> DataFrame:
+        close = stored(both(pairs, members.select("rep", "sketch"), n_pairs).filter(
+            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
+        # Only sets of texts in these pairs are shuffled.
+        ends = send(bit_filter(close.select(F.explode(F.array("a", "b")).alias("rep")), "rep"))
+        with small_batches(spark):
+            return stored(both(close, sets.mapInArrow(_held(ends), sets.schema), close.count()).filter(
+                _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
+
     tried, links, classes, number, late, n_buckets = None, None, None, 0, False, buckets.count()
     while True:
         pairs = _candidates(buckets, classes, number)
@@ -326,13 +435,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             with small_batches(spark):
                 sets = stored(docs.mapInArrow(_shingled(speaking), "rep long, items binary, counts binary")
                               .dropDuplicates(["rep"]).join(members.select("rep"), "rep", "left_semi"), "shingles")
-        close = stored(both(pairs, members.select("rep", "sketch"), n_pairs).filter(
-            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
-        # Only sets of texts in these pairs are shuffled.
-        ends = send(bit_filter(close.select(F.explode(F.array("a", "b")).alias("rep")), "rep"))
-        with small_batches(spark):
-            fresh = stored(both(close, sets.mapInArrow(_held(ends), sets.schema), close.count()).filter(
-                _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
+        fresh = similar(pairs, n_pairs)
         new = fresh.limit(1).count() > 0
         if new:
             links = fresh if links is None else links.union(fresh)
@@ -344,6 +447,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         number += 1
     if late:  # what the last rounds joined is little, and is put together once
         classes = connected(links)
+    pairs = _rare_pairs(buckets, classes, sets) if sets is not None else None
+    if pairs is not None:
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = similar(pairs, pairs.count())
+        if fresh.limit(1).count() > 0:
+            classes = connected(fresh if links is None else links.union(fresh))
 
     if classes is None:
         named = texts.select("rep", F.col("doc_id").alias("class_id"))

@@ -8,10 +8,12 @@ import pytest
 
 from termwell.llm.common import shingle_hashes, word_hashes
 from termwell.llm.minhash import (
+    COUNTERS,
     connected,
     near_duplicates,
     prob_minhash,
     probability_jaccard,
+    rare_prefix,
     weighted_shingles,
 )
 
@@ -133,3 +135,31 @@ def test_connected_components(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (102, 100)]
     got = dict(tuple(r) for r in connected(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_rare_prefixes_meet():
+    """Two similar sets share a shingle of their prefixes at which the bound holds, whatever the counters."""
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(300):
+        a = {int(k): int(v) for k, v in zip(rng.choice(10 ** 6, 60, replace=False), rng.integers(1, 4, 60), strict=True)}
+        b = {**{k: v + int(rng.random() < 0.1) for k, v in a.items() if rng.random() < 0.95},
+             **{int(k): 1 for k in rng.choice(10 ** 6, rng.integers(0, 8), replace=False)}}
+        pack = lambda c: (np.array(sorted(c), np.uint32), np.array([c[k] for k in sorted(c)], np.int32))
+        counts = rng.integers(2, 9, COUNTERS)
+        one, other = (dict(zip(*(x.tolist() for x in rare_prefix(*pack(c), counts)), strict=True)) for c in (a, b))
+        near = any(1 / (1 - one[k]) + 1 / (1 - other[k]) <= 2.25 + 1e-9 for k in one.keys() & other.keys())
+        if probability_jaccard(pack(a), pack(b)) >= 0.8:
+            met += 1
+            assert near
+    assert met > 50
+
+
+def test_large_buckets_are_searched_whole(spark, rows, monkeypatch):
+    """Every bucket counts as large, and the random rounds, which may miss any pair, find none."""
+    import termwell.llm.minhash as module
+
+    for name, value in (("MIDDLE_BUCKET", 1), ("PANEL", 0), ("RANDOM_ROUNDS", 0)):
+        monkeypatch.setattr(module, name, value)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_duplicates(df).collect()) == plain_classes(rows)
