@@ -8,7 +8,9 @@ where the share of its windows that stand together there, over a stretch little
 longer than the item, reaches the threshold. For a template the slots must agree
 as well: what stands for a value of the item stands for it throughout.
 
-Windows of a template need ``LEAST_LITERAL`` words besides placeholders.
+All windows count. Looked up are those windows of a template that hold ``LEAST_LITERAL``
+words besides placeholders, or all with such words if an item has none of these; around
+them the other windows are compared. A template without a word is no template.
 
 The benchmark is broadcast in blocks of at most ``BLOCK_WORDS`` words (or one item);
 documents are read once and neither shuffled nor cut.
@@ -110,14 +112,18 @@ class Tokens:
         return cls(words, codes, values)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of words and of the template; template windows that say too little are 0."""
-        plain, shape = shingle_hashes(self.words, WINDOW), shingle_hashes(self.codes, WINDOW)
-        if len(shape):
-            width = min(WINDOW, len(self.codes))
-            literal = np.r_[0, np.cumsum(self.codes > 3)]
-            enough = literal[width:] - literal[:len(literal) - width] >= min(LEAST_LITERAL, width)
-            shape = np.where(enough, mixed(shape ^ np.uint64(0x5A5A)), np.uint64(0))
-        return plain, shape
+        """Hashes of the windows of words and of the template."""
+        return shingle_hashes(self.words, WINDOW), mixed(shingle_hashes(self.codes, WINDOW) ^ np.uint64(0x5A5A))
+
+    def seeds(self) -> np.ndarray:
+        """Places of the template windows that are looked up."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64)
+        width = min(WINDOW, len(self.codes))
+        literal = np.r_[0, np.cumsum(self.codes > 3)]
+        held = literal[width:] - literal[:len(literal) - width]
+        rich = np.flatnonzero(held >= min(LEAST_LITERAL, width))
+        return rich if len(rich) else np.flatnonzero(held > 0)
 
 
 @dataclass(frozen=True)
@@ -127,6 +133,7 @@ class Block:
     items: list
     tokens: list[Tokens]
     needed: np.ndarray  # per item: windows of words, windows of the template
+    shapes: list  # per item: the hashes of its template windows in order, and their places
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
@@ -134,17 +141,20 @@ class Block:
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Block:
         tokens = [Tokens.of(text) for _, text in rows]
-        hashes, owner, place, needed = [], [], [], []
+        hashes, owner, place, needed, shapes = [], [], [], [], []
         for k, t in enumerate(tokens):
             for side, found in enumerate(t.windows()):
-                at = np.flatnonzero(found)
+                at = t.seeds() if side else np.arange(len(found))
                 hashes.append(found[at])
                 owner.append(np.full(len(at), 2 * k + side))
                 place.append(at)
-                needed.append(len(at))
+                needed.append(len(found))
+                if side:
+                    order = np.argsort(found, kind="stable")
+                    shapes.append((found[order], order, len(at)))
         hashes, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner, place))
         order = np.argsort(hashes, kind="stable")
-        return cls([i for i, _ in rows], tokens, np.array(needed), hashes[order].astype(np.uint64), owner[order], place[order])
+        return cls([i for i, _ in rows], tokens, np.array(needed), shapes, hashes[order].astype(np.uint64), owner[order], place[order])
 
     def leaks(self, text: str | None) -> list[dict]:
         """The items of the block that stand in the text."""
@@ -152,7 +162,7 @@ class Block:
         found: dict[int, dict] = {}
         for side, hashes in enumerate(doc.windows()):
             low = np.searchsorted(self.hashes, hashes, side="left")
-            hit = np.flatnonzero((hashes != 0) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes)) if len(self.hashes) else []
+            hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes) if len(self.hashes) else []
             if not len(hit):
                 continue
             high = np.searchsorted(self.hashes, hashes[hit], side="right")
@@ -163,12 +173,30 @@ class Block:
             which, at = which[mine], at[mine]
             for owner in np.unique(self.owner[which]).tolist():
                 own = self.owner[which] == owner
-                leak = self._aligned(owner, side, self.place[which[own]], at[own], doc)
+                where, spot = self.place[which[own]], at[own]
+                if side:
+                    where, spot = self._surroundings(owner // 2, where, spot, hashes)
+                leak = self._aligned(owner, side, where, spot, doc)
                 item = owner // 2
                 if leak and (item not in found or found[item]["share"] < leak["share"]):
                     found[item] = leak | {"item_id": self.items[item]}
         return [found[k] for k in sorted(found)]
 
+    def _surroundings(self, item: int, place: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All agreeing template windows of the item and the document near the seeds found."""
+        shape, order, seeds = self.shapes[item]
+        if seeds - len(np.unique(place)) > (1.0 - THRESHOLD) * len(shape) + 1e-9:
+            return place[:0], at[:0]  # too many windows are surely missing
+        reach = int(len(self.tokens[item].codes) * SLACK) + 1
+        edge = np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(edge, np.maximum(at - reach, 0), 1)
+        np.add.at(edge, np.minimum(at + reach + 1, len(hashes)), -1)
+        near = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        low, high = (np.searchsorted(shape, hashes[near], side=s) for s in ("left", "right"))
+        n = high - low
+        which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return order[which], np.repeat(near, n)
+
     def _aligned(self, owner: int, side: int, place: np.ndarray, at: np.ndarray, doc: Tokens) -> dict | None:
         """The stretch of the document with most of the item's windows, if it has enough that agree."""
         needed = int(self.needed[owner])
@@ -193,6 +221,15 @@ class Block:
         if share < THRESHOLD:
             return None
         place, at = place[best[1]:best[2]], at[best[1]:best[2]]
+        if side:  # a template that repeats itself agrees at several places; each window counts at the likeliest
+            shift, n = np.unique(at - place, return_counts=True)
+            off = np.abs(at - place - shift[n.argmax()])
+            order = np.lexsort((off, at))
+            likeliest = order[np.unique(at[order], return_index=True)[1]]
+            place, at = place[likeliest], at[likeliest]
+            share = len(np.unique(place)) / needed
+            if share < THRESHOLD:
+                return None
         agree = self._agreement(item, doc, place, at) if side else 1.0
         if agree < LEAST_CONSISTENT:
             return None

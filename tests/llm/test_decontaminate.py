@@ -89,3 +89,17 @@ def test_blocks_change_nothing(spark, monkeypatch):
     one = found()
     monkeypatch.setattr(module, "BLOCK_WORDS", 300)
     assert found() == one and one
+
+
+def test_items_dense_in_placeholders():
+    item = "John ran 5 km in 30 minutes. Mary ran 8 km in 50 minutes. Who ran faster?"
+    copy = "Zoe ran 7 km in 45 minutes. Adam ran 9 km in 61 minutes. Who ran faster?"
+    assert leaks(f"a task: {copy} and so on", [(1, item)]) == {1: "template"}
+    mixed_up = "Zoe ran 7 km in 45 minutes. Adam ran 9 miles over 61 hills. Who swam faster?"
+    assert leaks(f"a task: {mixed_up} and so on", [(1, item)]) == {}
+
+
+def test_one_common_phrase_is_no_leak():
+    item = "Ann 5 km, Bob 8 kg, Eve 3 km, Max 9 at the end"
+    assert leaks("He said that Joe 4 at the end was tired.", [(1, item)]) == {}
+    assert leaks("so Kim 7 km, Joe 2 kg, Zoe 6 km, Ted 4 at the end", [(1, item)]) == {1: "template"}
