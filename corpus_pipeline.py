@@ -40,9 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
+    """Documents that hold no benchmark item and no long excerpt, re-parameterised ones included.
+
+    An item of fewer than five words inside a longer document does not drop it.
+    """
     return with_leaks(_rows(docs, "text"), read_table(spark, sf_dir, "benchmark")).filter(
-        F.size("leaks") == 0).select("document.*")
+        ~F.exists("leaks", lambda leak: leak["kind"] != "short")).select("document.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,11 +12,16 @@ All windows count. Looked up are those windows of a template that hold ``LEAST_L
 words besides placeholders, or all with such words if an item has none of these; around
 them the other windows are compared. A template without a word is no template.
 
+Besides, ``Block.passages`` reports what stands in a document though the item's share there is
+too small: runs of ``RUN_WORDS`` consecutive words of an item (kind ``excerpt``) and items of
+fewer than five words at any place (kind ``short``).
+
 The benchmark is broadcast in blocks of at most ``BLOCK_WORDS`` words (or one item);
 documents are read once and neither shuffled nor cut.
 
 Defined cases: a null text or item has no words and matches nothing; an item of
-fewer than five words tells too little and matches only a text of just these words; an empty benchmark leaks nowhere; repeated
+fewer than five words is of kind ``words`` where a text has just these words, else of kind
+``short``, which tells too little to drop a document; an empty benchmark leaks nowhere; repeated
 items and documents are reported each; an input column ``leaks`` is replaced.
 """
 
@@ -39,6 +44,7 @@ LEAST_LITERAL = 3
 LEAST_CONSISTENT = 0.8
 SLACK = 1.25
 BLOCK_WORDS = 2_000_000
+RUN_WORDS = 13
 
 # Words that stand for numbers and units of measure.
 NUMBER_WORDS = (
@@ -137,6 +143,7 @@ class Block:
     hashes: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    short: dict  # number of words: hashes of the items of so many words in order, and the items
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Block:
@@ -154,7 +161,13 @@ class Block:
                     shapes.append((found[order], order, len(at)))
         hashes, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner, place))
         order = np.argsort(hashes, kind="stable")
-        return cls([i for i, _ in rows], tokens, np.array(needed), shapes, hashes[order].astype(np.uint64), owner[order], place[order])
+        short = {}
+        for width in range(1, WINDOW):
+            items = [k for k, t in enumerate(tokens) if len(t.words) == width]
+            named = np.array([shingle_hashes(tokens[k].words, width)[0] for k in items], np.uint64)
+            if items:
+                short[width] = (np.sort(named), np.array(items)[np.argsort(named, kind="stable")])
+        return cls([i for i, _ in rows], tokens, np.array(needed), shapes, hashes[order].astype(np.uint64), owner[order], place[order], short)
 
     def leaks(self, text: str | None) -> list[dict]:
         """The items of the block that stand in the text."""
@@ -182,6 +195,46 @@ class Block:
                     found[item] = leak | {"item_id": self.items[item]}
         return [found[k] for k in sorted(found)]
 
+    def passages(self, text: str | None) -> list[dict]:
+        """Long runs of words of items, and items of few words, wherever they stand in the text."""
+        words = Tokens.of(text).words
+        found: dict[int, dict] = {}
+        if len(words) >= RUN_WORDS and len(self.hashes):
+            hashes = shingle_hashes(words, WINDOW)
+            low, high = (np.searchsorted(self.hashes, hashes, side=s) for s in ("left", "right"))
+            n = high - low
+            which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            at = np.repeat(np.arange(len(hashes)), n)
+            plain = self.owner[which] % 2 == 0
+            owner, place, at = self.owner[which][plain], self.place[which][plain], at[plain]
+            order = np.lexsort((at, at - place, owner))
+            owner, place, at = owner[order], place[order], at[order]
+            breaks = np.flatnonzero((np.diff(owner) != 0) | (np.diff(at - place) != 0) | (np.diff(at) != 1)) + 1
+            starts = np.r_[0, breaks][:len(at)]
+            runs = np.diff(np.r_[starts, len(at)])
+            for k in np.flatnonzero(runs >= RUN_WORDS - WINDOW + 1).tolist():
+                first, item = int(starts[k]), int(owner[starts[k]]) // 2
+                share = float(runs[k] / self.needed[2 * item])
+                if item not in found or found[item]["share"] < share:
+                    found[item] = {"item_id": self.items[item], "kind": "excerpt", "share": share, "consistency": 1.0,
+                                   "first_token": int(at[first]), "n_tokens": int(runs[k]) + WINDOW - 1}
+        for width, (named, items) in self.short.items():
+            if len(words) < width:
+                continue
+            hashes, first = np.unique(shingle_hashes(words, width), return_index=True)
+            low, high = (np.searchsorted(named, hashes, side=s) for s in ("left", "right"))
+            for k in np.flatnonzero(high > low).tolist():
+                for item in items[low[k]:high[k]].tolist():
+                    found[item] = {"item_id": self.items[item], "kind": "short", "share": 1.0, "consistency": 1.0,
+                                   "first_token": int(first[k]), "n_tokens": width}
+        return [found[k] for k in sorted(found)]
+
+    def all_leaks(self, text: str | None) -> list[dict]:
+        """``leaks``, and the passages of items that are not among them."""
+        whole = self.leaks(text)
+        known = {leak["item_id"] for leak in whole}
+        return whole + [passage for passage in self.passages(text) if passage["item_id"] not in known]
+
     def _surroundings(self, item: int, place: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All agreeing template windows of the item and the document near the seeds found."""
         shape, order, seeds = self.shapes[item]
@@ -259,7 +312,7 @@ _ARROW_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()
 
 def _lookup(block):
     def leaks(texts: pa.Array) -> pa.Array:
-        return pa.array([block.value.leaks(text) for text in texts.to_pylist()], _ARROW_LEAKS)
+        return pa.array([block.value.all_leaks(text) for text in texts.to_pylist()], _ARROW_LEAKS)
 
     return F.arrow_udf(leaks, LEAK_TYPE)
 

@@ -103,3 +103,15 @@ def test_one_common_phrase_is_no_leak():
     item = "Ann 5 km, Bob 8 kg, Eve 3 km, Max 9 at the end"
     assert leaks("He said that Joe 4 at the end was tired.", [(1, item)]) == {}
     assert leaks("so Kim 7 km, Joe 2 kg, Zoe 6 km, Ted 4 at the end", [(1, item)]) == {1: "template"}
+
+
+def test_excerpts_and_short_items(spark):
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(500)]
+    item = " ".join(words)
+    docs = [(1, "x " + " ".join(words[100:490]) + " y"), (2, "x " + " ".join(words[40:53]) + " y"),
+            (3, "x " + " ".join(words[40:52]) + " y " + " ".join(words[60:72])), (4, "here are Two words!"), (5, "two words"), (6, item)]
+    found = with_leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame([(1, item), (2, "two words")], "item_id long, text string"))
+    got = {r.doc_id: [(k.item_id, k.kind, k.first_token, k.n_tokens) for k in r.leaks] for r in found.collect()}
+    assert got.pop(5)[0][:2] == (2, "words") and got.pop(6)[0][:2] == (1, "words")
+    assert got == {1: [(1, "excerpt", 1, 390)], 2: [(1, "excerpt", 1, 13)], 3: [], 4: [(2, "short", 2, 2)]}
