@@ -6,7 +6,9 @@ streamed through it once: at every word the automaton knows the longest string
 of words ending there that stands in some template (the matching statistics),
 and where in the templates it stands. Maximal matches of at least ``LEAST_MATCH`` words are
 chained in order, over gaps of at most ``GAP`` words, into spans of a template; a
-template whose span covers ``COVERED`` of its words labels the text.
+template whose span covers ``COVERED`` of its words labels the text. Templates of fewer than
+``SHORT`` words are full of everyday phrases: the words that only their label has must be
+among those covered, or all words if there are none.
 
 Only stretches in which all pairs of neighbouring words occur in some template
 are streamed, as no match of two words can stand elsewhere; the rest of the words
@@ -35,6 +37,7 @@ from termwell.llm.registry import query
 LEAST_MATCH = 3
 GAP = 8
 COVERED = 0.6
+SHORT = 10
 HALF_SCORE_WORDS = 4.0
 
 # Base phrases and their labels.
@@ -169,6 +172,13 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.words = np.unique(np.concatenate(sequences))
         numbered = [np.searchsorted(self.words, s).tolist() for s in sequences]
+        holders: dict[int, set[str]] = {}
+        for label, sequence in zip(self.labels, numbered, strict=True):
+            for word in sequence:
+                holders.setdefault(word, set()).add(label)
+        # Per short template the places that must be covered.
+        self.telling = [{k for k, word in enumerate(s) if len(holders[word]) == 1} or set(range(len(s)))
+                        if len(s) < SHORT else set() for s in numbered]
         pairs = [(a * len(self.words) + b) for s in numbered for a, b in zip(s, s[1:], strict=False)]
         self.pairs = np.unique(np.array(pairs, np.int64))
         self.automaton = Automaton(numbered)
@@ -223,12 +233,12 @@ class Scanner:
 
     def _spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
         """Chain matches per template, in the order of the text; keep chains that cover enough of it."""
-        open_: dict[int, list[int]] = {}  # template: first word, end, end in the template, words covered
+        open_: dict[int, list] = {}  # template: first word, end, end in the template, words covered, places covered
         spans = []
 
         def close(number: int) -> None:
-            start, end, _, covered = open_.pop(number)
-            if covered >= COVERED * self.sizes[number]:
+            start, end, _, covered, met = open_.pop(number)
+            if covered >= COVERED * self.sizes[number] and self.telling[number] <= met:
                 spans.append((start, end, self.labels[number], covered / self.sizes[number]))
 
         for first, size, state in matches:
@@ -238,17 +248,18 @@ class Scanner:
                     places.setdefault(number, []).append(place - size)
             for number, starts in places.items():
                 if number in open_:
-                    start, end, upto, covered = open_[number]
+                    start, end, upto, covered, met = open_[number]
                     skip = max(0, end - first)  # maximal matches may overlap in the text
                     onward = [s for s in starts if 0 <= s + skip - upto <= GAP]
                     if first - end <= GAP and onward and size > skip:
                         best = min(onward)
-                        open_[number] = [start, first + size, best + size, covered + size - skip]
+                        open_[number] = [start, first + size, best + size, covered + size - skip,
+                                         met.union(range(best, best + size))]
                         continue
                     if size <= covered and first + size <= end:
                         continue
                     close(number)
-                open_[number] = [first, first + size, min(starts) + size, size]
+                open_[number] = [first, first + size, min(starts) + size, size, set(range(min(starts), min(starts) + size))]
         for number in list(open_):
             close(number)
         return sorted(spans)

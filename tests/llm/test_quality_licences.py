@@ -93,3 +93,11 @@ def test_templates_are_found_with_gaps_and_edits():
     mit = TEMPLATES["mit"][0]
     assert "mit" in scanner().scan(mit.replace("merge", "combine").replace("persons", "people"))["labels"].split(",")
     assert scanner().scan("the software and the work of the public")["labels"] == ""
+
+
+def test_everyday_phrases_are_no_licence():
+    assert scanner().scan("the film was released under the title of the book")["labels"] == ""
+    assert scanner().scan("code licensed under the BSD license")["labels"] == ""
+    for text in ("Licensed under the terms of the MIT License.", "it is released under the MIT license", "This project is licensed under the MIT License"):
+        assert scanner().scan(text)["labels"] == "mit-notice"
+    assert scanner().scan("Licensed under CC BY 4.0")["labels"].split(",")[0] == "cc-by"
