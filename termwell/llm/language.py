@@ -16,9 +16,11 @@ A uniform trigram source competes as ``und``: text that no language explains
 better than noise, and text without letters, is ``und`` and rejected.
 
 The likelihoods are fitted on a sample of labelled rows, ``SAMPLE_PER_LANGUAGE``
-expected per language and ``SAMPLE_CHARS`` of each text, for at most
-``MAX_LANGUAGES`` labels with ``MIN_LABELLED`` rows or more; every other figure
-covers all documents and whole texts. Without such labels all is ``und``.
+expected per language and ``SAMPLE_CHARS`` of each text, for all labels, taken by
+their primary tag, with ``MIN_LABELLED`` rows or more; every other figure
+covers all documents and whole texts. Without such labels all is ``und``. A text that
+would be ``und`` or unsure though it is declared as a language without a model has that
+language and is accepted, unless it has no letters or is not among the languages wanted.
 
 Defined cases: a null text is empty; a null or unknown declaration, host or
 address adds no evidence of its own; an empty table gives an empty result;
@@ -27,6 +29,7 @@ repeated rows count each; input columns named like a result are replaced.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,10 +41,10 @@ from termwell.llm.common import read_table, stored
 from termwell.llm.registry import query
 
 BUCKETS = 1 << 15
+PIECE = 1 << 12
 SAMPLE_PER_LANGUAGE = 2000
 SAMPLE_CHARS = 4000
 MIN_LABELLED = 5
-MAX_LANGUAGES = 32
 SMOOTHING = 0.5
 TEXT_TRIGRAMS = 64
 HOST_STRENGTH = 20.0
@@ -81,16 +84,21 @@ class TextModel:
         if not len(buckets):
             return [-1e3] * len(self.languages) + [0.0]
         weight = min(1.0, TEXT_TRIGRAMS / len(buckets))
-        sums = self.table[buckets].sum(axis=0, dtype=np.float64) * weight
+        sums = sum(self.table[buckets[k:k + PIECE]].sum(axis=0, dtype=np.float64) for k in range(0, len(buckets), PIECE)) * weight
         return [*sums.tolist(), -np.log(BUCKETS) * len(buckets) * weight]
 
 
+def primary_tag(tag: Column) -> Column:
+    """Primary tag of a language tag in lower case; null where there is none."""
+    found = F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,8})(?:[-_]|\s*$)", 1))
+    return F.when(found != "", found)
+
+
 def fit_text_model(rows: DataFrame, key: Column, text: str = "text", label: str = "lang") -> TextModel:
     """Trigram counts of a bounded sample of labelled rows, drawn by the hash of ``key``."""
-    labelled = rows.select(F.col(text).alias("text"), F.col(label).alias("label"), key.alias("key")).filter(
+    labelled = rows.select(F.col(text).alias("text"), primary_tag(F.col(label)).alias("label"), key.alias("key")).filter(
         "label IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_LABELLED).orderBy(
-        F.desc("n"), "label").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_LABELLED).collect()
     languages = tuple(sorted(r["label"] for r in counts))
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     if languages:
@@ -109,8 +117,9 @@ def fit_text_model(rows: DataFrame, key: Column, text: str = "text", label: str
 
         sums = (drawn.select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
                 .mapInPandas(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")))
-        for of, bucket, n in sums.collect():
-            table[bucket, languages.index(of)] += n
+        column = {of: k for k, of in enumerate(languages)}
+        for of, bucket, n in sums.toLocalIterator():
+            table[bucket, column[of]] += n
     return TextModel(languages, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32))
 
 
@@ -162,12 +171,13 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
         return pd.Series([shared.value.score(text) for text in texts])
 
     names = F.array(*[F.lit(name) for name in model.languages], F.lit("und"))
-    tag = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})", 1)) if declared is not None else F.lit(None)
+    tag = primary_tag(declared) if declared is not None else F.lit(None)
     origin = host if host is not None else host_of(address) if address is not None else F.lit(None)
     suffix = suffix_of(host_of(address)) if address is not None else F.lit(None)
     rows = df.drop(*RESULTS).select(F.struct("*").alias("row"), F.col(text).alias("text"), tag.cast("string").alias("tag"),
                      origin.cast("string").alias("host"), suffix.cast("string").alias("suffix"))
-    scored = rows.withColumn("ll", likelihoods("text")).drop("text").withColumn(
+    scored = rows.withColumn("ll", likelihoods("text")).drop("text").withColumn("stranger", F.when(
+        ~F.col("tag").isin(*model.languages, "und") & (F.element_at("ll", n + 1) < 0), F.col("tag"))).withColumn(
         "tag", F.when(F.col("tag").isin(*model.languages), F.col("tag")))
     heard = _softmax(F.col("ll"))  # of the text alone; what counts as noise adds little to any language
     known = scored.withColumn("p", heard)
@@ -180,14 +190,16 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     world = [((whole[i] or 0.0) + 1.0) / (sum(x or 0.0 for x in whole) + n) for i in range(n)]
     tags = per_group.filter("tag IS NOT NULL").groupBy("tag").agg(*again).collect()
     per_language = [sum(r[f"p{i}"] for r in tags) for i in range(n)]
-    stated = F.create_map(*[v for r in tags for v in (
-        F.lit(r["tag"]), F.array(*[F.lit(float(np.log((r[f"p{i}"] + DECLARED_STRENGTH / n) / (per_language[i] + DECLARED_STRENGTH))))
-                                   for i in range(n)]))]) if tags else None
+    # One literal for the whole table, which has a row and a column per language.
+    stated = F.from_json(F.lit(json.dumps({r["tag"]: [
+        float(np.log((r[f"p{i}"] + DECLARED_STRENGTH / n) / (per_language[i] + DECLARED_STRENGTH))) for i in range(n)]
+        for r in tags})), "map<string,array<double>>") if tags else None
     parent = F.array(*[F.lit(x) for x in world])
 
     def smoothed(strength: float, above: Column) -> Column:
-        total = sum((F.col(f"p{i}") for i in range(1, n)), F.col("p0"))
-        return F.array(*[(F.col(f"p{i}") + strength * above[i]) / (total + strength) for i in range(n)])
+        seen = F.array(*[F.col(f"p{i}") for i in range(n)])
+        total = F.aggregate(seen, F.lit(0.0), lambda t, x: t + x)
+        return F.transform(seen, lambda x, i: (x + strength * F.get(above, i)) / (total + strength))
 
     suffixes = per_group.filter("suffix IS NOT NULL").groupBy("suffix").agg(*again).select(
         "suffix", smoothed(SUFFIX_STRENGTH, parent).alias("above"))
@@ -214,10 +226,14 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: Colu
     posterior = joined.withColumn("prior", prior).withColumn("evidence", evidence).withColumn(
         "posterior", _softmax(F.concat(fused, F.array(noise))))
     best = lambda column: F.element_at(names, F.array_position(column, F.array_max(column)).cast("int"))
-    result = posterior.select("row.*", best(F.col("posterior")).alias("language"),
-                              F.array_max("posterior").alias("confidence"), best(F.col("p")).alias("text_language"))
-    fits = F.col("language").isin(*(wanted if wanted is not None else model.languages))
-    return result.withColumn("accepted", fits & (F.col("confidence") >= LEAST_CONFIDENCE))
+    fits = F.col("_language").isin(*(wanted if wanted is not None else model.languages)) & (F.array_max("posterior") >= LEAST_CONFIDENCE)
+    unsure = (F.col("_language") == "und") | (F.array_max("posterior") < LEAST_CONFIDENCE)
+    foreign = F.col("stranger").isNotNull() & unsure
+    kept = F.col("stranger").isin(*wanted) if wanted is not None else F.lit(True)
+    return posterior.withColumn("_language", best(F.col("posterior"))).select(
+        "row.*", F.when(foreign, F.col("stranger")).otherwise(F.col("_language")).alias("language"),
+        F.array_max("posterior").alias("confidence"), best(F.col("p")).alias("text_language"),
+        F.when(foreign, kept).otherwise(fits).alias("accepted"))
 
 
 @query("op4_language_id")

@@ -83,3 +83,18 @@ def test_empty_table_and_no_labels(spark, model):
     unlabelled = spark.createDataFrame([(1, "some text", None)], schema)
     out = identify(unlabelled, fit_text_model(unlabelled, F.col("doc_id"))).first()
     assert (out.language, out.accepted) == ("und", False)
+
+
+def test_all_languages_are_modelled(spark):
+    """40 languages of own letters, the rarest with regional labels, and one with too few rows for a model."""
+    word = lambda k: "".join(chr(0x4E00 + 97 * k + j) for j in range(12))
+    tags = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(k * 100 + j, (word(k) + " ") * 8, tags[k] if k < 39 else f"{tags[k].upper()}-R{j}", "s")
+            for k in range(40) for j in range(10 if k < 39 else 6)]
+    rows += [(9000, "zqxj vkqz xxqj wvzk qqzx jjvw zzkq " * 5, "zz", "s"), (9001, "123 !!", "zz", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = fit_text_model(df, F.col("doc_id"))
+    assert model.languages == tuple(sorted(tags))
+    got = {r.doc_id: r for r in identify(df, model, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(r.accepted and r.language == tags[i // 100] for i, r in got.items() if i < 9000)
+    assert got[9000].accepted and got[9000].language == "zz" and not got[9001].accepted
