@@ -12,7 +12,7 @@ All windows count. Looked up are those windows of a template that hold ``LEAST_L
 words besides placeholders, or all with such words if an item has none of these; around
 them the other windows are compared. A template without a word is no template.
 
-Besides, ``Block.passages`` reports what stands in a document though the item's share there is
+Besides, ``Block.all_leaks`` reports what stands in a document though the item's share there is
 too small: runs of ``RUN_WORDS`` consecutive words of an item (kind ``excerpt``) and items of
 fewer than five words at any place (kind ``short``).
 
@@ -172,18 +172,28 @@ class Block:
     def leaks(self, text: str | None) -> list[dict]:
         """The items of the block that stand in the text."""
         doc = Tokens.of(text)
+        windows = doc.windows()
+        return self._whole(doc, windows, [self._hits(windows[side], side) for side in (0, 1)])
+
+    def _hits(self, hashes: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the table and places in the document that agree."""
+        none = np.zeros(0, np.int64)
+        if not len(self.hashes):
+            return none, none
+        low = np.searchsorted(self.hashes, hashes, side="left")
+        hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes)
+        if not len(hit):
+            return none, none
+        n = np.searchsorted(self.hashes, hashes[hit], side="right") - low[hit]
+        which = np.repeat(low[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        at = np.repeat(hit, n)
+        mine = self.owner[which] % 2 == side
+        return which[mine], at[mine]
+
+    def _whole(self, doc: Tokens, windows: tuple, hits: list) -> list[dict]:
         found: dict[int, dict] = {}
-        for side, hashes in enumerate(doc.windows()):
-            low = np.searchsorted(self.hashes, hashes, side="left")
-            hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes) if len(self.hashes) else []
-            if not len(hit):
-                continue
-            high = np.searchsorted(self.hashes, hashes[hit], side="right")
-            n = high - low[hit]
-            which = np.repeat(low[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            at = np.repeat(hit, n)
-            mine = self.owner[which] % 2 == side
-            which, at = which[mine], at[mine]
+        for side, (which, at) in enumerate(hits):
+            hashes = windows[side]
             for owner in np.unique(self.owner[which]).tolist():
                 own = self.owner[which] == owner
                 where, spot = self.place[which[own]], at[own]
@@ -195,18 +205,12 @@ class Block:
                     found[item] = leak | {"item_id": self.items[item]}
         return [found[k] for k in sorted(found)]
 
-    def passages(self, text: str | None) -> list[dict]:
+    def _passages(self, words: np.ndarray, hits: tuple) -> list[dict]:
         """Long runs of words of items, and items of few words, wherever they stand in the text."""
-        words = Tokens.of(text).words
         found: dict[int, dict] = {}
-        if len(words) >= RUN_WORDS and len(self.hashes):
-            hashes = shingle_hashes(words, WINDOW)
-            low, high = (np.searchsorted(self.hashes, hashes, side=s) for s in ("left", "right"))
-            n = high - low
-            which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            at = np.repeat(np.arange(len(hashes)), n)
-            plain = self.owner[which] % 2 == 0
-            owner, place, at = self.owner[which][plain], self.place[which][plain], at[plain]
+        which, at = hits
+        if len(which) >= RUN_WORDS - WINDOW + 1:
+            owner, place = self.owner[which], self.place[which]
             order = np.lexsort((at, at - place, owner))
             owner, place, at = owner[order], place[order], at[order]
             breaks = np.flatnonzero((np.diff(owner) != 0) | (np.diff(at - place) != 0) | (np.diff(at) != 1)) + 1
@@ -221,19 +225,24 @@ class Block:
         for width, (named, items) in self.short.items():
             if len(words) < width:
                 continue
-            hashes, first = np.unique(shingle_hashes(words, width), return_index=True)
-            low, high = (np.searchsorted(named, hashes, side=s) for s in ("left", "right"))
-            for k in np.flatnonzero(high > low).tolist():
-                for item in items[low[k]:high[k]].tolist():
+            hashes = shingle_hashes(words, width)
+            low = np.searchsorted(named, hashes)
+            hit = np.flatnonzero(named[np.minimum(low, len(named) - 1)] == hashes)
+            _, earliest = np.unique(hashes[hit], return_index=True)
+            for k in hit[earliest].tolist():
+                for item in items[low[k]:np.searchsorted(named, hashes[k], side="right")].tolist():
                     found[item] = {"item_id": self.items[item], "kind": "short", "share": 1.0, "consistency": 1.0,
-                                   "first_token": int(first[k]), "n_tokens": width}
+                                   "first_token": k, "n_tokens": width}
         return [found[k] for k in sorted(found)]
 
     def all_leaks(self, text: str | None) -> list[dict]:
         """``leaks``, and the passages of items that are not among them."""
-        whole = self.leaks(text)
+        doc = Tokens.of(text)
+        windows = doc.windows()
+        hits = [self._hits(windows[side], side) for side in (0, 1)]
+        whole = self._whole(doc, windows, hits)
         known = {leak["item_id"] for leak in whole}
-        return whole + [passage for passage in self.passages(text) if passage["item_id"] not in known]
+        return whole + [passage for passage in self._passages(doc.words, hits[0]) if passage["item_id"] not in known]
 
     def _surroundings(self, item: int, place: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All agreeing template windows of the item and the document near the seeds found."""
