@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from termwell.llm import (  # noqa: F401
     decontaminate,
+    fim,
     language,
     licences,
     minhash,
