@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from termwell.llm import (  # noqa: F401
+    collocations,
     decontaminate,
     fim,
     language,
