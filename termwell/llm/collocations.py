@@ -396,37 +396,41 @@ WITH pieces AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), listed AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT id, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM listed
 ), spots AS (
-  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
-), grams AS (
-  SELECT lang, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS phrase
-  FROM spots CROSS JOIN (VALUES (1), (2), (3)) AS s(size) WHERE i + size - 1 <= len(w)
-), f AS (
-  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+  SELECT lang, w1, lead(w1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM placed WINDOW piece AS (PARTITION BY id ORDER BY i)
+), one AS (
+  SELECT lang, w1, count(*) AS f FROM spots GROUP BY ALL
+), two AS (
+  SELECT lang, w1, w2, count(*) AS f FROM spots WHERE w2 IS NOT NULL GROUP BY ALL
+), three AS (
+  SELECT lang, w1, w2, w3, count(*) AS f FROM spots WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
 ), n AS (
-  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
-), c AS (
-  SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 10
-), cuts AS (
-  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r,
-    CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM c CROSS JOIN (VALUES (1), (2)) AS cut(k)
-  JOIN f x ON x.lang = c.lang AND x.size = k AND x.phrase = list_aggregate(c.w[:k], 'string_agg', ' ')
-  JOIN f y ON y.lang = c.lang AND y.size = c.size - k AND y.phrase = list_aggregate(c.w[k + 1:], 'string_agg', ' ')
-  WHERE k < c.size
-), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang
 ), inside AS (
-  SELECT lang, unnest([list_aggregate(w[1:2], 'string_agg', ' '), list_aggregate(w[2:3], 'string_agg', ' ')]) AS phrase, a
-  FROM c WHERE size = 3
+  SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three
 ), over AS (
-  SELECT lang, phrase, max(a) AS over FROM inside GROUP BY ALL
-), kept AS (
-  SELECT best.* FROM best LEFT JOIN over USING (lang, phrase) WHERE over.over IS NULL OR 100 * over.over < 50 * best.a
+  SELECT lang, w1, w2, max(f) AS over FROM inside GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r
+  FROM two c JOIN one x ON x.lang = c.lang AND x.w1 = c.w1 JOIN one y ON y.lang = c.lang AND y.w1 = c.w2
+  LEFT JOIN over o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2
+  WHERE c.f >= 10 AND (o.over IS NULL OR 100 * o.over < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f
+  FROM three c JOIN one x ON x.lang = c.lang AND x.w1 = c.w1 JOIN two y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f
+  FROM three c JOIN two x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN one y ON y.lang = c.lang AND y.w1 = c.w3
+), scored AS (
+  SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 )
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
-FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
 """
 
 

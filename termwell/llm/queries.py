@@ -12,6 +12,7 @@ from termwell.llm import (  # noqa: F401
     minhash,
     mixing,
     neighbours,
+    pii,
     quality,
     sharding,
     substrings,
