@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termwell.llm.common import bit_filter, hash_sums, may_hold, mixed, read_table, span_hashes, stored
+from termwell.llm.common import bit_filter, hash_sums, may_hold, mixed, read_table, small_batches, span_hashes, stored
 from termwell.llm.registry import query
 from termwell.operators.joins import lookup_join
 
@@ -48,9 +48,10 @@ LONGEST = 3
 LEAST = 10
 ABSORBED = 50
 TOP = 2000
-BUDGET = 1 << 18  # suffixes in a group
+BUDGET = 1 << 19  # suffixes in a group
 GROUPS = 1 << 22  # at most; beyond, groups grow
-STRETCH = 1 << 23  # bytes of text handled at once
+STRETCH = 1 << 22  # bytes of text handled at once
+BATCH_ROWS = 1500  # texts handed to Python at once
 UNKNOWN = "und"
 
 BREAK = np.zeros(256, bool)
@@ -182,13 +183,14 @@ def _reach(linked: np.ndarray, longest: int) -> np.ndarray:
 COUNTED = "lang string, phrase string, n long, route long"
 
 
-def _prefix_rows(batches, size: int, heavy: np.ndarray | None):
-    """Counts of the prefixes of that many words, those under heavy prefixes only if there are any lengths below."""
+def _prefix_rows(batches, size: int, heavy: np.ndarray | None, frequent: np.ndarray | None):
+    """Counts of the prefixes of that many words, of several words those of frequent words under heavy prefixes."""
     for words, lang, names in _stretches(batches):
         routes = _routes(words, lang, names, size)
         at = np.flatnonzero(_reach(words.linked, size) >= size)
         if heavy is not None:
             at = at[_member(heavy, routes[size - 2][at])]
+            at = at[may_hold(frequent, routes[0][at + size - 1])]
         if not len(at):
             continue
         *_, (_, node, place) = words.nodes(at, lang[at], np.full(len(at), size))
@@ -295,15 +297,15 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
     heavy: list[np.ndarray] = []
     shared: list = []
     levels: list[DataFrame] = []
-    cells, weights = 0, np.zeros(0, np.int64)
+    cells, weights, frequent = 0, np.zeros(0, np.int64), None
     for size in range(1, longest + 1):
         if size > 1 and not len(heavy[-1]):
             heavy += [np.zeros(0, np.int64)] * (longest - size)
             break
         above = shared[-1] if shared else None
 
-        def count(batches, size=size, above=above):
-            return _prefix_rows(batches, size, above.value if above else None)
+        def count(batches, size=size, above=above, frequent=frequent):
+            return _prefix_rows(batches, size, above and above.value, frequent and frequent.value)
 
         counted = stored(texts.mapInArrow(count, COUNTED).groupBy("lang", "phrase").agg(
             F.sum("n").alias("f"), F.min("route").alias("route")), f"prefixes-{size}")
@@ -315,6 +317,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
             budget = max(budget, -(-total // groups))
             cells = min(groups, 1 << max(4, int(16 * total // budget).bit_length()))
             weights = np.zeros(cells, np.int64)
+            frequent = context.broadcast(bit_filter(counted.filter(F.col("f") >= least), "route"))
         found = counted.filter(F.col("f") > budget).select("route").distinct().toArrow()
         heavy.append(np.sort(found.column("route").to_numpy().astype(np.int64)))
         shared.append(context.broadcast(heavy[-1]))
@@ -326,7 +329,6 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
     phrases = [level.filter(F.col("f") >= least).select("lang", "phrase", F.lit(size).alias("size"), "f")
                for size, level in enumerate(levels[1:], 2)]
     if longest > 1:
-        frequent = context.broadcast(bit_filter(levels[0].filter(F.col("f") >= least), "route"))
         group_of = context.broadcast(_packed(weights, budget))
 
         rest = heavy[len(shared):]
@@ -352,7 +354,8 @@ def _joined(words: Column, start: Column, size: Column) -> Column:
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, absorbed: int = ABSORBED, top: int = TOP,
                  budget: int = BUDGET) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    words, phrases = phrase_counts(docs, longest, least, budget)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        words, phrases = phrase_counts(docs, longest, least, budget)
     split = phrases.withColumn("words", F.split("phrase", " "))
     cut = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
     cuts = split.select("lang", "phrase", F.col("f").alias("a"), "size", "words", cut)

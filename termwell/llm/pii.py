@@ -9,8 +9,9 @@ spans of all windows of a text are reconciled together: a span that a window's b
 its other half, and of spans that still overlap the set of highest total confidence stays. Spans that
 overlap a pattern's are dropped, so the tagger only adds.
 
-A tagger's span holds an ``@`` or ``LEAST_DIGITS`` digits. Windows that hold neither cannot have one and are passed over;
-every other place of every text, however long, is read, ``BATCH`` windows at a time.
+A tagger's span must be sound: an address holds an ``@``, an IP four numbers up to 255, a card 14 to 19 digits of a right
+check sum, a phone number 7 to 15 digits. Windows that hold neither an ``@`` nor ``LEAST_DIGITS`` digits cannot have one and are
+passed over; every other place of every text, however long, is read, ``BATCH`` windows at a time.
 
 The sample has at most ``PER_KIND`` windows of each kind and as many without any, drawn by a hash of their content. With
 fewer than ``LEAST_SPANS`` labelled spans there is no tagger, and the patterns' spans are the result.
@@ -486,7 +487,16 @@ def reconciled(found: list[tuple[int, int, int, float, bool]], fixed: list[tuple
 
 
 def _sound(text: str, kind: int, a: int, b: int) -> bool:
-    return "@" in text[a:b] if kind == 0 else len(_DIGITS.findall(text[a:b])) >= LEAST_DIGITS
+    """What holds for a kind in any notation."""
+    numbers = re.findall("[0-9]+", text[a:b])
+    digits = "".join(numbers)
+    if kind == 0:
+        return "@" in text[a:b]
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n) < 4 and int(n) < 256 for n in numbers)
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15
 
 
 def scanned(tagger: Tagger | None, texts: list[str]) -> list[list[tuple[int, int, int, bool, float]]]:
@@ -564,6 +574,10 @@ def op13_pii(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_pii(docs, fit_tagger(docs))
     base = F.filter("pii", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *[F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        "doc_id", *[count(kind) for kind in KINDS],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("pii")).alias("spans"))

@@ -129,10 +129,11 @@ def test_tagger_learns_the_patterns(tagger, unseen):
             symbols = pii._symbols(pii._points(text)[low:low + pii.WIDTH])
             x = np.full((1, pii.WIDTH), pii.PAD)
             x[0, :len(symbols)] = symbols
-            found |= {(low + a, k, low + b) for a, k, b, sure in pii.decoded(tagger, x)[0] if sure >= pii.CONFIDENT and a > 8 and b < 88}
+            found |= {(low + a, k, low + b) for a, k, b, sure in pii.decoded(tagger, x)[0]
+                      if sure >= pii.CONFIDENT and a > 8 and b < 88 and pii._sound(text, k, low + a, low + b)}
         hits += len(base & found)
         wrong += len([s for s in found - base if not any(s[0] < b and a < s[2] for a, _, b in base)])
-    assert truth > 50 and hits / truth > 0.85 and wrong < 0.1 * truth
+    assert truth > 50 and hits / truth > 0.85 and wrong < 0.05 * truth
 
 
 def test_tagger_finds_other_notations_and_leaves_clean_texts(tagger, unseen):
@@ -150,7 +151,7 @@ def test_tagger_finds_other_notations_and_leaves_clean_texts(tagger, unseen):
     assert total > 100 and found / total > 0.8
     extra = [s for text in unseen if not pattern_spans(text) for s in scanned(tagger, [text])[0]]
     quiet = sum(not pattern_spans(text) for text in unseen)
-    assert len(extra) < 0.002 * quiet
+    assert len(extra) < 0.001 * quiet
 
 
 def test_same_spans_whatever_the_batch(tagger, unseen):
