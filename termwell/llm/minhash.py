@@ -14,9 +14,8 @@ are verified on the similarity of their sets, verified links are joined to class
 and only texts of different classes are compared further. First a bucket's members are
 compared with its smallest one; then, in two rounds, with a random one and with their
 neighbours in a random ring, in a quarter of the buckets; then, in buckets of at most
-``MIDDLE_BUCKET`` members, all that are still in different classes with one another, and
-in larger ones with a panel of ``PANEL`` random members, drawn anew and doubled until a
-round finds no new link. Up to here work per round is proportional to the members. Last,
+``MIDDLE_BUCKET`` members, all that are still in different classes with one another. Up to
+here work per round is proportional to the members. Last,
 the members of all larger buckets that still hold several classes are joined on the
 rarest of their shingles, which finds every pair left (see ``_rare_pairs``); its work
 grows with how often these rarest shingles are shared between classes.
@@ -51,10 +50,10 @@ BANDS = 32
 ROWS = 4
 COMPONENTS = BANDS * ROWS
 MIDDLE_BUCKET = 64
-PANEL = 8
 QUARTERS = 4
 RANDOM_ROUNDS = 2
 ROWS_PER_TASK = 20_000
+MOST_MERGED = 8
 LEAST_AGREE = 76
 COUNTERS = 1 << 20
 BLOCK_ROWS = 1000
@@ -246,8 +245,12 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _dealt(df: DataFrame, rows: int) -> DataFrame:
-    """The frame in tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds stay cheap."""
-    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+    """The frame in tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds stay cheap.
+
+    A task takes over ``MOST_MERGED`` shuffle partitions at most: what each of them sorts stays in memory until the task ends.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK), -(-partitions // MOST_MERGED)))
 
 
 def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
@@ -257,38 +260,28 @@ def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> D
         # Hubs are the smallest texts, so that the buckets of a group share one.
         hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("high")).filter("hub < high")
         return buckets.join(hubs, "bucket").filter("rep <> hub").select(*pair("hub", "rep")).distinct()
-    exhaustive = RANDOM_ROUNDS + 1
-    quarter = F.pmod("bucket", F.lit(QUARTERS)) == number % QUARTERS
-    some = buckets if number == exhaustive else buckets.filter(quarter)
+    exhaustive = number > RANDOM_ROUNDS
+    some = buckets if exhaustive else buckets.filter(F.pmod("bucket", F.lit(QUARTERS)) == number % QUARTERS)
     rows = some.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     turn = F.xxhash64("rep", "bucket", F.lit(number))
     about = rows.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high"),
         F.min(F.struct(turn.alias("turn"), F.col("rep"), F.col("class"))).alias("hub")).filter("low < high").select(
         "bucket", "n", F.col("hub.rep").alias("hub"), F.col("hub.class").alias("hub_class"))
-    if number > exhaustive:
-        about = about.filter(F.col("n") > MIDDLE_BUCKET)
-    joined = rows.join(about, "bucket").withColumn("turn", turn)
-    if number < exhaustive:
-        # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
-        after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
-        ring = joined.withColumn("block", F.pmod("turn", F.ceil(F.col("n") / F.lit(1000)))).select(
-            "rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
-        star = joined.filter("class <> hub_class").select(*pair("rep", "hub"))
-        return star.union(ring.filter("class <> other_class").select(*pair("rep", "other"))).distinct()
-    large = joined.filter(quarter & (F.col("n") > MIDDLE_BUCKET))
-    first = F.row_number().over(W.partitionBy("bucket").orderBy("turn", "rep"))
-    panel = large.withColumn("place", first).filter(F.col("place") <= PANEL << (number - exhaustive)).select(
-        "bucket", F.col("rep").alias("other"), F.col("class").alias("other_class"))
-    found = large.join(panel, "bucket").filter("class <> other_class").select(*pair("rep", "other"))
-    if number == exhaustive:
-        lists = joined.filter(F.col("n") <= MIDDLE_BUCKET).groupBy("bucket").agg(
+    if exhaustive:
+        lists = rows.join(about.filter(F.col("n") <= MIDDLE_BUCKET).select("bucket"), "bucket").groupBy("bucket").agg(
             F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
         every = lists.select(F.explode(F.expr(
             "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.class <> x.class), "
             "y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p"))
-        found = found.union(every.select(*pair("p.a", "p.b")))
-    return found.distinct()
+        return every.select(*pair("p.a", "p.b")).distinct()
+    # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
+    joined = rows.join(about, "bucket").withColumn("turn", turn)
+    after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
+    ring = joined.withColumn("block", F.pmod("turn", F.ceil(F.col("n") / F.lit(1000)))).select(
+        "rep", "class", F.lead("rep").over(after).alias("other"), F.lead("class").over(after).alias("other_class"))
+    star = joined.filter("class <> hub_class").select(*pair("rep", "hub"))
+    return star.union(ring.filter("class <> other_class").select(*pair("rep", "other"))).distinct()
 
 
 def _counted(batches) -> Iterator[pa.RecordBatch]:
@@ -417,8 +410,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             return stored(both(close, sets.mapInArrow(_held(ends), sets.schema), close.count()).filter(
                 _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
 
-    tried, links, classes, number, late, n_buckets = None, None, None, 0, False, buckets.count()
-    while True:
+    tried, links, classes, n_buckets = None, None, None, buckets.count()
+    for number in range(RANDOM_ROUNDS + 2):
         pairs = _candidates(buckets, classes, number)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -426,9 +419,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         tried = pairs if tried is None else tried.union(pairs)
         n_pairs = pairs.count()
         if not n_pairs:
-            if classes is None or number > RANDOM_ROUNDS:
+            if classes is None:
                 break
-            number += 1
             continue
         if sets is None:
             speaking = send(bit_filter(members, "doc_id"))
@@ -436,17 +428,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 sets = stored(docs.mapInArrow(_shingled(speaking), "rep long, items binary, counts binary")
                               .dropDuplicates(["rep"]).join(members.select("rep"), "rep", "left_semi"), "shingles")
         fresh = similar(pairs, n_pairs)
-        new = fresh.limit(1).count() > 0
-        if new:
+        if fresh.limit(1).count() > 0:
             links = fresh if links is None else links.union(fresh)
-        elif number > RANDOM_ROUNDS:
-            break
-        if number <= RANDOM_ROUNDS and (new or classes is None):
-            classes = connected(links if links is not None else fresh)
-        late = late or new and number > RANDOM_ROUNDS
-        number += 1
-    if late:  # what the last rounds joined is little, and is put together once
-        classes = connected(links)
+            classes = connected(links)
+        elif classes is None:
+            classes = connected(fresh)
     pairs = _rare_pairs(buckets, classes, sets) if sets is not None else None
     if pairs is not None:
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -159,7 +159,7 @@ def test_large_buckets_are_searched_whole(spark, rows, monkeypatch):
     """Every bucket counts as large, and the random rounds, which may miss any pair, find none."""
     import termwell.llm.minhash as module
 
-    for name, value in (("MIDDLE_BUCKET", 1), ("PANEL", 0), ("RANDOM_ROUNDS", 0)):
+    for name, value in (("MIDDLE_BUCKET", 1), ("RANDOM_ROUNDS", 0)):
         monkeypatch.setattr(module, name, value)
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     assert Counter(tuple(r) for r in near_duplicates(df).collect()) == plain_classes(rows)
