@@ -4,13 +4,14 @@ The index is split by document: all postings of a chunk sit in one partition.
 A search sends the (size-checked) query terms to every partition, sums scores
 there without a shuffle, keeps the best k per query and partition, and only
 those few rows travel to be merged. Frequent terms therefore never gather in
-one task, whatever their share of the postings.
+one task, whatever their share of the postings. More query terms than fit into a
+checked broadcast are joined in hashed parts, frequent ones split by chunk.
+``segments`` holds the stored form of the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from termwell.functions.text import index_text, tokens
 from termwell.operators.joins import at_most
+from termwell.session import durable
 
 # Fixed values of the ranking formula.
 K1 = 1.2
@@ -26,6 +28,8 @@ MIN_SCORE = 0.01
 TOP_K = 8
 
 QUERY_TERM_ROWS = 500_000
+HOT_POSTINGS = 1_000_000
+HOT_SLICES = 64
 
 
 @dataclass
@@ -38,10 +42,16 @@ class Index:
     stats: DataFrame
 
 
-def first_per_chunk(chunks: DataFrame, order: str | Sequence[str]) -> DataFrame:
-    """The first row of every chunk id; later duplicates are ignored."""
+def first_per_chunk(chunks: DataFrame, order: str | None = None) -> DataFrame:
+    """The first row of every chunk id by ``order``, else by a hash of its fields; later ones are ignored.
+
+    Where no id repeats, rows are split by id as they are.
+    """
     rest = [column for column in chunks.columns if column != "chunk_id"]
-    place = F.col(order) if isinstance(order, str) else F.struct(*order)
+    repeated = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.limit(1).count():
+        return chunks.repartition("chunk_id")
+    place = F.col(order) if order else F.xxhash64(*rest)
     return chunks.groupBy("chunk_id").agg(
         F.min_by(F.struct(*rest), place).alias("_row")
     ).select("chunk_id", *[F.col(f"_row.{column}").alias(column) for column in rest])
@@ -56,7 +66,7 @@ def doc_tokens(chunks: DataFrame, order: str | None = None) -> DataFrame:
     The raw fields are shuffled rather than the larger token lists, and the one
     shuffle serves postings, lengths and document counts.
     """
-    docs = first_per_chunk(chunks.select("chunk_id", *FIELDS, *([order] if order else [])), order or FIELDS)
+    docs = first_per_chunk(chunks.select("chunk_id", *FIELDS, *([order] if order else [])), order)
     return (
         docs.select("chunk_id", tokens(index_text(*[F.col(field) for field in FIELDS])).alias("tokens"))
         .select("chunk_id", F.size("tokens").alias("dl"), "tokens")
@@ -119,79 +129,95 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _term_weight(df: Column, n_docs: Column) -> Column:
+def term_weight(df: Column, n_docs: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
 
-def _saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _scores_of_block(index: Index, terms: DataFrame) -> DataFrame:
+def _weighted(index: Index, terms: DataFrame) -> DataFrame:
     n_docs = index.stats.select("n_docs").scalar()
+    return terms.join(index.term_df, "term").select(
+        *[column for column in terms.columns if column not in ("term", "qtf")], "term",
+        (F.col("qtf") * term_weight(F.col("df"), n_docs)).alias("weight"))
+
+
+def _matches(index: Index, weighted: DataFrame, small: bool) -> DataFrame:
+    """Postings of the query terms. Few query terms are sent to the postings; many meet them in hashed parts.
+
+    A term with more than a thousandth of all postings is one of less than a thousand; its
+    postings are dealt out over ``HOT_SLICES`` parts by their chunk.
+    """
+    if small:
+        return index.postings.join(F.broadcast(weighted), "term")
+    total = index.term_df.agg(F.sum("df")).first()[0] or 0
+    hot = F.broadcast(index.term_df.filter(F.col("df") > max(total // 1000, HOT_POSTINGS)).select("term"))
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(HOT_SLICES)).alias("_slice")
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOT_SLICES - 1).cast("long"))).alias("_slice")
+    often = index.postings.join(hot, "term", "left_semi").select("*", part).join(
+        weighted.join(hot, "term", "left_semi").select("*", slices), ["term", "_slice"]).drop("_slice")
+    seldom = index.postings.join(hot, "term", "left_anti").join(weighted.join(hot, "term", "left_anti"), "term")
+    return seldom.unionByName(often)
+
+
+def _scored(index: Index, matches: DataFrame) -> DataFrame:
     avgdl = index.stats.select("avgdl").scalar()
-    weighted = terms.join(index.term_df, "term").select(
-        "term", "query_id", (F.col("qtf") * _term_weight(F.col("df"), n_docs)).alias("weight")
-    )
-    matches = index.postings.join(F.broadcast(weighted), "term")
-    part = F.col("weight") * _saturation(F.col("tf"), F.col("dl"), avgdl)
+    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl)
     return matches.groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def blocks_of(terms: DataFrame, rows: int = QUERY_TERM_ROWS) -> list[DataFrame]:
-    """Query terms cut into blocks small enough to broadcast; a query is never split."""
-    if at_most(terms, rows):
-        return [terms]
-    count = terms.count() * 2 // rows + 1
-    return [terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == block) for block in range(count)]
+def bm25_scores(index: Index, queries: DataFrame, block_rows: int = QUERY_TERM_ROWS) -> DataFrame:
+    """Score of every (query, chunk) with a common term."""
+    terms = query_terms(queries)
+    return _scored(index, _matches(index, _weighted(index, terms), at_most(terms, block_rows)))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    combined = frames[0]
-    for frame in frames[1:]:
-        combined = combined.unionByName(frame)
-    return combined
+def score_pairs(index: Index, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scores of given ``(query_id, chunk_id)`` pairs only; those without a common term are left out.
 
+    The pairs, with the terms of their queries, meet the postings of their own chunks.
+    """
+    wanted = pairs.select("query_id", "chunk_id").distinct().join(_weighted(index, query_terms(queries)), "query_id")
+    return _scored(index, index.postings.join(wanted, ["chunk_id", "term"]))
 
-def bm25_scores(index: Index, queries: DataFrame, block_rows: int = QUERY_TERM_ROWS) -> DataFrame:
-    """Score of every (query, chunk) with a common term."""
-    blocks = blocks_of(query_terms(queries), block_rows)
-    return _union([_scores_of_block(index, block) for block in blocks])
+
+def _passes(asked: str, own: str) -> Column:
+    return (F.coalesce(F.col(asked), F.lit("")) == "") | (F.col(asked) == F.col(own))
 
 
-def candidates(scores: DataFrame, chunks: DataFrame, filters: DataFrame | None = None,
-               region: str | None = None, category: str | None = None,
-               section: str | None = None) -> DataFrame:
+def candidate_scores(index: Index, queries: DataFrame, chunks: DataFrame, filters: DataFrame | None = None,
+                     region: str | None = None, category: str | None = None, section: str | None = None,
+                     block_rows: int = QUERY_TERM_ROWS) -> DataFrame:
     """Scores of the chunks that pass a search's filters.
 
-    Filters act after scoring, so corpus figures always come from all chunks.
-    ``filters`` holds one ``(query_id, region, category, section)`` row per query;
-    the keyword filters hold for all queries.
+    Filters act on the postings as they are matched, so only what passes is summed up; corpus
+    figures still come from all chunks. ``filters`` holds one ``(query_id, region, category,
+    section)`` row per query, queries without one find nothing; the keyword filters hold for all queries.
     """
     kept = chunks.select(
         "chunk_id", F.lower("region").alias("_region"), F.lower("category").alias("_category"),
         F.col("section").alias("_section"),
-    )
+    ).dropDuplicates(["chunk_id"])
     if region:
         kept = kept.filter(F.col("_region").isin(region.lower(), "global"))
     if category:
         kept = kept.filter(F.col("_category") == category.lower())
     if section:
         kept = kept.filter(F.col("_section") == section)
-    joined = scores.join(kept, "chunk_id")
+    terms = query_terms(queries)
     if filters is not None:
-        wanted = filters.select(
-            "query_id", F.lower("region").alias("region"), F.lower("category").alias("category"), "section"
-        )
-
-        def passes(asked: str, own: str) -> Column:
-            return (F.coalesce(F.col(asked), F.lit("")) == "") | (F.col(asked) == F.col(own))
-
-        joined = joined.join(wanted, "query_id").filter(
-            (passes("region", "_region") | (F.col("_region") == "global"))
-            & passes("category", "_category") & passes("section", "_section")
-        )
-    return joined.select("query_id", "chunk_id", "score")
+        terms = terms.join(filters.select(
+            "query_id", F.lower("region").alias("region"), F.lower("category").alias("category"), "section"), "query_id")
+    # Attributes lie by chunk as the postings do, so this join moves no posting.
+    narrowed = replace(index, postings=index.postings.join(kept, "chunk_id"))
+    matches = _matches(narrowed, _weighted(index, terms), at_most(terms, block_rows))
+    if filters is not None:
+        matches = matches.filter(
+            (_passes("region", "_region") | (F.col("_region") == "global"))
+            & _passes("category", "_category") & _passes("section", "_section"))
+    return _scored(index, matches).select("query_id", "chunk_id", "score")
 
 
 def best(scores: DataFrame, k: int, name: str = "rank") -> DataFrame:
@@ -214,8 +240,7 @@ def top_hits(scores: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE) ->
 def bm25_topk(index: Index, queries: DataFrame, k: int = TOP_K, min_score: float = MIN_SCORE,
               block_rows: int = QUERY_TERM_ROWS) -> DataFrame:
     """The best k chunks of every query."""
-    blocks = blocks_of(query_terms(queries), block_rows)
-    return _union([top_hits(_scores_of_block(index, block), k, min_score) for block in blocks])
+    return top_hits(bm25_scores(index, queries, block_rows), k, min_score)
 
 
 def chunks_by_name(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -244,6 +269,7 @@ def name_relevance(index: Index, chunks: DataFrame, pairs: DataFrame, k: int = 3
     The search runs over query and name together; the relevance is the relative
     score of the best of the first k hits that carries the name, else 0.
     """
+    pairs = durable(pairs)  # read by the search and by the comparison of names
     queries = pairs.select(
         F.col("pair_id").alias("query_id"), F.concat_ws(" ", "query", "name").alias("text")
     )

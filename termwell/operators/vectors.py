@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from termwell.operators import bm25
-from termwell.operators.joins import at_most
+from termwell.session import durable
 
 # Ship the kernels with the job, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RRF_K = 60
-QUERY_VECTOR_ROWS = 20_000
-QUERY_BLOCK = 1_024
+QUERY_VECTOR_ROWS = 8_192  # queries that meet a slice at once
+SLICE_ROWS = 8_192  # vectors of a cell that meet them
+QUERY_BLOCK = 512
+CENTRES = 1_024
+CELL_ROWS = 1_024
+CENTRE_SAMPLE = 16
+CENTRE_ROUNDS = 4
+SLACK = 2e-6  # covers the rounding of scores
 
 
 def norm(vector: Column) -> Column:
@@ -41,74 +49,180 @@ def _unit_rows(column: pa.Array, count: int) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1e-9, lengths)
 
 
-def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row of ``scores`` the k best (highest score, then lowest id)."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns' ids and scores of the k best of each row (highest score, then lowest id); sorts only what can be among them."""
+    if scores.shape[1] > k:
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        rows, columns = np.nonzero(scores >= least[:, None])
+    else:
+        rows, columns = (part.ravel() for part in np.indices(scores.shape))
+    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, columns = rows[place < k], columns[place < k]
+    return rows, ids[columns], scores[rows, columns]
 
 
-def _dense_block(vectors: DataFrame, query_ids: list, query_matrix: np.ndarray, k: int) -> DataFrame:
-    id_type = vectors.schema["chunk_id"].dataType.simpleString()
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, query_matrix))
+@dataclass
+class Cells:
+    """Centres of the cells, how many vectors each holds and the widest angle between them and it.
+
+    The last cell holds the vectors of length zero, whose cosine is 0 with any query.
+    """
 
-    def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Best k of this partition for every query; one batch in memory at a time."""
-        asked, matrix = shared.value
-        kept: list = [None] * ((len(asked) + QUERY_BLOCK - 1) // QUERY_BLOCK)
+    centres: np.ndarray
+    counts: np.ndarray
+    angles: np.ndarray
+
+    def bounds(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest cosine a query can have with the vectors of each cell, by the triangle inequality of angles."""
+        away = np.arccos(np.clip(units @ self.centres.T, -1, 1)) if len(self.centres) else np.zeros((len(units), 0))
+        least, most = np.cos(np.minimum(away + self.angles, np.pi)), np.cos(np.maximum(away - self.angles, 0))
+        zeros = np.zeros((len(units), 1))
+        empty = np.r_[self.counts[:-1] == 0, self.counts[-1] == 0]
+        return np.c_[least, zeros], np.where(empty, -2.0, np.c_[most, zeros])
+
+
+def _centres(vectors: DataFrame, count: int) -> np.ndarray:
+    """Centres of clusters in a bounded sample, as many as asked for or fewer."""
+    drawn = vectors.orderBy(F.xxhash64("chunk_id")).limit(count * CENTRE_SAMPLE).select("v").toArrow()
+    units = _unit_rows(drawn.column("v"), drawn.num_rows) if drawn.num_rows else np.zeros((0, 1))
+    units = units[np.any(units != 0, axis=1)]
+    centres = units[:count]
+    for _ in range(CENTRE_ROUNDS):
+        nearest = (units @ centres.T).argmax(axis=1) if len(centres) else np.zeros(0, int)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, units)
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(lengths > 0, sums / np.where(lengths > 0, lengths, 1), centres)
+    return centres
+
+
+def _placed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``(chunk_id, u, cell, cosine)``: unit vectors with their nearest centre."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            rows = _unit_rows(batch.column("v"), batch.num_rows)
-            ids = np.asarray(batch.column("chunk_id").to_pylist())
-            for block in range(len(kept)):
-                part = matrix[block * QUERY_BLOCK:(block + 1) * QUERY_BLOCK]
-                scores = np.round(part @ rows.T, 6)
-                repeated = np.broadcast_to(ids, scores.shape)
-                if kept[block] is not None:
-                    repeated = np.concatenate([kept[block][0], repeated], axis=1)
-                    scores = np.concatenate([kept[block][1], scores], axis=1)
-                kept[block] = _best_of(repeated, scores, k)
-        for block, found in enumerate(kept):
-            if found is None:
-                continue
-            ids, scores = found
-            owners = asked[block * QUERY_BLOCK:(block + 1) * QUERY_BLOCK]
+            units, centres = _unit_rows(batch.column("v"), batch.num_rows), shared.value
+            zero = ~np.any(units != 0, axis=1)
+            near = units @ centres.T if len(centres) else np.zeros((len(units), 1))
+            cell = np.where(zero, len(centres), near.argmax(axis=1))
             yield pa.RecordBatch.from_pydict({
-                "query_id": np.repeat(np.asarray(owners), ids.shape[1]),
-                "chunk_id": ids.ravel(),
-                "score": scores.ravel(),
-            })
+                "chunk_id": batch.column("chunk_id"), "u": _as_lists(units), "cell": cell.astype(np.int32),
+                "cosine": np.where(zero, 1.0, near.max(axis=1))})
+
+    id_type = vectors.schema["chunk_id"].dataType.simpleString()
+    return vectors.select("chunk_id", "v").mapInArrow(place, f"chunk_id {id_type}, u array<double>, cell int, cosine double")
 
-    query_type = "bigint" if isinstance(query_ids[0], int) else "string"
-    schema = f"query_id {query_type}, chunk_id {id_type}, score double"
-    return vectors.select("chunk_id", "v").mapInArrow(local_best, schema)
 
+def _as_lists(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(np.ascontiguousarray(matrix).ravel()))
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = QUERY_VECTOR_ROWS) -> DataFrame:
+
+def _views(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """``(query_id, u, cell, most, first)``: each query with every cell that may hold one of its k best.
+
+    The cells in which k vectors are sure to have a cosine of some value rule out those that cannot reach it. Of the
+    rest, the most promising ones that hold k vectors together come ``first``.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(low, QUERY_BLOCK)
+                units = _unit_rows(part.column("v"), part.num_rows)
+                least, most = shared.value.bounds(units)
+                counts = shared.value.counts
+                safe = np.argsort(-least, axis=1, kind="stable")
+                enough = np.cumsum(counts[safe], axis=1) >= k
+                sure = np.where(enough.any(axis=1), least[np.arange(len(units)), safe[np.arange(len(units)), enough.argmax(axis=1)]], -1.0)
+                hopeful = np.argsort(-most, axis=1, kind="stable")
+                before = np.cumsum(counts[hopeful], axis=1) - counts[hopeful]
+                first = np.zeros(most.shape, bool)
+                np.put_along_axis(first, hopeful, before < k, axis=1)
+                rows, cell = np.nonzero((most > -2) & ((most >= sure[:, None] - SLACK) | first))
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": part.column("query_id").take(pa.array(rows)), "u": _as_lists(units).take(pa.array(rows)),
+                    "cell": cell.astype(np.int32), "most": most[rows, cell], "first": first[rows, cell]})
+
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    return queries.mapInArrow(view, f"query_id {id_type}, u array<double>, cell int, most double, first boolean")
+
+
+def _matrix(column: pa.ChunkedArray, count: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(count, -1)
+
+
+def _met(placed: DataFrame, views: DataFrame, counts: np.ndarray, k: int, rows: int) -> DataFrame:
+    """The k best of each query in each part of the grid: slices of cells against blocks of the queries that view them."""
+    spark = placed.sparkSession
+    viewed = {r["cell"]: r["n"] for r in views.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell at most
+    if not viewed:
+        viewed = {0: 0}
+    sizes = F.broadcast(spark.createDataFrame(
+        [(int(c), int(counts[c]) // SLICE_ROWS + 1, n // rows + 1) for c, n in viewed.items()], "cell int, slices long, blocks long"))
+    left = placed.join(sizes, "cell").select(
+        "cell", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).alias("slice"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "chunk_id", "u")
+    right = views.join(sizes, "cell").select(
+        "cell", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "u")
+    keys = ["cell", "slice", "block"]
+    query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((views, "query_id"), (placed, "chunk_id")))
+    empty = pa.table({"query_id": pa.array([], to_arrow_type(views.schema["query_id"].dataType)),
+                      "chunk_id": pa.array([], to_arrow_type(placed.schema["chunk_id"].dataType)), "score": pa.array([], pa.float64())})
+
+    def meet(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        if not stored.num_rows or not asked.num_rows:
+            return empty
+        units, names = _matrix(stored.column("u"), stored.num_rows), stored.column("chunk_id").combine_chunks()
+        ids = np.asarray(names.to_pylist())
+        matrix, found = _matrix(asked.column("u"), asked.num_rows), []
+        for low in range(0, len(matrix), QUERY_BLOCK):
+            row, owner, score = _best_of(ids, np.round(matrix[low:low + QUERY_BLOCK] @ units.T, 6), k)
+            found.append(pa.table({"query_id": asked.column("query_id").take(pa.array(low + row)),
+                                   "chunk_id": pa.array(owner.tolist(), names.type), "score": pa.array(score)}))
+        return pa.concat_tables(found)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, f"query_id {query_type}, chunk_id {id_type}, score double")
+
+
+def dense_views(vectors: DataFrame, queries: DataFrame, k: int, cell_rows: int = CELL_ROWS,
+                rows: int = QUERY_VECTOR_ROWS) -> tuple[DataFrame, DataFrame, DataFrame, Cells]:
+    """The grid of a search: placed vectors, views of the first cells with what they found, and the views still needed."""
+    known = vectors.select("chunk_id", "v").filter("v IS NOT NULL")
+    asked = queries.select("query_id", "v").filter("v IS NOT NULL")
+    centres = _centres(known, min(CENTRES, known.count() // cell_rows + 1))
+    placed = durable(_placed(known, centres))
+    counts, angles = np.zeros(len(centres) + 1, np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("c")).collect():  # a row per cell
+        counts[r["cell"]] = r["n"]
+        if r["cell"] < len(centres):
+            angles[r["cell"]] = np.arccos(np.clip(r["c"], -1, 1)) + SLACK
+    cells = Cells(centres, counts, angles)
+    views = durable(_views(asked, cells, k))
+    found = durable(_met(placed, views.filter("first"), counts, k, rows))
+    reached = bm25.best(found, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached")).filter(
+        F.col("n") == k).select("query_id", "reached")
+    more = views.filter("NOT first").join(reached, "query_id", "left").filter(
+        F.col("reached").isNull() | (F.col("most") + SLACK >= F.col("reached"))).drop("reached")
+    return placed, found, more, cells
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = QUERY_VECTOR_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The k chunks with the highest cosine per query, exact.
 
-    ``vectors(chunk_id, v)`` stay where they are; the ``queries(query_id, v)`` go
-    to them in blocks of at most ``rows``. Each partition keeps its best k per
-    query, and only those travel to be merged.
+    ``vectors(chunk_id, v)`` are placed in cells around centres found in a bounded sample. Each of the
+    ``queries(query_id, v)`` looks first into the cells that promise most, which gives the score its k-th hit
+    reaches at least; cells whose widest angle rules out a better score are skipped. Cells and queries meet by
+    key, in slices and blocks of bounded size. Null vectors take no part.
     """
-    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v"))
-    if at_most(asked, rows):
-        blocks = [asked]
-    else:
-        count = asked.count() * 2 // rows + 1
-        blocks = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == n) for n in range(count)]
-    found = None
-    for block in blocks:
-        table = block.toArrow()
-        if table.num_rows == 0:
-            continue
-        partial = _dense_block(
-            vectors, table.column("query_id").to_pylist(), _unit_rows(table.column("v"), table.num_rows), k
-        )
-        found = partial if found is None else found.unionByName(partial)
-    if found is None:
-        id_type = vectors.schema["chunk_id"].dataType.simpleString()
-        found = vectors.sparkSession.createDataFrame([], f"query_id bigint, chunk_id {id_type}, score double")
+    placed, found, more, cells = dense_views(vectors, queries, k, cell_rows, rows)
+    more = durable(more)
+    if more.limit(1).count():
+        found = found.unionByName(_met(placed, more, cells.counts, k, rows))
     return bm25.best(found, k)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termwell.functions import text as T
-from termwell.operators import bm25, freshness, querylog, vectors
+from termwell.operators import bm25, freshness, querylog, segments, vectors
 from termwell.plans.registry import query
 from termwell.plans.tables import AS_OF, ctes, frame, provided
+from termwell.session import run_dir
 
 DIM = 64
 
@@ -88,15 +89,36 @@ def bm25_index(spark, sf):
 @query("bm25_index_add", f"{_INDEX} SELECT chunk_id, dl, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, CAST(sum(df) AS BIGINT) AS df_sum "
                          "FROM postings JOIN doc_len USING (chunk_id) JOIN term_df USING (term) GROUP BY ALL")
 def bm25_index_add(spark, sf):
-    """Documents of one language indexed first, then all others added; every row comes twice."""
-    chunks = frame(spark, sf, "chunks")
-    first = chunks.filter("region = 'en'")
-    index = bm25.add_to_index(bm25.build_index(first.unionByName(first)), chunks.unionByName(chunks))
-    return index.postings.join(index.term_df, "term").groupBy("chunk_id", "dl").agg(
+    """Documents added language by language, every row twice; segments merged, and the index opened again."""
+    return segments.stored_postings(_stored_index(spark, sf)).groupBy("chunk_id", "dl").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.sum("df").alias("df_sum")
     )
 
 
+def _stored_index(spark: SparkSession, sf: str) -> segments.SegmentIndex:
+    """An index on the shared folder, grown by three additions that overlap."""
+    chunks = frame(spark, sf, "chunks")
+    first = chunks.filter("region = 'en'")
+    index = segments.open_index(spark, run_dir(spark, "index"))
+    for part in (first.unionByName(first), chunks.filter("region IN ('en', 'de')"), chunks.unionByName(chunks)):
+        index = segments.merge(segments.add(index, part), fanout=2)
+    return segments.open_index(spark, index.path)
+
+
+@query("segment_topk", f"{_TOPK} SELECT query_id, chunk_id, score, rank, norm_score FROM hits")
+def segment_topk(spark, sf):
+    """The best documents out of a stored index that grew and was merged."""
+    return segments.topk(_stored_index(spark, sf), _asked(spark, sf))
+
+
+@query("score_pairs", f"""{_INDEX}, {_scores('queries')} SELECT query_id, chunk_id, score FROM scores WHERE query_id = chunk_id % 50""")
+def score_pairs(spark, sf):
+    """Scores of given pairs only: each document with one query."""
+    index, chunks = _index(spark, sf)
+    pairs = chunks.select((F.col("chunk_id") % 50).alias("query_id"), "chunk_id")
+    return bm25.score_pairs(index, _asked(spark, sf), pairs)
+
+
 @query("bm25_score", f"{_INDEX}, {_scores('queries')} SELECT query_id, chunk_id, score FROM scores")
 def bm25_score(spark, sf):
     return bm25.bm25_scores(_index(spark, sf)[0], _asked(spark, sf))
@@ -121,7 +143,7 @@ def candidate_filter(spark, sf):
         F.expr("CASE query_id % 4 WHEN 0 THEN 'SRC3' WHEN 1 THEN '' END").alias("category"),
         F.lit("overview").alias("section"),
     )
-    kept = bm25.candidates(bm25.bm25_scores(index, asked), chunks, filters)
+    kept = bm25.candidate_scores(index, asked, chunks, filters)
     return bm25.best(kept.filter(F.col("score") >= bm25.MIN_SCORE), bm25.TOP_K)
 
 
@@ -187,8 +209,6 @@ def index_stats(spark, sf):
 
 @query("vector_store", "SELECT vec_id AS chunk_id, len(embedding) AS dim, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) AS total FROM embeddings")
 def vector_store(spark, sf):
-    from termwell.session import run_dir
-
     path = run_dir(spark, "vectors")
     vectors.write_vectors(_vectors(spark, sf), path)
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)

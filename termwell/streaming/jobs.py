@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from termwell.functions.guards import invalid_request_field
-from termwell.operators import bm25, catalog, quality
+from termwell.operators import bm25, catalog, quality, traces
 from termwell.streaming.runner import each_batch, replace_batch
 from termwell.vocab import runs as rules
 from termwell.vocab.listing import CHUNK_TTL_DAYS
@@ -34,14 +34,9 @@ def stream_dedup(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
     return chunks.withWatermark("stored_at", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
-def stream_events(events: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    """Progress per run, for update mode."""
-    return events.groupBy("run_id").agg(
-        *[F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(f"last_{kind}") for kind in event_types],
-        F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"),
-        F.count(F.lit(1)).alias("events"),
-        F.bool_or(F.col("event_type") == "error").alias("has_error"),
-    )
+def stream_events(events: DataFrame, event_types: Sequence[str], planned: str, finished: str) -> DataFrame:
+    """Progress per run, for update mode; the figures of the batch operator."""
+    return traces.run_progress(events, event_types, planned, finished)
 
 
 def stream_ingest(listing: DataFrame, path: str) -> None:
