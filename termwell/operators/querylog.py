@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +18,13 @@ from termwell.operators.scan import SLICE
 from termwell.session import durable, run_dir
 from termwell.vocab.runs import NEAR_DUPLICATE_JACCARD, QUERY_TTL_HOURS
 
+# Ship the kernels with the job, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MICROS = 1_000_000
 QUERY_TTL = QUERY_TTL_HOURS * 3600 * MICROS
 GROUP_ROWS = 10_000
+COUNTERS = 1 << 18
 
 
 def _anchors_of_small_keys(times: DataFrame, key: str, ttl: int) -> DataFrame:
@@ -108,6 +115,44 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return shares[0]
 
 
+def rarest_tokens(sets: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``sets(…, m, set)`` with each ``token`` of the part in which a similar set must share one, and its ``place`` from 1.
+
+    Sets are read from their rarest token on. How often a token occurs is counted by its hash in
+    ``COUNTERS`` counters, so any number of tokens has one order, and no set is shuffled for it. A
+    token alone in its counter is shared with no other set and left out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            sums += np.bincount(batch.column("set").flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"counter": used, "n": sums[used]})
+
+    counted = sets.select("set").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    kept = [column for column in sets.columns if column != "set"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes = batch.column("set").flatten().to_numpy(), batch.column("set").value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            seen = shared.value[tokens & (COUNTERS - 1)]
+            order = np.lexsort((tokens, seen, row))
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            length = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+            good = (place <= length[row]) & (seen[order] > 1)
+            yield pa.RecordBatch.from_pydict({
+                **{column: batch.column(column).take(pa.array(row[good])) for column in kept},
+                "token": tokens[order][good], "place": place[good].astype(np.int32)})
+
+    fields = ", ".join(f"`{column}` {sets.schema[column].dataType.simpleString()}" for column in kept)
+    return sets.mapInArrow(pick, f"{fields}, token long, place int")
+
+
 def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float = NEAR_DUPLICATE_JACCARD,
                      ttl: int = QUERY_TTL) -> DataFrame:
     """The most similar earlier query that is still live, for every query that has one.
@@ -119,16 +164,18 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
     live: a bucket's first use tells whether a set was used earlier in it, its
     last use whether that is still live in the next. Only the first use of a set
     in a bucket needs a search, so copies never form pairs. Candidates share a
-    token among the rarest few of both sets, which every pair above the
-    threshold must; the join on those is an inner join that adaptive execution
-    splits where it is skewed.
+    token among the rarest few of both sets, at places that leave both enough
+    tokens to share, which every pair above the threshold must; the join on
+    those is an inner join that adaptive execution splits where it is skewed.
+
+    Tokens are compared by 64-bit hashes, whole sets by 128 bits.
     """
     scope = list(scope)
     used = log.select(
         "query_id", *scope, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
-        token_set(F.col("text")).alias("set"),
+        F.sort_array(F.array_distinct(F.transform(tokens(F.col("text")), lambda token: F.xxhash64(token)))).alias("set"),
     ).filter(F.size("set") > 0)
-    used = durable(used.withColumn("set_id", F.sha2(F.array_join("set", " "), 256)).withColumn(
+    used = durable(used.withColumn("set_id", F.concat(F.hex(F.xxhash64("set")), F.hex(F.xxhash64("set", F.lit(1))))).withColumn(
         "bucket", F.floor(F.col("t") / ttl)
     ))
     # A set goes by its lowest query id from here on.
@@ -159,20 +206,12 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
         "query_id", F.col("set_first").alias("match_id"), F.lit(1.0).alias("similarity")
     )
 
-    # The rarest tokens of each set.
-    words = sets.select("set_first", *scope, "m", F.explode("set").alias("token"))
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    keep = (F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1).cast("int")
-    prefixes = durable(
-        lookup_join(words, counts, ["token"], "inner")
-        .groupBy("set_first", *scope, "m").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_rare"))
-        .select("set_first", *scope, "m", F.explode(F.slice("_rare", F.lit(1), keep)["token"]).alias("token"))
-    )
+    prefixes = rarest_tokens(sets.select("set_first", *scope, "m", "set"), threshold)
     probes = starts.filter(~F.col("own_live")).select(
         F.col("set_first").alias("probe"), "bucket", F.col("first.query_id").alias("query_id"), F.col("first").alias("own"),
     )
     probe_tokens = probes.join(
-        prefixes.withColumnsRenamed({"set_first": "probe", "m": "probe_m"}), "probe"
+        prefixes.withColumnsRenamed({"set_first": "probe", "m": "probe_m", "place": "probe_place"}), "probe"
     )
     # An entry is seen from its own bucket by its first use, from the next by its last.
     visible = entries.select(
@@ -190,6 +229,9 @@ def near_dup_queries(log: DataFrame, scope: Sequence[str] = (), threshold: float
             & (F.col("seen") < F.col("own")) & (F.col("seen.t") > F.col("own.t") - ttl)
             & (F.col("m") >= F.col("probe_m") * threshold - 1e-9)
             & (F.col("probe_m") >= F.col("m") * threshold - 1e-9)
+            # What follows the first common token in both sets must suffice.
+            & (1 + F.least(F.col("m") - F.col("place"), F.col("probe_m") - F.col("probe_place"))
+               >= threshold / (1 + threshold) * (F.col("m") + F.col("probe_m")) - 1e-9)
         )
         .select("query_id", "probe", "set_first").distinct()
     )
