@@ -11,7 +11,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termwell.session import run_dir
 
@@ -64,18 +65,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def spread_pieces(text: Column, most: int, pieces: int = 8) -> Column:
+    """A text of at most ``most`` characters (or bytes), or that many in pieces spread evenly over all of a longer one."""
+    size = most // pieces
+    room = F.length(text) - size
+    parts = [F.substring(text, (F.floor(room * F.lit(k) / (pieces - 1)) + 1).cast("int"), F.lit(size)) for k in range(pieces)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(*parts))
+
+
 BLOCK_BITS = 1 << 16
 
 
-def bit_filter(keys: DataFrame, column: str, most_bits: int = 1 << 27) -> np.ndarray:
+def bit_filter(keys: DataFrame, column: str, most_bits: int = 1 << 27, bits_per_key: int = 16) -> np.ndarray:
     """A one-hash membership filter of 64-bit keys, for scans that should skip most other rows.
 
-    It has about 16 bits per key, but never more than ``most_bits``: 16 MB by default,
+    It has about ``bits_per_key``, but never more than ``most_bits``: 16 MB by default,
     whatever the number of keys. A crowded filter lets more other rows pass and
     never drops a key. Its blocks are filled on the executors.
     """
     bits = BLOCK_BITS
-    wanted = min(16 * keys.count(), most_bits)
+    wanted = min(bits_per_key * keys.count(), most_bits)
     while bits < wanted:
         bits *= 2
 

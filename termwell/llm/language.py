@@ -16,7 +16,7 @@ A uniform trigram source competes as ``und``: text that no language explains
 better than noise, and text without letters, is ``und`` and rejected.
 
 The likelihoods are fitted on a sample of labelled rows, ``SAMPLE_PER_LANGUAGE``
-expected per language and ``SAMPLE_CHARS`` of each text, for all labels, taken by
+expected per language and ``SAMPLE_CHARS`` of each text in pieces spread over all of it, for all labels, taken by
 their primary tag, with ``MIN_LABELLED`` rows or more; every other figure
 covers all documents and whole texts. Without such labels all is ``und``. A text that
 would be ``und`` or unsure though it is declared as a language without a model has that
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termwell.llm.common import read_table, stored
+from termwell.llm.common import read_table, spread_pieces, stored
 from termwell.llm.registry import query
 
 BUCKETS = 1 << 15
@@ -115,7 +115,7 @@ def fit_text_model(rows: DataFrame, key: Column, text: str = "text", label: str
                 seen = np.flatnonzero(n)
                 yield pd.DataFrame({"label": of, "bucket": seen, "n": n[seen]})
 
-        sums = (drawn.select("label", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        sums = (drawn.select("label", spread_pieces(F.col("text"), SAMPLE_CHARS).alias("text"))
                 .mapInPandas(counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")))
         column = {of: k for k, of in enumerate(languages)}
         for of, bucket, n in sums.toLocalIterator():
@@ -136,7 +136,7 @@ def suffix_of(host: Column) -> Column:
 
 def declared_in(html: Column) -> Column:
     """Primary tag of the language the markup declares on its root element."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     return F.when(found != "", found)
 
 

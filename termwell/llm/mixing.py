@@ -18,7 +18,8 @@ only totals and the largest miss reach the driver.
 
 Defined cases: a null text has size 0 and is taken once at most; a null source
 is a source of its own, ordered last; an empty table gives an empty result;
-repeated rows are documents of their own.
+repeated rows are documents of their own. Chunks and ties follow from the rows' own columns, so the
+same rows give the same mix however the input is split.
 """
 
 from __future__ import annotations
@@ -102,14 +103,24 @@ def _solve(histogram: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
             .otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), "low", "high", "miss"), "mix-dual")
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= TOLERANCE:
             break
-    return state.select("source", "lam")
+    return state.select("source", F.round("lam", 14).alias("lam"))  # sums in another order differ in the last digits
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """The rows with ``nth``, a number among rows of equal content (any order: they are the same)."""
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    if not repeated.limit(1).count():
+        return rows.withColumn("nth", F.lit(1).cast("long"))
+    again = numbered(rows.join(repeated, "key", "left_semi"), ["key"], ["salt"], "nth").select(*rows.columns, F.col("nth").cast("long").alias("nth"))
+    return rows.join(repeated, "key", "left_anti").withColumn("nth", F.lit(1).cast("long")).unionByName(again)
 
 
 def mix(df: DataFrame, size: Column, source: str = "source", weights: Sequence[float] = WEIGHTS,
         share: float = SHARE, cap: int = CAP) -> DataFrame:
     """(row, size, source_size, target, copies): the rows as a struct with what the mix takes of them."""
     rows = stored(df.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"),
-                            size.alias("size"), F.monotonically_increasing_id().alias("salt")), "mix-rows")
+                            size.alias("size"), F.monotonically_increasing_id().alias("salt"),
+                            F.xxhash64(*[x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]).alias("key")), "mix-rows")
     histogram = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     targets = stored(source_targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"),
                                                                      F.sum("n").alias("docs"))
@@ -123,13 +134,13 @@ def mix(df: DataFrame, size: Column, source: str = "source", weights: Sequence[f
     rate = (F.when(F.col("words") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0))
             .when(F.col("lam").isNull(), F.lit(float(cap)))
             .otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size"), F.lit(50.0))))))
-    sizes = rows.select("salt", "source", "size")
+    sizes = _told_apart(rows.select("salt", "source", "size", "key"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(CHUNK)))
     rated = sizes.join(plan, on(sizes, plan)).drop(plan["source"]).select(
-        "salt", "source", "size", F.col("words").alias("source_size"), "target", rate.alias("rate"),
-        F.pmod(F.xxhash64("salt"), chunks).alias("chunk"))
+        "salt", "source", "size", "key", "nth", F.col("words").alias("source_size"), "target", rate.alias("rate"),
+        F.pmod(F.xxhash64("key", "nth"), chunks).alias("chunk"))
     lists = rated.groupBy("source", "chunk", "source_size", "target").agg(
-        F.sort_array(F.collect_list(F.struct("size", "salt", "rate")), asc=False).alias("docs"))
+        F.sort_array(F.collect_list(F.struct("size", "key", "nth", "salt", "rate")), asc=False).alias("docs"))
     taken = lists.select("source_size", "target", F.explode(F.expr("""
         aggregate(docs, named_struct('owed', 0D, 'out', array_repeat(named_struct('salt', 0L, 'copies', 0), 0)),
           (done, doc) -> transform(

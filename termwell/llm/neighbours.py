@@ -47,7 +47,7 @@ BUDGET = 1.25
 SAMPLE = 1 << 16
 CHUNK = 200_000
 QUERY_CHUNK = 20_000
-SPARE = 4
+MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
@@ -188,12 +188,15 @@ def _best(k: int):
             return schema.empty_table()
         asked, held = asked.combine_chunks(), held.combine_chunks()
         vectors, wanted = _matrix(held.column("v").chunk(0)), _matrix(asked.column("v").chunk(0))
-        members, keep = held.column("ids").to_pylist(), min(k + SPARE, held.num_rows)
+        members, last = held.column("ids").to_pylist(), min(k, held.num_rows) - 1
+        longest = np.linalg.norm(vectors, axis=1).max()
         ids, scores = [], []
         for at in range(0, len(wanted), 256):
             rough = wanted[at:at + 256] @ vectors.T
-            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-            for one, rows in zip(wanted[at:at + 256], top, strict=True):
+            # All that may tie with the last of the best, up to the rounding of products, are compared exactly.
+            least = -np.partition(-rough, last, axis=1)[:, last] - MARGIN * longest * np.linalg.norm(wanted[at:at + 256], axis=1)
+            for one, near, cut in zip(wanted[at:at + 256], rough, least, strict=True):
+                rows = np.flatnonzero(near >= cut)
                 exact = (vectors[rows] * one).sum(axis=1)
                 pairs = sorted((-s, i) for s, r in zip(exact.tolist(), rows.tolist(), strict=True) for i in members[r])[:k]
                 ids.append([i for _, i in pairs])

@@ -8,7 +8,7 @@ byte become a probability by logistic regression on labelled texts that trained
 neither dictionary.
 
 Training uses a sample of labelled rows, ``SAMPLE_PER_LABEL`` expected per label,
-half of it for the dictionaries (``TRAIN_BYTES`` of each text) and half, whole
+half of it for the dictionaries (``TRAIN_BYTES`` of each text, in pieces spread over all of it) and half, whole
 texts, for the calibration. Rows that ``held_out`` marks are never drawn. Scores
 depend on texts alone and read them whole.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termwell.llm.common import read_table, stored
+from termwell.llm.common import read_table, spread_pieces, stored
 from termwell.llm.registry import query
 
 PIECE = 512
@@ -144,7 +144,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Q
     # The sample's rows are bounded by its parameter, so they may be broadcast; repeated documents count once.
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     texts = stored(chosen.groupBy("doc_id", "good", "share", "trains").agg(F.min("text").alias("text")), "quality-texts")
-    train = texts.filter("trains").select("doc_id", "good", F.substring(F.encode("text", "UTF-8"), 1, TRAIN_BYTES).alias("head"))
+    train = texts.filter("trains").select("doc_id", "good", spread_pieces(F.encode("text", "UTF-8"), TRAIN_BYTES).alias("head"))
     heads = sorted((r["doc_id"], r["good"], bytes(r["head"] or b"")) for r in train.collect())
     good, bad = ([h for _, g, h in heads if g is of and h] for of in (True, False))
     model.good, model.bad = _dictionary(good), _dictionary(bad)

@@ -12,7 +12,7 @@ dealt out row by row.
 Only the splitters (a sample of bounded size), the totals per range and the hot
 groups (at most ``shards / group_share``) reach the driver or are broadcast.
 
-Defined cases: a null text counts as empty; an empty table gives an empty
+Defined cases: a null text counts as empty; a row of no, null or negative size counts one byte; an empty table gives an empty
 result; repeated rows are placed one by one; input columns named ``shard`` or
 ``slot`` are replaced; other columns pass through under any name.
 """
@@ -86,7 +86,7 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, text: str = "text", size:
     size = text_bytes(text) if size is None else size
     rows = stored(df.select(
         F.struct("*").alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
-        size.cast("long").alias("size"), F.monotonically_increasing_id().alias("salt")), "shard-rows")
+        F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1)).alias("size"), F.monotonically_increasing_id().alias("salt")), "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     if total == 0:
         return rows.select("row.*", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)

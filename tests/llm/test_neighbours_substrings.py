@@ -155,3 +155,11 @@ def test_removal_matches_brute_force(spark, rows, heavy):
 def test_empty_removal(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert without_repeats(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first().n_removed == 0
+
+
+def test_many_ties_go_to_the_smallest_ids(spark):
+    """Eighty different vectors of equal product in one leaf."""
+    rows = [(k, [1.0, math.cos(k), math.sin(k)]) for k in range(80)] + [(100, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    found = nearest(df, F.col("vec_id") == 100).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(20))

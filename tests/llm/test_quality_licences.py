@@ -101,3 +101,16 @@ def test_everyday_phrases_are_no_licence():
     for text in ("Licensed under the terms of the MIT License.", "it is released under the MIT license", "This project is licensed under the MIT License"):
         assert scanner().scan(text)["labels"] == "mit-notice"
     assert scanner().scan("Licensed under CC BY 4.0")["labels"].split(",")[0] == "cc-by"
+
+
+def test_training_pieces_are_spread_over_the_text(spark):
+    from pyspark.sql import functions as F
+
+    from termwell.llm.common import spread_pieces
+
+    texts = ["", "short", "a" * 80, "".join(chr(97 + k // 100) for k in range(1000))]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    for column in (F.col("text"), F.encode("text", "UTF-8")):
+        found = [r[0] if isinstance(r[0], str) or r[0] is None else bytes(r[0]).decode() for r in df.select(spread_pieces(column, 80)).collect()]
+        assert found[:3] == texts[:3] and found[4] is None
+        assert len(found[3]) == 80 and found[3].startswith("a" * 10) and found[3].endswith("j" * 10) and len(set(found[3])) >= 7

@@ -149,3 +149,25 @@ def test_mix_reruns_agree_and_returns_rows(spark, texts):
 def test_empty_mix(spark):
     assert mix(table(spark, []), word_count()).count() == 0
     assert mix(table(spark, [(1, "", "a"), (2, None, None)]), word_count()).agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 0
+
+
+def test_mix_does_not_depend_on_the_layout(spark, texts):
+    """Equal rows from one, five and seven partitions, repeats and nulls among them."""
+    rows = [(k, t, f"s{k % 4}" if k % 9 else None) for k, t in enumerate(texts)] + [(7, "the same row", "s1")] * 40 + [(None, None, "s1"), (None, "s1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [Counter(map(str, mix(part, word_count()).collect())) for part in (
+        df.coalesce(1), df.repartition(5), df.orderBy(F.desc("text")).repartition(7, "doc_id"))]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == len(rows)
+
+
+@pytest.mark.parametrize("sizes", [[0] * 50, [None, 0, -3] * 20, [0, 5] * 30, [None] * 5])
+def test_rows_without_size_are_placed_too(spark, sizes):
+    df = spark.createDataFrame([(k, f"text {k}", s) for k, s in enumerate(sizes)], "doc_id long, text string, size long")
+    out = assign_shards(df, shards=5, size=F.col("size")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(sizes)))
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(5))
+    if len(sizes) == 50:
+        assert max(map(len, slots.values())) <= 11
