@@ -6,16 +6,16 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termwell.functions.text import tokens
-from termwell.operators.joins import at_most, lookup_join
-from termwell.operators.scan import SLICE
-from termwell.session import durable, run_dir
+from termwell.operators.joins import at_most, lookup_join, sized_broadcast
+from termwell.operators.scan import SLICE, sliced
+from termwell.session import durable
 from termwell.vocab.runs import NEAR_DUPLICATE_JACCARD, QUERY_TTL_HOURS
 
 # Ship the kernels with the job, so executors need no installed copy.
@@ -41,44 +41,90 @@ def _anchors_of_small_keys(times: DataFrame, key: str, ttl: int) -> DataFrame:
     )
 
 
-def _anchors_of_hot_keys(times: DataFrame, key: str, ttl: int) -> DataFrame | None:
-    """Walk sorted slices in order; the only state is the last anchor per hot key."""
-    spark = times.sparkSession
-    path = run_dir(spark, "anchors")
-    (
-        times.repartitionByRange(key, "t").withColumn(SLICE, F.spark_partition_id())
-        .write.partitionBy(SLICE).parquet(path)
-    )
-    stored = spark.read.parquet(path)
-    key_type = times.schema[key].dataType.simpleString()
-    state = spark.createDataFrame([], f"{key} {key_type}, last bigint")
+def _first_at(times: np.ndarray, at: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Where chains that enter at given times leave a slice: through its first row from then on, or untouched if there is none."""
+    if not len(times):
+        return at
+    row = np.searchsorted(times, at)
+    return np.where(row < len(times), leave[np.minimum(row, len(times) - 1)], at)
+
+
+def _anchors_of_hot_keys(times: DataFrame, key: str, ttl: int) -> DataFrame:
+    """Chains over sorted slices, which are linked by jump pointers.
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(rows["t"].to_numpy())
-        last = rows["last"].iloc[0]
-        at = 0 if pd.isna(last) else int(np.searchsorted(ts, int(last) + ttl))
-        found = []
+    A slice says for each row at which time a chain that enters there may store the key again, once
+    it has left the slice. Only rows that a chain out of the slice before can enter by matter.
+    Such tables of neighbouring slices are composed pairwise, then those of pairs and so on, each time for half as
+    many slices; on the way back they give the time at which the one chain of the key enters every
+    slice. The number of jobs grows with the logarithm of the slices.
+    """
+    rows = sliced(times, [key], ["t"])
+    order = W.partitionBy(key).orderBy(SLICE)
+    slices = durable(rows.groupBy(key, SLICE).agg(F.min("t").alias("low"), F.max("t").alias("high")).select(
+        key, SLICE, "low", (F.row_number().over(order) - 1).cast("int").alias("number"), F.lag("high").over(order).alias("before")))
+    placed = rows.join(sized_broadcast(slices.drop("low")), [key, SLICE]).select(key, "number", "before", "t")
+    key_type = times.schema[key].dataType.simpleString()
+    kind = f"{key} {key_type}, number int, t bigint, leave bigint"
+
+    def numbers(table: pa.Table, column: str) -> np.ndarray:
+        return table.column(column).to_numpy()
+
+    def of_key(part: pa.Table, size: int) -> pa.ChunkedArray:
+        return part.column(key).take(pa.array(np.zeros(size, np.int64)))
+
+    def jumps(part: pa.Table) -> pa.Table:
+        ts, before = np.sort(numbers(part, "t")), part.column("before")[0].as_py()
+        following = np.searchsorted(ts, ts + ttl)
+        leave = ts + ttl
+        for row in range(len(ts) - 1, -1, -1):
+            if following[row] < len(ts):
+                leave[row] = leave[following[row]]
+        entered = min(len(ts), 1 if before is None else int(np.searchsorted(ts, before + ttl)) + 1)
+        return pa.table({key: of_key(part, entered), "number": part.column("number").take(pa.array(np.zeros(entered, np.int64))),
+                         "t": ts[:entered], "leave": leave[:entered]})
+
+    def through(at: np.ndarray, table: pa.Table) -> pa.Array:
+        table = table.sort_by("t")
+        return pa.array(_first_at(numbers(table, "t"), at, numbers(table, "leave")))
+
+    def composed(left: pa.Table, right: pa.Table) -> pa.Table:
+        return left.set_column(3, "leave", through(numbers(left, "leave"), right))
+
+    def entered(points: pa.Table, table: pa.Table) -> pa.Table:
+        return points.set_column(2, "at", through(numbers(points, "at"), table))
+
+    def walk(part: pa.Table, points: pa.Table) -> pa.Table:
+        ts, found = np.sort(numbers(part, "t")), []
+        at = int(np.searchsorted(ts, points.column("at")[0].as_py())) if points.num_rows else len(ts)
         while at < len(ts):
             found.append(ts[at])
             at = int(np.searchsorted(ts, ts[at] + ttl))
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(found), "anchor": found})
-
-    anchors = None
-    for (number,) in stored.select(SLICE).distinct().orderBy(SLICE).toLocalIterator():
-        part = stored.filter(F.col(SLICE) == number).select(key, "t").join(state, key, "left")
-        fresh = durable(part.groupBy(key).applyInPandas(walk, f"{key} {key_type}, anchor bigint"))
-        latest = fresh.select(key, F.col("anchor").alias("last"))
-        state = durable(state.unionByName(latest).groupBy(key).agg(F.max("last").alias("last")))
-        anchors = fresh if anchors is None else anchors.unionByName(fresh)
-    return anchors
+        return pa.table({key: of_key(part, len(found)), "anchor": np.array(found, np.int64)})
+
+    def meet(left: DataFrame, right: DataFrame, how, schema: str) -> DataFrame:
+        left = left.select(*[F.col(c).alias(c) for c in left.columns])  # both may come from one table
+        return left.groupBy(key, "number").cogroup(right.groupBy(key, "number")).applyInArrow(how, schema)
+
+    count = slices.agg(F.max("number")).first()[0] + 1
+    tables = [durable(placed.groupBy(key, "number").applyInArrow(jumps, kind))]
+    while 1 << len(tables) < count:
+        step = 1 << (len(tables) - 1)
+        right = tables[-1].filter(F.col("number") % (2 * step) == step).withColumn("number", (F.col("number") - step).cast("int"))
+        tables.append(durable(meet(tables[-1].filter(F.col("number") % (2 * step) == 0), right, composed, kind)))
+    points = slices.filter("number = 0").select(key, "number", F.col("low").alias("at"))
+    for level in range(len(tables) - 1, -1, -1):
+        step = 1 << level
+        later = meet(points, tables[level].filter(F.col("number") % (2 * step) == 0), entered, f"{key} {key_type}, number int, at bigint")
+        points = durable(points.unionByName(later.withColumn("number", (F.col("number") + step).cast("int"))))
+    return meet(placed.select(key, "number", "t"), points, walk, f"{key} {key_type}, anchor bigint")
 
 
 def ttl_anchors(rows: DataFrame, key: str, t: Column, ttl: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Times at which a key is stored: the first, then each first one ``ttl`` later.
 
     A use within the time to live does not extend it. Keys with few distinct
-    times are folded inside a row. The others are walked slice by slice, so no
-    task holds a whole key.
+    times are folded inside a row. The others are cut into slices that are linked
+    by jump pointers, so no task holds a whole key and no step waits for all slices before.
     """
     times = rows.select(key, t.cast("long").alias("t")).distinct()
     hot = times.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_rows).select(key)

@@ -91,3 +91,12 @@ def previous(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return scanned.select(
         *df.columns, *[F.col(f"_previous.{value}").alias(f"{prefix}{value}") for value in values]
     )
+
+
+def join_slices(rows: DataFrame, ahead: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows of slices with what a table of one row per slice and group says of theirs."""
+    own = ahead.select(*[F.col(c).alias(f"_of_{c}" if c in (SLICE, *group) else c) for c in ahead.columns])
+    same = F.col(SLICE) == F.col(f"_of_{SLICE}")
+    for column in group:
+        same = same & F.col(column).eqNullSafe(F.col(f"_of_{column}"))
+    return rows.drop(*[c for c in own.columns if c in rows.columns]).join(own, same).drop(*[c for c in own.columns if c.startswith("_of_")])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termwell.functions.numbers import rounded
 from termwell.operators.joins import lookup_join
 from termwell.operators.querylog import MICROS, ttl_anchors
-from termwell.operators.scan import numbered, previous, running
+from termwell.operators.scan import SLICE, join_slices, numbered, previous, running, sliced
+from termwell.session import durable
 from termwell.vocab import runs as rules
 
 
@@ -232,32 +234,51 @@ def breaker_states(calls: DataFrame, threshold: int = rules.FAILURE_THRESHOLD,
 
     So it opens at the first such failure, and then at each first one that comes
     at least the recovery time later: the chain of ``ttl_anchors``. All other
-    parts of the state follow from running sums and maxima, which work on slices
-    of an agent's calls.
+    parts of the state follow from running sums and maxima. The calls are cut into
+    slices and stored once; every running value is taken inside of them and
+    completed with a row per slice and agent.
     """
     order = ["ts", "call_id"]
     recovery = int(recovery_s * MICROS)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = numbered(calls.select("agent", *order, "failed").withColumn("t", t), ["agent"], order, "n")
-    rows = running(rows, ["agent"], order, {
-        "last_success": ("max", F.when(~F.col("failed"), F.col("n"))),
-    }).withColumn("in_a_row", F.when(F.col("failed"), F.col("n") - F.coalesce("last_success", F.lit(0))).otherwise(F.lit(0)))
-
-    triggers = rows.filter(F.col("in_a_row") >= threshold)
+    rows = sliced(calls.select("agent", *order, "failed").withColumn("t", t), ["agent"], order)
+    local = W.partitionBy(SLICE, "agent").orderBy(*order)
+    upto = local.rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy("agent").orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+
+    # What the slices before hold: their number of calls, the place of the last success, the last call.
+    rows = rows.withColumn("place", F.row_number().over(local))
+    ahead = rows.groupBy(SLICE, "agent").agg(
+        F.count(F.lit(1)).alias("calls"), F.max(F.when(~F.col("failed"), F.col("place"))).alias("success"),
+        F.max(F.struct(*order, "failed", "t")).alias("tail"),
+    ).withColumn("offset", F.coalesce(F.sum("calls").over(earlier), F.lit(0)))
+    ahead = ahead.select(
+        SLICE, "agent", "offset", F.max(F.col("offset") + F.col("success")).over(earlier).alias("success"),
+        F.max("tail").over(earlier).alias("tail"))
+    rows = join_slices(rows, ahead, ["agent"]).withColumn("place", F.col("offset") + F.col("place"))
+    success = F.coalesce(F.max(F.when(~F.col("failed"), F.col("place"))).over(upto), F.col("success"), F.lit(0))
+    before = F.coalesce(F.lag(F.struct("failed", "t")).over(local), F.struct("tail.failed", "tail.t"))
+    rows = rows.select(
+        SLICE, "agent", *order, "failed", "t", before.alias("before"),
+        F.when(F.col("failed"), F.col("place") - success).otherwise(F.lit(0)).alias("in_a_row"))
+
+    triggers = rows.filter(F.col("in_a_row") >= threshold).select("agent", "t", "call_id")
     anchors = ttl_anchors(triggers, "agent", F.col("t"), recovery, group_rows)
-    opening = triggers.join(anchors.withColumnRenamed("anchor", "t"), ["agent", "t"]).groupBy("agent", "t").agg(
-        F.min("call_id").alias("call_id"), F.lit(True).alias("opens")
-    )
-    before = rows.select("agent", (F.col("n") + 1).alias("n"), F.col("failed").alias("before_failed"), F.col("t").alias("before_t"))
-    marked = rows.join(opening, ["agent", "t", "call_id"], "left").join(before, ["agent", "n"], "left")
-    opened = running(marked, ["agent"], order, {
-        "open_at": ("max", F.when(F.col("opens"), F.struct("t", "call_id"))),
-    })
+    opening = durable(triggers.join(anchors.withColumnRenamed("anchor", "t"), ["agent", "t"]).groupBy("agent", "t").agg(
+        F.min("call_id").alias("call_id"), F.lit(True).alias("opens")))
+
+    def latest(rows: DataFrame, when: Column, name: str) -> DataFrame:
+        """Add time and number of the last call so far, in this slice or an earlier one, for which a condition holds."""
+        place = F.when(when, F.struct("t", "call_id"))
+        ahead = rows.groupBy(SLICE, "agent").agg(F.max(place).alias("_ahead")).select(
+            SLICE, "agent", F.max("_ahead").over(earlier).alias("_ahead"))
+        return join_slices(rows, ahead, ["agent"]).withColumn(
+            name, F.coalesce(F.max(place).over(upto), F.col("_ahead"))).drop("_ahead")
+
+    opened = latest(rows.join(opening, ["agent", "t", "call_id"], "left"), F.col("opens"), "open_at")
     half_open_at = F.col("open_at.t") + recovery
-    closes = ~F.col("failed") & ~F.col("before_failed") & (F.col("before_t") >= half_open_at)
-    closed = running(opened, ["agent"], order, {
-        "closed_at": ("max", F.when(closes, F.struct("t", "call_id"))),
-    })
+    closes = ~F.col("failed") & ~F.col("before.failed") & (F.col("before.t") >= half_open_at)
+    closed = latest(opened, closes, "closed_at")
     state = (
         F.when(F.col("open_at").isNull(), F.lit("closed"))
         .when(F.col("t") < half_open_at, F.lit("open"))
