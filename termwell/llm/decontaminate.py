@@ -9,7 +9,8 @@ longer than the item, reaches the threshold. For a template the slots must agree
 as well: what stands for a value of the item stands for it throughout.
 
 All windows count. Looked up are those windows of a template that hold ``LEAST_LITERAL``
-words besides placeholders, or all with such words if an item has none of these; around
+words besides placeholders, and the next richest until they are more than the windows that may
+differ, so that one of them is met wherever the threshold is reached; around
 them the other windows are compared. A template without a word is no template.
 
 Besides, ``Block.all_leaks`` reports what stands in a document though the item's share there is
@@ -28,6 +29,7 @@ items and documents are reported each; an input column ``leaks`` is replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +130,11 @@ class Tokens:
         width = min(WINDOW, len(self.codes))
         literal = np.r_[0, np.cumsum(self.codes > 3)]
         held = literal[width:] - literal[:len(literal) - width]
-        rich = np.flatnonzero(held >= min(LEAST_LITERAL, width))
-        return rich if len(rich) else np.flatnonzero(held > 0)
+        if not held.any():
+            return np.zeros(0, np.int64)
+        least = int((1.0 - THRESHOLD) * len(held) + 1e-9) + 1  # so many cannot all differ in a copy that counts
+        order = np.argsort(-held, kind="stable")
+        return np.sort(order[:max(least, int((held >= min(LEAST_LITERAL, width)).sum()))])
 
 
 @dataclass(frozen=True)
@@ -169,6 +174,16 @@ class Block:
                 short[width] = (np.sort(named), np.array(items)[np.argsort(named, kind="stable")])
         return cls([i for i, _ in rows], tokens, np.array(needed), shapes, hashes[order].astype(np.uint64), owner[order], place[order], short)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
+    @cached_property
+    def _known(self) -> np.ndarray:
+        """Flags by the low bits of the hashes: most windows of a text are told off by one look."""
+        flags = np.zeros(1 << min(25, max(16, (16 * len(self.hashes)).bit_length())), bool)
+        flags[(self.hashes & np.uint64(len(flags) - 1)).astype(np.int64)] = True
+        return flags
+
     def leaks(self, text: str | None) -> list[dict]:
         """The items of the block that stand in the text."""
         doc = Tokens.of(text)
@@ -180,12 +195,14 @@ class Block:
         none = np.zeros(0, np.int64)
         if not len(self.hashes):
             return none, none
-        low = np.searchsorted(self.hashes, hashes, side="left")
-        hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes)
+        maybe = np.flatnonzero(self._known[(hashes & np.uint64(len(self._known) - 1)).astype(np.int64)])
+        low = np.searchsorted(self.hashes, hashes[maybe], side="left")
+        same = self.hashes[np.minimum(low, len(self.hashes) - 1)] == hashes[maybe]
+        hit, low = maybe[same], low[same]
         if not len(hit):
             return none, none
-        n = np.searchsorted(self.hashes, hashes[hit], side="right") - low[hit]
-        which = np.repeat(low[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        n = np.searchsorted(self.hashes, hashes[hit], side="right") - low
+        which = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         at = np.repeat(hit, n)
         mine = self.owner[which] % 2 == side
         return which[mine], at[mine]
@@ -282,16 +299,22 @@ class Block:
         share = best[0] / needed
         if share < THRESHOLD:
             return None
-        place, at = place[best[1]:best[2]], at[best[1]:best[2]]
-        if side:  # a template that repeats itself agrees at several places; each window counts at the likeliest
+        if side:  # the stretch may be longer than what first shows all windows where a template repeats itself
+            low, high = np.searchsorted(at, [at[best[2] - 1] - span + 1, at[best[1]] + span])
+            place, at = place[low:high], at[low:high]
+            # There it agrees at several places, too; each window counts at the likeliest.
             shift, n = np.unique(at - place, return_counts=True)
             off = np.abs(at - place - shift[n.argmax()])
+            close = off < max(1, span - needed + 1)
+            place, at, off = place[close], at[close], off[close]
             order = np.lexsort((off, at))
             likeliest = order[np.unique(at[order], return_index=True)[1]]
             place, at = place[likeliest], at[likeliest]
             share = len(np.unique(place)) / needed
             if share < THRESHOLD:
                 return None
+        else:
+            place, at = place[best[1]:best[2]], at[best[1]:best[2]]
         agree = self._agreement(item, doc, place, at) if side else 1.0
         if agree < LEAST_CONSISTENT:
             return None

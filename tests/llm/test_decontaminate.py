@@ -115,3 +115,21 @@ def test_excerpts_and_short_items(spark):
     got = {r.doc_id: [(k.item_id, k.kind, k.first_token, k.n_tokens) for k in r.leaks] for r in found.collect()}
     assert got.pop(5)[0][:2] == (2, "words") and got.pop(6)[0][:2] == (1, "words")
     assert got == {1: [(1, "excerpt", 1, 390)], 2: [(1, "excerpt", 1, 13)], 3: [], 4: [(2, "short", 2, 2)]}
+
+
+def test_edited_templates_of_few_rich_windows():
+    """Values changed and one word edited in an item of mostly placeholders; most windows agree all the same."""
+    item = "Ada 5 km Bob 7 kg Eve 9 km Max 2 kg while Kim 4 km Joe 8 kg and Zoe 3 km Ted 6 kg Amy 1 km so who has most"
+    copy = "Ida 6 km Rob 8 kg Eva 2 km Tim 3 kg while Jim 5 km Moe 9 kg and Lea 4 km Ned 7 kg Ann 2 km so who got most"
+    windows = Tokens.of(item).windows()[1], Tokens.of(copy).windows()[1]
+    assert 0.8 <= sum(x == y for x, y in zip(*windows, strict=True)) / len(windows[0]) < 1
+    assert leaks(f"Here is a task. {copy}", [(1, item)]) == {1: "template"}
+    assert leaks("Here 4 km Tim 5 kg Jim 7 km and that was it", [(1, item)]) == {}
+
+
+def test_templates_that_repeat_themselves():
+    item = " ".join(f"{n} 5 km in 30 minutes" for n in ("Ada", "Bob", "Eve", "Max", "Kim"))
+    copy = " ".join(f"{n} 7 km in 45 minutes" for n in ("Ida", "Rob", "Eva", "Tim", "Jim"))
+    assert leaks(copy, [(1, item)]) == {1: "template"}
+    assert leaks(f"so it is said that {copy} and they were tired of it", [(1, item)]) == {1: "template"}
+    assert leaks("Ida 7 km in 45 minutes Rob walked home to rest", [(1, item)]) == {}
