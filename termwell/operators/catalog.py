@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termwell.functions import text as T
-from termwell.operators.joins import lookup_join, sized_broadcast
+from termwell.operators.joins import at_most, lookup_join, sized_broadcast
+from termwell.operators.layout import read_bucketed, write_bucketed
 from termwell.vocab.listing import CHUNK_TTL_DAYS, DIFFICULTIES, REGIONS, CATEGORIES
 
+STORE_BUCKETS = 32
+LOOKUP_NAMES = 200
+
 LISTING_COLUMNS = [
     "name", "org", "category", "region", "countries", "date", "deadline", "difficulty",
     "duration", "cost", "subjects", "tags", "website", "description",
@@ -59,15 +63,34 @@ def chunk_upsert(stored: DataFrame, new: DataFrame | None = None, order: str = "
     )
 
 
+def write_store(chunks: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> DataFrame:
+    """Store chunks with their slug, bucketed and sorted by it, and return the store."""
+    return write_bucketed(chunks.withColumn("slug", T.slug(F.col("name"))), path, "slug", buckets)
+
+
+def open_store(spark: SparkSession, path: str, buckets: int = STORE_BUCKETS) -> DataFrame:
+    """A store written before, with its ``slug`` column."""
+    return read_bucketed(spark, path, "slug", buckets)
+
+
+def _with_slug(chunks: DataFrame) -> DataFrame:
+    return chunks if "slug" in chunks.columns else chunks.withColumn("slug", T.slug(F.col("name")))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Store chunks by section, so scans of one section read only its files."""
     chunks.write.mode("overwrite").partitionBy("section").parquet(path)
 
 
 def chunks_for_exam(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """All chunks of the ``(name)`` rows, matched by slug."""
+    """All chunks of the ``(name)`` rows, matched by slug.
+
+    Of a store, few names read only their buckets; more are sent to the buckets, where nothing stored moves.
+    """
     wanted = names.select(T.slug(F.col("name")).alias("slug")).distinct()
-    return chunks.withColumn("slug", T.slug(F.col("name"))).join(sized_broadcast(wanted), "slug", "left_semi")
+    if "slug" in chunks.columns and at_most(wanted, LOOKUP_NAMES):
+        return chunks.filter(F.col("slug").isin([r["slug"] for r in wanted.collect()]))
+    return _with_slug(chunks).join(sized_broadcast(wanted), "slug", "left_semi")
 
 
 def chunk_scan(chunks: DataFrame, as_of: Column) -> DataFrame:
@@ -78,7 +101,7 @@ def chunk_scan(chunks: DataFrame, as_of: Column) -> DataFrame:
 def stale_exams(chunks: DataFrame, before_ym: Column) -> DataFrame:
     """Slugs whose overview chunk (else the first chunk) has a past date."""
     order = F.struct((F.col("section") != "overview").alias("other"), F.col("chunk_id"))
-    leading = chunks.groupBy(T.slug(F.col("name")).alias("slug")).agg(
+    leading = _with_slug(chunks).groupBy("slug").agg(
         F.min_by(F.struct("is_year_round", "date_sortable"), order).alias("lead")
     )
     return leading.filter(
@@ -89,7 +112,7 @@ def stale_exams(chunks: DataFrame, before_ym: Column) -> DataFrame:
 def evict_exams(chunks: DataFrame, slugs: DataFrame) -> DataFrame:
     """Chunks left after dropping the given slugs."""
     gone = sized_broadcast(slugs.select("slug").distinct())
-    return chunks.withColumn("slug", T.slug(F.col("name"))).join(gone, "slug", "left_anti").drop("slug")
+    return _with_slug(chunks).join(gone, "slug", "left_anti").drop("slug")
 
 
 def evict_vectors(vectors: DataFrame, kept_chunks: DataFrame) -> DataFrame:
@@ -99,7 +122,7 @@ def evict_vectors(vectors: DataFrame, kept_chunks: DataFrame) -> DataFrame:
 
 def exam_known(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """Flag each ``(name)`` row that has stored chunks."""
-    known = chunks.select(T.slug(F.col("name")).alias("slug")).distinct().withColumn("_known", F.lit(True))
+    known = _with_slug(chunks).select("slug").distinct().withColumn("_known", F.lit(True))
     asked = names.withColumn("slug", T.slug(F.col("name")))
     return lookup_join(asked, known, ["slug"]).select(
         *names.columns, "slug", F.coalesce("_known", F.lit(False)).alias("known")

@@ -98,7 +98,14 @@ def chunk_upsert(spark, sf):
 WHERE {_NAME_SLUG} IN (SELECT {dashed_sql("upper(p_name) || '!'")} FROM part WHERE p_size = 7)""")
 def chunks_for_exam(spark, sf):
     names = provided(spark, sf, "part").filter("p_size = 7").select(F.concat(F.upper("p_name"), F.lit("!")).alias("name"))
-    return catalog.chunks_for_exam(_store(spark, sf), names).select("chunk_id", "slug")
+    return catalog.chunks_for_exam(_slugged_store(spark, sf), names).select("chunk_id", "slug")
+
+
+def _slugged_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The store written by slug and opened again."""
+    path = run_dir(spark, "store")
+    catalog.write_store(_store(spark, sf), path)
+    return catalog.open_store(spark, path)
 
 
 @query("chunk_scan", f"{UPSERT_SQL} SELECT chunk_id FROM latest WHERE stored_at + INTERVAL 30 DAYS > TIMESTAMP '{AS_OF}'")
@@ -127,7 +134,8 @@ def stale_exams(spark, sf):
 
 @query("evict_exams", f"{UPSERT_SQL}, {_STALE} SELECT chunk_id FROM latest WHERE {_NAME_SLUG} NOT IN (SELECT slug FROM stale)")
 def evict_exams(spark, sf):
-    return catalog.evict_exams(_store(spark, sf), _stale(spark, sf)).select("chunk_id")
+    store = _slugged_store(spark, sf)
+    return catalog.evict_exams(store, catalog.stale_exams(store, F.lit("2025-09"))).select("chunk_id")
 
 
 @query("evict_vectors", """WITH kept AS (SELECT doc_id FROM documents WHERE lang <> 'en')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termwell.operators import segments
 from termwell.plans.guard_queries import REQUEST_FIELD_SQL, VERDICT_SQL
 from termwell.plans.registry import query
 from termwell.plans.tables import EVENT_TYPES, frame
@@ -138,6 +139,6 @@ def stream_ingest(spark, sf):
     path = run_dir(spark, "ingest")
     jobs.stream_ingest(_stream(listing, "listing", 3, "ord"), path)
     chunks = catalog.chunk_upsert(spark.read.parquet(f"{path}/chunks").drop("batch", "expires_at"))
-    lengths = spark.read.parquet(f"{path}/index/doc_len").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("indexed"))
+    lengths = segments.documents(segments.open_index(spark, f"{path}/index")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("indexed"))
     return chunks.join(lengths, "chunk_id", "left").select(
         "chunk_id", "section", "ord", F.date_format("stored_at", "yyyy-MM-dd").alias("stored_on"), "indexed")

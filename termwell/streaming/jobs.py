@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from termwell.functions.guards import invalid_request_field
-from termwell.operators import bm25, catalog, quality, traces
+from termwell.operators import catalog, quality, segments, traces
 from termwell.streaming.runner import each_batch, replace_batch
 from termwell.vocab import runs as rules
 from termwell.vocab.listing import CHUNK_TTL_DAYS
@@ -44,8 +44,9 @@ def stream_ingest(listing: DataFrame, path: str) -> None:
 
     Every batch writes its own folders, so a repeated batch replaces itself. All
     chunks go to the store, which ``chunk_upsert`` reads, so a later version
-    replaces an earlier one whatever batches they came in. The index skips
-    chunk ids indexed by earlier batches.
+    replaces an earlier one whatever batches they came in. The index grows by a segment
+    per batch, merged as they gather, and skips chunk ids it holds; it looks them up in the
+    ids of its few segments. A batch repeated after its segment was written adds nothing.
     """
     spark = listing.sparkSession
 
@@ -53,23 +54,11 @@ def stream_ingest(listing: DataFrame, path: str) -> None:
         chunks = catalog.chunk_upsert(catalog.make_chunks(batch, F.col("stored_at")))
         replace_batch(chunks, batch_id, f"{path}/chunks")
         written = spark.read.parquet(f"{path}/chunks/batch={batch_id}")
-        known = _earlier_lengths(spark, path, batch_id)
-        if known is not None:
-            written = written.join(known, "chunk_id", "left_anti")
-        index = bm25.build_index(written)
-        replace_batch(index.postings, batch_id, f"{path}/index/postings")
-        replace_batch(index.doc_len, batch_id, f"{path}/index/doc_len")
+        segments.merge(segments.add(segments.open_index(spark, f"{path}/index"), written))
 
     each_batch(listing, ingest, path)
 
 
-def _earlier_lengths(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    stored = spark.read.parquet(f"{path}/index/doc_len")
-    return stored.filter(F.col("batch") < batch_id).select("chunk_id")
-
-
 def stream_guard(requests: DataFrame, path: str) -> None:
     """Check requests online; good ones and rejected ones go to tables of their own."""
 

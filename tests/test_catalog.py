@@ -150,3 +150,28 @@ def test_filters_with_unknowns(spark):
     assert passed(year=2025) == [True, False]
     assert passed(month="June") == [False, True]
     assert passed(countries=F.array(F.lit("usa"))) == [True, False]
+
+
+def test_store_is_read_by_bucket(spark):
+    from termwell.operators import catalog
+    from termwell.session import run_dir
+
+    rows = [(f"id{k}", f"Exam No {k % 40}", k) for k in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, name string, ord int")
+    path = run_dir(spark, "test-store")
+    catalog.write_store(chunks, path, 8)
+    store = catalog.open_store(spark, path, 8)
+    names = spark.createDataFrame([("exam no 3!",), ("EXAM NO 17",), ("unknown",)], "name string")
+    found = catalog.chunks_for_exam(store, names)
+    assert sorted(r.chunk_id for r in found.collect()) == sorted(i for i, n, _ in rows if n in ("Exam No 3", "Exam No 17"))
+    plan = found._jdf.queryExecution().sparkPlan()
+    assert 1 <= plan.collectLeaves().head().optionalBucketSet().get().cardinality() <= 3  # buckets read
+    assert "regexp_replace" not in plan.toString()
+    many = names.union(spark.createDataFrame([(f"Exam No {k}",) for k in range(5)], "name string"))
+    catalog_limit, catalog.LOOKUP_NAMES = catalog.LOOKUP_NAMES, 2
+    try:
+        joined = catalog.chunks_for_exam(store, many)
+        assert joined.count() == 30
+    finally:
+        catalog.LOOKUP_NAMES = catalog_limit
+    assert sorted(r.chunk_id for r in catalog.evict_exams(store, store.filter("slug = 'exam-no-3'")).collect()) == sorted(i for i, n, _ in rows if n != "Exam No 3")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termwell.operators import bm25, catalog, querylog, ranking
+from termwell.operators import bm25, catalog, querylog, ranking, segments
 from termwell.plans.stream_queries import _stream, _timestamps
 from termwell.plans.tables import frame
 from termwell.session import run_dir
@@ -26,7 +26,9 @@ def test_ingest_keeps_the_latest_version_in_any_batching(spark, sf, files):
     got = catalog.chunk_upsert(spark.read.parquet(f"{path}/chunks").drop("batch", "expires_at")).select(columns)
     want = catalog.chunk_upsert(catalog.make_chunks(listing, F.col("stored_at"))).select(columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-    indexed = spark.read.parquet(f"{path}/index/doc_len")
+    index = segments.open_index(spark, f"{path}/index")
+    indexed = segments.documents(index)
+    assert index.n_docs == want.count() and len(index.segments) == files
     assert indexed.count() == indexed.select("chunk_id").distinct().count() == want.count()
 
 
