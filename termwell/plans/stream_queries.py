@@ -60,9 +60,11 @@ def stream_dedup(spark, sf):
 def stream_events(spark, sf):
     events = R.table_stream(spark, f"{sf}/events*.parquet").withColumnRenamed("user_id", "run_id")
     path = run_dir(spark, "progress")
-    progress = jobs.stream_events(events, EVENT_TYPES, "click", "purchase")
-    R.each_batch(progress, lambda batch, number: R.replace_batch(batch, number, f"{path}/rows"), path, "update")
-    current = R.latest_per_key(spark, f"{path}/rows", ["run_id"])
+    R.use_rocksdb(spark)
+    # Runs of this table may be quiet for months.
+    progress = jobs.stream_events(events, EVENT_TYPES, "click", "purchase", idle="400 days")
+    R.each_batch(progress, lambda batch, number: R.replace_rows(batch, number, path, ["run_id"]), f"{path}/stream", "update")
+    current = R.current_rows(spark, path, ["run_id"])
     return current.withColumns({f"last_{k}": _time(f"last_{k}") for k in EVENT_TYPES})
 
 

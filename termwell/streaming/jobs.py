@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from termwell.functions.guards import invalid_request_field
-from termwell.operators import catalog, quality, segments, traces
+from termwell.operators import catalog, quality, segments
 from termwell.streaming.runner import each_batch, replace_batch
 from termwell.vocab import runs as rules
 from termwell.vocab.listing import CHUNK_TTL_DAYS
@@ -34,9 +34,68 @@ def stream_dedup(chunks: DataFrame, delay: str = "1 hour") -> DataFrame:
     return chunks.withWatermark("stored_at", delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
-def stream_events(events: DataFrame, event_types: Sequence[str], planned: str, finished: str) -> DataFrame:
-    """Progress per run, for update mode; the figures of the batch operator."""
-    return traces.run_progress(events, event_types, planned, finished)
+class ProgressProcessor(StatefulProcessor):
+    """Progress of a run so far, as one state row that goes when the run has been quiet for a time."""
+
+    def __init__(self, event_types: Sequence[str], planned: str, finished: str, idle_us: int):
+        self.event_types, self.planned, self.finished, self.idle_us = list(event_types), planned, finished, idle_us
+        self.names = [f"last_{kind}" for kind in self.event_types]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("progress", PROGRESS.format(", ".join(f"`{name}` bigint" for name in self.names)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            values = list(self.state.get())
+            times, (at, number, last, planned, finished, events, error) = values[:len(self.names)], values[len(self.names):]
+            self.handle.deleteTimer((at + self.idle_us) // 1000)
+        else:
+            times, (at, number, last, planned, finished, events, error) = [None] * len(self.names), (None, None, None, 0, 0, 0, False)
+        for batch in rows:
+            kinds = batch["event_type"]
+            newest = batch.groupby("event_type")["t"].max()
+            times = [max((t for t in (old, newest.get(kind)) if t is not None), default=None) for kind, old in zip(self.event_types, times)]
+            top = batch.sort_values(["t", "event_id"]).iloc[-1]
+            if at is None or (top["t"], top["event_id"]) > (at, number):
+                at, number, last = int(top["t"]), int(top["event_id"]), top["event_type"]
+            planned, finished = planned + int((kinds == self.planned).sum()), finished + int((kinds == self.finished).sum())
+            events, error = events + len(batch), bool(error or (kinds == "error").any())
+        times = [None if t is None else int(t) for t in times]
+        self.state.update((*times, at, number, last, planned, finished, events, error))
+        self.handle.registerTimer((at + self.idle_us) // 1000)
+        yield pd.DataFrame({
+            "run_id": [key[0]], **{name: pd.array([t], dtype="Int64") for name, t in zip(self.names, times)}, "last_event": [last],
+            "shards_planned": [planned], "shards_finished": [finished], "events": [events], "has_error": [error]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+PROGRESS = "{}, at bigint, number bigint, last string, planned bigint, finished bigint, events bigint, error boolean"
+
+
+def stream_events(events: DataFrame, event_types: Sequence[str], planned: str, finished: str,
+                  delay: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """Progress per run, for update mode: the figures of ``run_progress`` over the events so far.
+
+    A run is over when the watermark has passed its last event by ``idle``; its state goes, its last row stays
+    with whoever keeps the updates. Events later than ``delay`` are left out.
+    """
+    kind, key = events.schema["ts"].dataType, events.schema["run_id"].dataType.simpleString()
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select(
+        "run_id", "event_type", F.col("event_id").cast("long").alias("event_id"), "ts", F.unix_micros("ts").alias("t"))
+    idle_us = int(pd.Timedelta(idle).total_seconds() * 1_000_000)
+    names = [f"last_{name}" for name in event_types]
+    schema = (f"run_id {key}, {', '.join(f'`{name}` bigint' for name in names)}, last_event string, shards_planned bigint, "
+              "shards_finished bigint, events bigint, has_error boolean")
+    out = timed.groupBy("run_id").transformWithStateInPandas(
+        ProgressProcessor(event_types, planned, finished, idle_us), schema, "Update", "EventTime")
+    return out.withColumns({name: F.timestamp_micros(name).cast(kind) for name in names})
 
 
 def stream_ingest(listing: DataFrame, path: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from termwell.session import run_dir
 
+COMPACT_EVERY = 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -58,9 +59,50 @@ def replace_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _versions(spark: SparkSession, path: str, prefix: str) -> dict[int, object]:
+    """Complete folders ``<prefix>=<number>`` below a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in system.listStatus(at)] if system.exists(at) else []
+    return {int(f.getName().split("=")[1]): f for f in found if f.getName().startswith(f"{prefix}=")
+            and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))}
+
+
+def replace_rows(batch: DataFrame, batch_id: int, path: str, keys: list[str], every: int = COMPACT_EVERY) -> None:
+    """Add a batch of updates to a table of current rows; every few batches all are merged into one folder.
+
+    Batches merged into an older folder than the last are deleted, so readers of the last one are left alone.
+    """
+    spark = batch.sparkSession
+    replace_batch(batch, batch_id, f"{path}/updates")
+    if (batch_id + 1) % every:
+        return
+    merged = sorted(n for n in _versions(spark, f"{path}/merged", "upto") if n < batch_id)
+    replace = current_rows(spark, path, keys, before=batch_id)
+    replace.write.mode("overwrite").parquet(f"{path}/merged/upto={batch_id}")
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder, prefix in (("updates", "batch"), ("merged", "upto")):
+        for number, at in _versions(spark, f"{path}/{folder}", prefix).items():
+            if merged and number < merged[-1] + (prefix == "batch"):
+                system.delete(at, True)
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """The current row per key of a table of ``replace_rows``."""
+    merged = [n for n in _versions(spark, f"{path}/merged", "upto") if before is None or n < before]
+    last = max(merged, default=-1)
+    updates = spark.read.parquet(f"{path}/updates").filter(F.col("batch") > last)
+    if merged:
+        updates = updates.unionByName(spark.read.parquet(f"{path}/merged/upto={last}").withColumn("batch", F.lit(last)))
+    return _latest(updates, keys)
+
+
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current value per key of a table of update batches."""
-    updates = spark.read.parquet(path)
+    return _latest(spark.read.parquet(path), keys)
+
+
+def _latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     rest = [column for column in updates.columns if column not in (*keys, "batch")]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(
         *keys, *[F.col(f"_row.{column}").alias(column) for column in rest]

@@ -48,3 +48,41 @@ def test_near_duplicates_of_text_ids(spark):
         "query_id", F.timestamp_seconds(F.col("second") + F.lit(1_700_000_000)).cast("timestamp_ntz").alias("ts"), "text")
     got = {r["query_id"]: r["match_id"] for r in querylog.near_dup_queries(log).collect()}
     assert got == {"a": "b"}
+
+
+def test_run_progress_state_ends(spark):
+    """Two batches of runs far apart: totals go on over batches, and the state of runs that are over goes."""
+    from termwell.operators import traces
+    from termwell.streaming import runner
+
+    path = run_dir(spark, "test-progress")
+    kinds = ["click", "purchase", "error"]
+    day = 86_400
+    batches = [
+        [(1, "click", 0, 1), (1, "purchase", 5, 2), (2, "error", 7, 3)] + [(10 + k, "click", k, 10 + k) for k in range(20)],
+        [(1, "click", 50, 40), (2, "click", 60, 41), (3, "click", 3 * day, 42)],
+        [(3, "purchase", 3 * day + 5, 43)], [(4, "click", 9 * day, 44)], [(4, "click", 9 * day + 1, 45)],
+    ]
+    everything = []
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "run_id long, event_type string, s long, event_id long").select(
+            "run_id", "event_type", F.timestamp_seconds(F.col("s") + F.lit(1_700_000_000)).alias("ts"), "event_id")
+        frame.coalesce(1).write.mode("append").parquet(f"{path}/events")
+        everything.append(frame)
+        runner.use_rocksdb(spark)
+        progress = jobs.stream_events(runner.table_stream(spark, f"{path}/events"), kinds, "click", "purchase", idle="1 day")
+        query = progress.writeStream.foreachBatch(lambda batch, n: runner.replace_rows(batch, n, f"{path}/rows", ["run_id"], every=3)).outputMode(
+            "update").option("checkpointLocation", f"{path}/stream").trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+        if number == 0:
+            first = state
+    assert first >= 22 and state < first / 2
+    whole = everything[0]
+    for frame in everything[1:]:
+        whole = whole.unionByName(frame)
+    want = traces.run_progress(whole, kinds, "click", "purchase")
+    got = runner.current_rows(spark, f"{path}/rows", ["run_id"])
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    folders = [f.name for f in __import__("pathlib").Path(f"{path}/rows/updates").iterdir() if f.name.startswith("batch=")]
+    assert len(folders) < len(batches) * 2
