@@ -162,10 +162,13 @@ def _matches(index: Index, weighted: DataFrame, small: bool) -> DataFrame:
     return seldom.unionByName(often)
 
 
-def _scored(index: Index, matches: DataFrame) -> DataFrame:
+def _parts(index: Index, matches: DataFrame) -> DataFrame:
     avgdl = index.stats.select("avgdl").scalar()
-    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl)
-    return matches.groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return matches.select("chunk_id", "query_id", (F.col("weight") * saturation(F.col("tf"), F.col("dl"), avgdl)).alias("part"))
+
+
+def _scored(index: Index, matches: DataFrame) -> DataFrame:
+    return _parts(index, matches).groupBy("chunk_id", "query_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def bm25_scores(index: Index, queries: DataFrame, block_rows: int = QUERY_TERM_ROWS) -> DataFrame:
@@ -263,17 +266,33 @@ def index_stats(index: Index, chunks: DataFrame, vectors: DataFrame | None = Non
     )
 
 
+def _sums_of(index: Index, texts: DataFrame, column: str) -> DataFrame:
+    """``(text, chunk_id, <text>_sum)``: unrounded scores of distinct texts."""
+    terms = query_terms(texts.distinct().select(F.col(column).alias("query_id"), F.col(column).alias("text")))
+    return _parts(index, _matches(index, _weighted(index, terms), at_most(terms, QUERY_TERM_ROWS))).groupBy(
+        F.col("query_id").alias(column), "chunk_id").agg(F.sum("part").alias(f"{column}_sum"))
+
+
 def name_relevance(index: Index, chunks: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
     """Relevance of a name to a query for ``(pair_id, query, name)`` rows.
 
     The search runs over query and name together; the relevance is the relative
     score of the best of the first k hits that carries the name, else 0.
+
+    Scores add up over terms, so distinct queries and distinct names are scored once
+    each. A chunk without a word of the name scores as it does for the query, so the
+    first k of a pair are among the first k of its query and the chunks its name finds.
     """
-    pairs = durable(pairs)  # read by the search and by the comparison of names
-    queries = pairs.select(
-        F.col("pair_id").alias("query_id"), F.concat_ws(" ", "query", "name").alias("text")
-    )
-    hits = bm25_topk(index, queries, k)
+    pairs = durable(pairs)
+    by_query = durable(_sums_of(index, pairs.select("query"), "query"))
+    by_name = durable(_sums_of(index, pairs.select("name"), "name"))
+    first = best(by_query.select(F.col("query").alias("query_id"), "chunk_id", F.round("query_sum", 6).alias("score")), k)
+    leading = pairs.select("pair_id", "query", "name").join(first.select(F.col("query_id").alias("query"), "chunk_id"), "query")
+    found = pairs.select("pair_id", "query", "name").join(by_name, "name")
+    both = found.unionByName(leading.join(by_name, ["name", "chunk_id"], "left_anti"), allowMissingColumns=True)
+    score = F.round(F.coalesce("query_sum", F.lit(0.0)) + F.coalesce("name_sum", F.lit(0.0)), 6)
+    hits = top_hits(both.join(by_query, ["query", "chunk_id"], "left").select(
+        F.col("pair_id").alias("query_id"), "chunk_id", score.alias("score")), k)
     named = (
         hits.join(chunks.select("chunk_id", F.lower("name").alias("_hit")), "chunk_id")
         .join(pairs.select(F.col("pair_id").alias("query_id"), F.lower("name").alias("_wanted")), "query_id")
