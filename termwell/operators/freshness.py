@@ -77,12 +77,6 @@ def tier_route(queries: DataFrame, covered: DataFrame, fetched: DataFrame, index
     )
 
 
-def needs_fetch(queries: DataFrame, covered: DataFrame) -> DataFrame:
-    """Queries the index does not cover."""
-    done = covered.filter("is_sufficient").select("query_id")
-    return queries.join(done, "query_id", "left_anti")
-
-
 def enrichment_source(names: DataFrame, store: DataFrame, index_chunks: DataFrame, hits: DataFrame,
                       as_of: Column) -> DataFrame:
     """Where the context of each ``(name)`` comes from.

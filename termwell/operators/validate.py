@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termwell.functions.intent import detect_domains
 from termwell.functions.numbers import rounded
 from termwell.functions.patterns import matching
+from termwell.operators.scan import previous
 from termwell.vocab.query_rules import DOMAIN_RULES
 from termwell.vocab.runs import STAGES
 
@@ -118,17 +119,15 @@ def validate_search(rows: DataFrame, plans: DataFrame, max_duplicates: int = 5)
 def validate_ranking(ranked: DataFrame, max_duplicates: int = 3) -> DataFrame:
     """Duplicates and score order of ``ranked(run_id, position, name, score)``.
 
-    Neighbours are compared by joining on the dense position, which spreads a
-    ranking of any length evenly.
+    Neighbours are compared in slices, which spread a ranking of any length evenly; the ranking is computed once.
     """
-    following = ranked.select("run_id", (F.col("position") - 1).alias("position"), F.col("score").alias("_next"))
-    compared = ranked.join(following, ["run_id", "position"], "left")
+    compared = previous(ranked.select("run_id", "position", "name", "score"), ["run_id"], ["position"], ["score"])
     n = F.count(F.lit(1))
     duplicates = n - F.countDistinct(F.lower("name"))
     return compared.groupBy("run_id").agg(
         n.alias("rows"), duplicates.alias("duplicates"),
         (duplicates <= max_duplicates).alias("passed"),
-        F.coalesce(F.bool_or(F.col("_next") > F.col("score")), F.lit(False)).alias("out_of_order"),
+        F.coalesce(F.bool_or(F.col("score") > F.col("prev_score")), F.lit(False)).alias("out_of_order"),
         F.round(1.0 - duplicates / n * 0.5, 3).alias("quality_score"),
     )
 

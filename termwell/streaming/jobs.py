@@ -119,14 +119,14 @@ def stream_ingest(listing: DataFrame, path: str) -> None:
 
 
 def stream_guard(requests: DataFrame, path: str) -> None:
-    """Check requests online; good ones and rejected ones go to tables of their own."""
+    """Check requests online; good ones and rejected ones go to folders of their own, in one pass over a batch."""
 
     def split(batch: DataFrame, batch_id: int) -> None:
         row = {column: F.col(column) for column in batch.columns}
         checked = quality.check_input(batch).withColumn("invalid_field", invalid_request_field(row))
         bad = (F.col("action") == "block") | F.col("invalid_field").isNotNull()
-        replace_batch(checked.filter(~bad), batch_id, f"{path}/good")
-        replace_batch(checked.filter(bad), batch_id, f"{path}/rejected")
+        sided = checked.withColumn("side", F.when(F.coalesce(bad, F.lit(False)), "rejected").otherwise("good"))
+        sided.write.mode("overwrite").partitionBy("side").parquet(f"{path}/requests/batch={batch_id}")
 
     each_batch(requests, split, path)
 
