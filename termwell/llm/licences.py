@@ -37,7 +37,8 @@ from termwell.llm.registry import query
 LEAST_MATCH = 3
 GAP = 8
 COVERED = 0.6
-SHORT = 10
+SHORT = 20
+MOST_TEMPLATE_WORDS = 2_000_000
 HALF_SCORE_WORDS = 4.0
 
 # Base phrases and their labels.
@@ -69,7 +70,28 @@ TEMPLATES = {
         following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
         conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
         list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution."""],
+        distribution.""",
+            """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+        OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""],
+    "bsd-3-clause": ["""Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission."""],
+    "zlib": ["""This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+        but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+        the original software. This notice may not be removed or altered from any source distribution."""],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0",
+                """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+        and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+        Software is furnished to do so, all subject to the following:"""],
     "isc": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies."""],
     "gpl-notice": ["This work is licensed under the GNU General Public License, version 3",
@@ -79,6 +101,21 @@ TEMPLATES = {
                    """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
         details."""],
+    "lgpl-notice": ["""This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.""", "Licensed under the GNU Lesser General Public License"],
+    "agpl-notice": ["""This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version.""", "Licensed under the GNU Affero General Public License"],
+    "epl-2.0": ["""This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0""", "Licensed under the Eclipse Public License"],
+    "eupl-1.2": ["Licensed under the European Union Public Licence"],
+    "artistic-2.0": ["""This library is free software; you may redistribute it and/or modify it under the terms of the Artistic
+        License 2.0""", "Licensed under the Artistic License 2.0"],
+    "ofl-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "wtfpl": ["Do What The Fuck You Want To Public License"],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+                "Licensed under CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication"],
     "mpl-2.0": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
         not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -86,6 +123,8 @@ TEMPLATES = {
                  "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0",
                  "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0",
+                 "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -289,9 +328,32 @@ def _scanned(texts: pa.Array) -> pa.Array:
     return pa.array([scanner().scan(text) for text in texts.to_pylist()], _ARROW_SCAN)
 
 
-def with_licences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with the fields of ``SCAN_TYPE``, ``spans`` with their words included."""
-    found = docs.drop(*SCAN_TYPE.fieldNames()).withColumn("_licences", F.arrow_udf(_scanned, SCAN_TYPE)(F.col(text)))
+def scanner_of(templates: DataFrame) -> Scanner:
+    """A scanner of the base phrases and a table ``(label, template)`` of at most ``MOST_TEMPLATE_WORDS`` words."""
+    rows = templates.select("label", "template").filter("label IS NOT NULL AND template IS NOT NULL").distinct()
+    words = rows.agg(F.sum(F.size(F.split("template", r"\s+")))).first()[0] or 0
+    if words > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"{words} words of templates are more than an executor should hold")
+    by_label: dict[str, list[str]] = {}
+    for label, template in sorted(map(tuple, rows.collect())):
+        if len(words_of(template)):
+            by_label.setdefault(label, []).append(template)
+    return Scanner(PHRASES, by_label)
+
+
+def with_licences(docs: DataFrame, text: str = "text", templates: DataFrame | None = None) -> DataFrame:
+    """The rows with the fields of ``SCAN_TYPE``, ``spans`` with their words included.
+
+    ``templates(label, template)`` replaces the public notices above.
+    """
+    scan = _scanned
+    if templates is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(scanner_of(templates))
+
+        def scan(texts: pa.Array) -> pa.Array:
+            return pa.array([shared.value.scan(value) for value in texts.to_pylist()], _ARROW_SCAN)
+
+    found = docs.drop(*SCAN_TYPE.fieldNames()).withColumn("_licences", F.arrow_udf(scan, SCAN_TYPE)(F.col(text)))
     return found.select("*", "_licences.*").drop("_licences")
 
 

@@ -114,3 +114,37 @@ def test_training_pieces_are_spread_over_the_text(spark):
         found = [r[0] if isinstance(r[0], str) or r[0] is None else bytes(r[0]).decode() for r in df.select(spread_pieces(column, 80)).collect()]
         assert found[:3] == texts[:3] and found[4] is None
         assert len(found[3]) == 80 and found[3].startswith("a" * 10) and found[3].endswith("j" * 10) and len(set(found[3])) >= 7
+
+
+def test_templates_from_a_table(spark):
+    docs = spark.createDataFrame([(1, "intro: house rules forbid all copying of these pages by anyone. end"), (2, "Licensed under CC BY 4.0"), (3, None)], "doc_id long, text string")
+    templates = spark.createDataFrame([("house", "House rules forbid all copying of these pages by anyone"), ("none", None), (None, "x y z"), ("empty", "...")], "label string, template string")
+    found = {r.doc_id: (r.labels, r.base_labels) for r in with_licences(docs, templates=templates).collect()}
+    assert found == {1: ("house", ""), 2: ("cc-by", "cc-by"), 3: ("", "")}
+
+
+def test_kin_licences_are_told_apart():
+    for label, words in (("lgpl-notice", "Lesser"), ("agpl-notice", "Affero")):
+        found = scanner().scan(f"This file is licensed under the GNU {words} General Public License.")["labels"].split(",")
+        assert label in found and not {"lgpl-notice", "agpl-notice"} - {label} & set(found)
+    by = scanner().scan("This work is licensed under a Creative Commons Attribution 4.0 International License")["labels"]
+    assert by == "cc-by"
+
+
+def test_scores_equal_plain_compression(spark):
+    """The score of a text recomputed step by step from the model's dictionaries and weights."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
+        content, dict_type=zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT)) for content, raw in (model.good, model.bad)]
+    for r in with_quality(docs, model).limit(40).collect():
+        data = (r.text or "").encode()
+        if not data:
+            assert r.score == model.empty
+            continue
+        good, bad = (sum(len(p.compress(data[k:k + 512])) for k in range(0, len(data), 512)) for p in packers)
+        a, b = np.clip([(bad - good) / max(good, bad), np.log(min(good, bad) / len(data))], model.low, model.high)
+        z = model.weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(model.weights[1:], (a, b, b * b), model.mean, model.scale, strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9

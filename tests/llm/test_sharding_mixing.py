@@ -171,3 +171,18 @@ def test_rows_without_size_are_placed_too(spark, sizes):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(5))
     if len(sizes) == 50:
         assert max(map(len, slots.values())) <= 11
+
+
+def test_shards_equal_a_plain_placement(spark):
+    """Running bytes in the order of the text's hash, in equal parts; no group is hot."""
+    df = spark.createDataFrame([(k, f"text number {k % 350} " * (1 + k % 7)) for k in range(700)] + [(900, None), (901, "")], "doc_id long, text string")
+    rows = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("size")).collect()
+    total, upto, expected = sum(r["size"] for r in rows), 0, {}
+    by_hash = defaultdict(list)
+    for r in rows:
+        by_hash[r["h"]].append(r)
+    for h in sorted(by_hash):
+        upto += sum(r["size"] for r in by_hash[h])
+        expected.update({r["doc_id"]: (upto - 1) * 6 // total for r in by_hash[h]})
+    found = assign_shards(df, shards=6, group_share=1.0).collect()
+    assert {r.doc_id: r.shard for r in found} == expected
