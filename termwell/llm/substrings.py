@@ -42,6 +42,7 @@ WINDOW = 20
 ANCHOR = 10
 SHARD_WORDS = 500_000
 HEAVY = 50_000
+ANCHOR_BITS = 128  # of a filter per anchor that stands twice, as far as its size allows
 LAST = (1 << 63) - 1
 
 
@@ -215,10 +216,23 @@ def sequence_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> l
     return [flat[k:k + 16] for k in range(0, len(flat), 16)]
 
 
-def _segments(shared):
-    """The segments of each document whose anchor may stand twice."""
+def _holding(shared):
+    """The documents with an anchor that may stand twice."""
+    def hold(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(one.as_buffer(), np.int64) for one in batch.column("anchors")]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            held = np.unique(owner[may_hold(shared.value, np.concatenate(found))]) if found else owner
+            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(held))})
+
+    return hold
+
+
+def _segments(shared, holding):
+    """The segments of each document whose anchor may stand twice; other documents are not hashed again."""
     def segments(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(holding.value, batch.column("doc_id").to_numpy())))
             anchors, keys, docs, begins, sizes, pieces = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = (text.as_py() or "").encode()
@@ -332,7 +346,9 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", h
         read = stored(docs.mapInArrow(_read, "doc_id long, n_words long, whole string, anchors binary"), "read")
         anchors = read.select("anchors").mapInArrow(_anchor_rows, "anchor long")
         twice = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared-anchors")
-        segments = stored(docs.mapInArrow(_segments(send(bit_filter(twice, "anchor"))), SEGMENT), "segments")
+        shared = send(bit_filter(twice, "anchor", bits_per_key=ANCHOR_BITS))
+        holding = read.select("doc_id", "anchors").mapInArrow(_holding(shared), "doc_id long")
+        segments = stored(docs.mapInArrow(_segments(shared, send(bit_filter(holding, "doc_id", bits_per_key=ANCHOR_BITS))), SEGMENT), "segments")
         spans = stored(_repeats(segments, heavy_above), "spans")
         per_doc = stored(spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "document-spans")
         texts = docs.mapInArrow(_packed(send(bit_filter(per_doc, "doc_id"))), "doc_id long, packed binary")
