@@ -53,7 +53,7 @@ MIDDLE_BUCKET = 64
 QUARTERS = 4
 RANDOM_ROUNDS = 2
 ROWS_PER_TASK = 20_000
-MOST_MERGED = 8
+MOST_MERGED = 32
 LEAST_AGREE = 76
 COUNTERS = 1 << 20
 BLOCK_ROWS = 1000
@@ -234,10 +234,10 @@ def connected(links: DataFrame) -> DataFrame:
     labels = stored(_dealt(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), n), "labels")
     while True:
         own = labels.select("a", "label", F.col("label").alias("old"))
-        near = _dealt(both.join(labels.select(F.col("a").alias("b"), "label"), "b"), n).select(
+        near = _dealt(both.join(_light(labels.select(F.col("a").alias("b"), "label"), n), "b"), n).select(
             "a", "label", F.lit(None).cast("long").alias("old"))
         lowest = _dealt(own.union(near).groupBy("a").agg(F.min("label").alias("next"), F.max("old").alias("old")), n)
-        jumped = lowest.join(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), "next", "left")
+        jumped = lowest.join(_light(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), n), "next", "left")
         after = stored(_dealt(jumped, n).select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"), "old"), "labels")
         labels = after.select("a", "label")
         if after.filter("label <> old").limit(1).count() == 0:
@@ -247,12 +247,27 @@ def connected(links: DataFrame) -> DataFrame:
 def _dealt(df: DataFrame, rows: int) -> DataFrame:
     """The frame in tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds stay cheap.
 
-    A task takes over ``MOST_MERGED`` shuffle partitions at most: what each of them sorts stays in memory until the task ends.
+    A task takes over ``MOST_MERGED`` shuffle partitions at most, and their joins are ``_light``.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.coalesce(max(1, -(-rows // ROWS_PER_TASK), -(-partitions // MOST_MERGED)))
 
 
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """The frame shuffled to tasks of about ``ROWS_PER_TASK``, where joins on several columns are too heavy to be merged."""
+    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    return df.repartition(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _light(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join of so many rows, hashed if that leaves partitions small.
+
+    Sorted joins keep their buffers to the end of a task, too many for one that takes over many partitions.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if rows <= ROWS_PER_TASK * partitions else df
+
+
 def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
     """Pairs (a, b) of texts of different classes that this round compares, each once."""
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -357,9 +372,10 @@ def _rare_pairs(buckets: DataFrame, classes: DataFrame | None, sets: DataFrame)
         return None
     held = stored(sets.mapInArrow(_held(send(bit_filter(open_, "rep"))), sets.schema).join(open_, "rep", "left_semi"), "open-shingles")
     counts = np.zeros(COUNTERS, np.int64)
-    for row in held.mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row["counter"]] = row["n"]
-    prefixes = stored(held.mapInArrow(_prefixed(send(counts)), "rep long, item long, before double").join(open_, "rep"), "prefixes")
+    with small_batches(buckets.sparkSession):
+        counted = held.mapInArrow(_counted, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+        counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+        prefixes = stored(held.mapInArrow(_prefixed(send(counts)), "rep long, item long, before double").join(open_, "rep"), "prefixes")
     # With a share of more than half of what both may lack before it, a shingle meets only such as have less.
     early = 1.0 - 2.0 / (1.0 + 1.0 / THRESHOLD) + 1e-9
     per_class = prefixes.groupBy("item", "class").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("before"))
@@ -399,7 +415,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     def both(pairs: DataFrame, of: DataFrame, n_pairs: int) -> DataFrame:
         named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
-        return _dealt(_dealt(pairs.join(named("a"), "a"), 10 * n_pairs).join(named("b"), "b"), 10 * n_pairs)
+        first = _dealt(_light(pairs, n_pairs).join(named("a"), "a"), 10 * n_pairs)
+        return _dealt(_light(first, n_pairs).join(named("b"), "b"), 10 * n_pairs)
 
     def similar(pairs: DataFrame, n_pairs: int) -> DataFrame:
         close = stored(both(pairs, members.select("rep", "sketch"), n_pairs).filter(
@@ -415,7 +432,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         pairs = _candidates(buckets, classes, number)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(_dealt(pairs, n_buckets), "pairs")
+        pairs = stored(_gathered(pairs, n_buckets), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         n_pairs = pairs.count()
         if not n_pairs:
