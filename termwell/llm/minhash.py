@@ -53,7 +53,6 @@ MIDDLE_BUCKET = 64
 QUARTERS = 4
 RANDOM_ROUNDS = 2
 ROWS_PER_TASK = 20_000
-MOST_MERGED = 32
 LEAST_AGREE = 76
 COUNTERS = 1 << 20
 BLOCK_ROWS = 1000
@@ -234,10 +233,9 @@ def connected(links: DataFrame) -> DataFrame:
     labels = stored(_dealt(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), n), "labels")
     while True:
         own = labels.select("a", "label", F.col("label").alias("old"))
-        near = _dealt(both.join(_light(labels.select(F.col("a").alias("b"), "label"), n), "b"), n).select(
-            "a", "label", F.lit(None).cast("long").alias("old"))
-        lowest = _dealt(own.union(near).groupBy("a").agg(F.min("label").alias("next"), F.max("old").alias("old")), n)
-        jumped = lowest.join(_light(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), n), "next", "left")
+        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label", F.lit(None).cast("long").alias("old"))
+        lowest = own.union(near).groupBy("a").agg(F.min("label").alias("next"), F.max("old").alias("old"))
+        jumped = lowest.join(labels.select(F.col("a").alias("next"), F.col("label").alias("beyond")), "next", "left")
         after = stored(_dealt(jumped, n).select("a", F.least("next", F.coalesce("beyond", "next")).alias("label"), "old"), "labels")
         labels = after.select("a", "label")
         if after.filter("label <> old").limit(1).count() == 0:
@@ -245,29 +243,14 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _dealt(df: DataFrame, rows: int) -> DataFrame:
-    """The frame in tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds stay cheap.
+    """The frame shuffled to tasks of about ``ROWS_PER_TASK`` of so many rows, so that small rounds write few files.
 
-    A task takes over ``MOST_MERGED`` shuffle partitions at most, and their joins are ``_light``.
+    Merging the partitions of a join into one task would keep the buffers of all of them to its end.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK), -(-partitions // MOST_MERGED)))
-
-
-def _gathered(df: DataFrame, rows: int) -> DataFrame:
-    """The frame shuffled to tasks of about ``ROWS_PER_TASK``, where joins on several columns are too heavy to be merged."""
     tasks = max(1, -(-rows // ROWS_PER_TASK))
     return df.repartition(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def _light(df: DataFrame, rows: int) -> DataFrame:
-    """A side of a join of so many rows, hashed if that leaves partitions small.
-
-    Sorted joins keep their buffers to the end of a task, too many for one that takes over many partitions.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.hint("shuffle_hash") if rows <= ROWS_PER_TASK * partitions else df
-
-
 def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
     """Pairs (a, b) of texts of different classes that this round compares, each once."""
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
@@ -413,26 +396,25 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     members = stored(texts.select("rep", "doc_id", "sketch").join(buckets.select("rep").distinct(), "rep", "left_semi"), "members")
     sets = None
 
-    def both(pairs: DataFrame, of: DataFrame, n_pairs: int) -> DataFrame:
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
         named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
-        first = _dealt(_light(pairs, n_pairs).join(named("a"), "a"), 10 * n_pairs)
-        return _dealt(_light(first, n_pairs).join(named("b"), "b"), 10 * n_pairs)
+        return pairs.join(named("a"), "a").join(named("b"), "b")
 
     def similar(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        close = stored(both(pairs, members.select("rep", "sketch"), n_pairs).filter(
-            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), "close")
+        close = stored(_dealt(both(pairs, members.select("rep", "sketch")).filter(
+            _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), n_pairs), "close")
         # Only sets of texts in these pairs are shuffled.
         ends = send(bit_filter(close.select(F.explode(F.array("a", "b")).alias("rep")), "rep"))
         with small_batches(spark):
-            return stored(both(close, sets.mapInArrow(_held(ends), sets.schema), close.count()).filter(
-                _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), "similar")
+            return stored(_dealt(both(close, sets.mapInArrow(_held(ends), sets.schema)).filter(
+                _similarity("items_a", "counts_a", "items_b", "counts_b") >= THRESHOLD).select("a", "b"), close.count()), "similar")
 
     tried, links, classes, n_buckets = None, None, None, buckets.count()
     for number in range(RANDOM_ROUNDS + 2):
         pairs = _candidates(buckets, classes, number)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(_gathered(pairs, n_buckets), "pairs")
+        pairs = stored(_dealt(pairs, n_buckets), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         n_pairs = pairs.count()
         if not n_pairs:
