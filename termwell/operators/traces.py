@@ -262,7 +262,7 @@ def breaker_states(calls: DataFrame, threshold: int = rules.FAILURE_THRESHOLD,
         SLICE, "agent", *order, "failed", "t", before.alias("before"),
         F.when(F.col("failed"), F.col("place") - success).otherwise(F.lit(0)).alias("in_a_row"))
 
-    triggers = rows.filter(F.col("in_a_row") >= threshold).select("agent", "t", "call_id")
+    triggers = durable(rows.filter(F.col("in_a_row") >= threshold).select("agent", "t", "call_id"))
     anchors = ttl_anchors(triggers, "agent", F.col("t"), recovery, group_rows)
     opening = durable(triggers.join(anchors.withColumnRenamed("anchor", "t"), ["agent", "t"]).groupBy("agent", "t").agg(
         F.min("call_id").alias("call_id"), F.lit(True).alias("opens")))
