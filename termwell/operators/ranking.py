@@ -177,9 +177,12 @@ def sort_key(mode: Column, row: dict[str, Column]) -> Column:
     return F.struct(number.alias("number"), text.alias("text"))
 
 
-def match_reasons(row: dict[str, Column], query: Column, relevance: Column, sort_by: Column) -> Column:
-    """Why a row was returned, as texts."""
-    asked = F.lower(query)
+def match_reasons(row: dict[str, Column], query: Column, relevance: Column, sort_by: Column, asked: Column | None = None) -> Column:
+    """Why a row was returned, as texts.
+
+    ``asked`` is the query in lower case, for callers that have it once for many rows; else every word looked for lowers the query again.
+    """
+    asked = F.lower(query) if asked is None else asked
 
     def asked_for(values: Column) -> Column:
         return F.exists(values, lambda value: F.contains(asked, value))

@@ -165,8 +165,9 @@ _REASONS = """CASE WHEN contains(lower(q), lower(region)) OR len(list_filter(cou
 @query("match_reasons", f"""{ctes('listing', 'requests', 'offers')}, offered AS (SELECT r.query_id, r.query AS q, r.sort_by, l.* FROM requests r JOIN offers o USING (query_id) JOIN listing l USING (ord))
 SELECT query_id, ord, coalesce(nullif(concat_ws('; ', {_REASONS}), ''), 'Relevance match for: ' || substr(q, 1, 50)) AS reasons FROM offered""")
 def match_reasons(spark, sf):
-    offered = search.offered_rows(spark, sf).join(frame(spark, sf, "requests").select("query_id", "query", "sort_by"), "query_id")
-    reasons = K.match_reasons(_row("region", "countries", "category", "tags"), F.col("query"), F.col("score"), F.col("sort_by"))
+    requests = frame(spark, sf, "requests").select("query_id", "query", "sort_by", F.lower("query").alias("asked"))
+    offered = search.offered_rows(spark, sf).join(requests, "query_id")
+    reasons = K.match_reasons(_row("region", "countries", "category", "tags"), F.col("query"), F.col("score"), F.col("sort_by"), F.col("asked"))
     return offered.select("query_id", "ord", F.array_join(reasons, "; ").alias("reasons"))
 
 
