@@ -20,11 +20,12 @@ from termwell.session import durable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RRF_K = 60
-QUERY_VECTOR_ROWS = 8_192  # queries that meet a slice at once
-SLICE_ROWS = 8_192  # vectors of a cell that meet them
+QUERY_VECTOR_ROWS = 32_768  # queries that meet a slice at once
+SLICE_ROWS = 65_536  # vectors of a cell that meet them
 QUERY_BLOCK = 512
+PRODUCTS = 1 << 23  # cosines computed at once
 CENTRES = 1_024
-CELL_ROWS = 1_024
+CELL_ROWS = 32_768  # a query travels once to each cell it views, a vector once to each block of queries
 CENTRE_SAMPLE = 16
 CENTRE_ROUNDS = 4
 SLACK = 2e-6  # covers the rounding of scores
@@ -49,18 +50,23 @@ def _unit_rows(column: pa.Array, count: int) -> np.ndarray:
     return matrix / np.where(lengths == 0, 1e-9, lengths)
 
 
-def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns' ids and scores of the k best of each row (highest score, then lowest id); sorts only what can be among them."""
-    if scores.shape[1] > k:
-        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rows, columns = np.nonzero(scores >= least[:, None])
-    else:
-        rows, columns = (part.ravel() for part in np.indices(scores.shape))
-    order = np.lexsort((ids[columns], -scores[rows, columns], rows))
-    rows, columns = rows[order], columns[order]
+def _best_of(ids: np.ndarray, cosines: np.ndarray, reached: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns' ids and rounded scores of the k best of each row (highest score, then lowest id), of those that
+    reach a score (-2: any); rounds and sorts only what can be among them."""
+    least = reached - SLACK
+    any_ = np.flatnonzero(reached < -1)
+    if len(any_) and cosines.shape[1] > k:
+        least[any_] = -np.partition(-cosines[any_], k - 1, axis=1)[:, k - 1] - SLACK
+    among = cosines >= least[:, None]
+    if cosines.shape[1] <= k:
+        among[any_] = True
+    rows, columns = np.nonzero(among)
+    scores = np.round(cosines[rows, columns], 6)
+    order = np.lexsort((ids[columns], -scores, rows))
+    rows, columns, scores = rows[order], columns[order], scores[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    rows, columns = rows[place < k], columns[place < k]
-    return rows, ids[columns], scores[rows, columns]
+    kept = place < k
+    return rows[kept], ids[columns[kept]], scores[kept]
 
 
 @dataclass
@@ -122,12 +128,14 @@ def _as_lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _views(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``(query_id, u, cell, most, first)``: each query with every cell that may hold one of its k best.
+def _views(queries: DataFrame, cells: Cells, k: int, first_only: bool = False) -> DataFrame:
+    """``(query_id, u, reached, cell, first)``: each query with every cell that may hold one of its k best.
 
     The cells in which k vectors are sure to have a cosine of some value rule out those that cannot reach it. Of the
-    rest, the most promising ones that hold k vectors together come ``first``.
+    rest, the most promising ones that hold k vectors together come ``first``. Where the queries know the score
+    ``reached`` there, only the other cells that may hold a better one are viewed.
     """
+    later = "reached" in queries.columns
     shared = queries.sparkSession.sparkContext.broadcast(cells)
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +152,18 @@ def _views(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
                 before = np.cumsum(counts[hopeful], axis=1) - counts[hopeful]
                 first = np.zeros(most.shape, bool)
                 np.put_along_axis(first, hopeful, before < k, axis=1)
-                rows, cell = np.nonzero((most > -2) & ((most >= sure[:, None] - SLACK) | first))
+                wanted = (most > -2) & ((most >= sure[:, None] - SLACK) | first)
+                reached = np.full(len(units), -2.0)
+                if later:
+                    reached = part.column("reached").fill_null(-2.0).to_numpy(zero_copy_only=False)
+                    wanted &= ~first & (most + SLACK >= reached[:, None])
+                rows, cell = np.nonzero(wanted & first if first_only else wanted)
                 yield pa.RecordBatch.from_pydict({
                     "query_id": part.column("query_id").take(pa.array(rows)), "u": _as_lists(units).take(pa.array(rows)),
-                    "cell": cell.astype(np.int32), "most": most[rows, cell], "first": first[rows, cell]})
+                    "reached": reached[rows], "cell": cell.astype(np.int32), "first": first[rows, cell]})
 
     id_type = queries.schema["query_id"].dataType.simpleString()
-    return queries.mapInArrow(view, f"query_id {id_type}, u array<double>, cell int, most double, first boolean")
+    return queries.mapInArrow(view, f"query_id {id_type}, u array<double>, reached double, cell int, first boolean")
 
 
 def _matrix(column: pa.ChunkedArray, count: int) -> np.ndarray:
@@ -168,7 +181,7 @@ def _met(placed: DataFrame, views: DataFrame, counts: np.ndarray, k: int, rows:
     left = placed.join(sizes, "cell").select(
         "cell", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).alias("slice"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "chunk_id", "u")
     right = views.join(sizes, "cell").select(
-        "cell", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "u")
+        "cell", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "u", "reached")
     keys = ["cell", "slice", "block"]
     query_type, id_type = (df.schema[c].dataType.simpleString() for df, c in ((views, "query_id"), (placed, "chunk_id")))
     empty = pa.table({"query_id": pa.array([], to_arrow_type(views.schema["query_id"].dataType)),
@@ -179,9 +192,10 @@ def _met(placed: DataFrame, views: DataFrame, counts: np.ndarray, k: int, rows:
             return empty
         units, names = _matrix(stored.column("u"), stored.num_rows), stored.column("chunk_id").combine_chunks()
         ids = np.asarray(names.to_pylist())
-        matrix, found = _matrix(asked.column("u"), asked.num_rows), []
-        for low in range(0, len(matrix), QUERY_BLOCK):
-            row, owner, score = _best_of(ids, np.round(matrix[low:low + QUERY_BLOCK] @ units.T, 6), k)
+        matrix, reached, found = _matrix(asked.column("u"), asked.num_rows), asked.column("reached").to_numpy(), []
+        step = max(1, min(QUERY_BLOCK, PRODUCTS // len(units)))
+        for low in range(0, len(matrix), step):
+            row, owner, score = _best_of(ids, matrix[low:low + step] @ units.T, reached[low:low + step], k)
             found.append(pa.table({"query_id": asked.column("query_id").take(pa.array(low + row)),
                                    "chunk_id": pa.array(owner.tolist(), names.type), "score": pa.array(score)}))
         return pa.concat_tables(found)
@@ -202,13 +216,10 @@ def dense_views(vectors: DataFrame, queries: DataFrame, k: int, cell_rows: int =
         if r["cell"] < len(centres):
             angles[r["cell"]] = np.arccos(np.clip(r["c"], -1, 1)) + SLACK
     cells = Cells(centres, counts, angles)
-    views = durable(_views(asked, cells, k))
-    found = durable(_met(placed, views.filter("first"), counts, k, rows))
+    found = durable(_met(placed, _views(asked, cells, k, first_only=True), counts, k, rows))
     reached = bm25.best(found, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("reached")).filter(
         F.col("n") == k).select("query_id", "reached")
-    more = views.filter("NOT first").join(reached, "query_id", "left").filter(
-        F.col("reached").isNull() | (F.col("most") + SLACK >= F.col("reached"))).drop("reached")
-    return placed, found, more, cells
+    return placed, found, _views(asked.join(reached, "query_id", "left"), cells, k), cells
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = QUERY_VECTOR_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -220,8 +231,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = QUERY
     key, in slices and blocks of bounded size. Null vectors take no part.
     """
     placed, found, more, cells = dense_views(vectors, queries, k, cell_rows, rows)
-    more = durable(more)
-    if more.limit(1).count():
+    if len(cells.centres) > 1 or cells.counts[-1]:
         found = found.unionByName(_met(placed, more, cells.counts, k, rows))
     return bm25.best(found, k)
 

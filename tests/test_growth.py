@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termwell.functions import text as T
-from termwell.operators import bm25
+from termwell.operators import bm25, vectors
 from termwell.operators import ranking as K
 
 CHUNK = "chunk_id long, name string, section string, region string, category string, tags array<string>, text string"
@@ -74,3 +74,15 @@ def test_question_rows_are_numbered_before_their_words(spark):
     questions = spark.createDataFrame([(1, "a b c d")], "query_id long, text string").select("query_id", T.tokens(F.col("text")).alias("words"))
     rows = spark.createDataFrame([(1, *[["a", "b"]] * 8)], "ord long, " + ", ".join(f"{f} array<string>" for f in bm25.FIELD_WEIGHTS))
     assert [tuple(r) for r in bm25.keyword_scores(offers, questions, rows).collect()] == [(1, 1, 0.5)]
+
+
+def test_vectors_travel_once_per_large_cell(spark, monkeypatch):
+    """Rows sent to the grid stay within a few per vector, as cells and blocks hold many rows."""
+    count = 4000
+    assert min(vectors.CELL_ROWS, vectors.QUERY_VECTOR_ROWS, vectors.SLICE_ROWS) >= count
+    rows = [(i, [random.Random(i * 31 + j).gauss(0, 1) for j in range(6)]) for i in range(count)]
+    stored = spark.createDataFrame(rows, "chunk_id long, v array<double>")
+    asked = stored.withColumnRenamed("chunk_id", "query_id")
+    _, _, more, cells = vectors.dense_views(stored, asked, 4)
+    first = vectors._views(asked, cells, 4, first_only=True)
+    assert first.count() + more.count() <= 2 * count
