@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from termwell.functions import text as T
-from termwell.operators import bm25, vectors
+from termwell.operators import bm25, segments, vectors
 from termwell.operators import ranking as K
+from termwell.session import run_dir
 
 CHUNK = "chunk_id long, name string, section string, region string, category string, tags array<string>, text string"
 
@@ -76,6 +77,25 @@ def test_question_rows_are_numbered_before_their_words(spark):
     assert [tuple(r) for r in bm25.keyword_scores(offers, questions, rows).collect()] == [(1, 1, 0.5)]
 
 
+def test_buckets_follow_the_words(spark, monkeypatch):
+    """A segment has more buckets the more words it holds; additions and merges mix segments of different counts."""
+    monkeypatch.setattr(segments, "BUCKET_TOKENS", 800)
+    chunks = spark.createDataFrame([(i, "n", "s", "r", "c", [], f"w{i % 9} x{i % 50} " * 4) for i in range(600)], CHUNK)
+    index = segments.open_index(spark, run_dir(spark, "test-buckets"))
+    index = segments.add(index, chunks.filter("chunk_id < 60"), buckets=2)
+    index = segments.add(index, chunks.filter("chunk_id BETWEEN 40 AND 399"), buckets=2)
+    assert [s.n_docs for s in index.segments] == [60, 340] and index.segments[0].buckets < index.segments[1].buckets
+    assert all(s.buckets * 800 >= s.total_len > s.buckets * 800 / 2 or s.buckets == 2 for s in index.segments)
+    index = segments.merge(segments.add(index, chunks, buckets=2), fanout=2)
+    assert index.n_docs == 600 and all(s.buckets * 800 >= s.total_len for s in index.segments)
+    queries = spark.createDataFrame([(1, "w3 x7"), (2, "n x49")], "query_id long, text string")
+    whole = bm25.build_index(chunks)
+    columns = ["query_id", "chunk_id", "score", "rank", "norm_score"]
+    assert sorted(map(tuple, segments.topk(index, queries).select(columns).collect())) == sorted(
+        map(tuple, bm25.bm25_topk(whole, queries).select(columns).collect()))
+    assert sorted(map(tuple, segments.stored_postings(index).collect())) == sorted(map(tuple, whole.postings.join(whole.term_df, "term").select("chunk_id", "term", "tf", "dl", "df").collect()))
+
+
 def test_vectors_travel_once_per_large_cell(spark, monkeypatch):
     """Rows sent to the grid stay within a few per vector, as cells and blocks hold many rows."""
     count = 4000
