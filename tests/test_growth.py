@@ -93,7 +93,14 @@ def test_buckets_follow_the_words(spark, monkeypatch):
     columns = ["query_id", "chunk_id", "score", "rank", "norm_score"]
     assert sorted(map(tuple, segments.topk(index, queries).select(columns).collect())) == sorted(
         map(tuple, bm25.bm25_topk(whole, queries).select(columns).collect()))
-    assert sorted(map(tuple, segments.stored_postings(index).collect())) == sorted(map(tuple, whole.postings.join(whole.term_df, "term").select("chunk_id", "term", "tf", "dl", "df").collect()))
+    assert sorted(map(tuple, segments.stored_postings(index).collect())) == sorted(map(tuple, bm25.with_df(whole.postings, whole.term_df).collect()))
+
+
+def test_counts_of_terms_sort_no_postings(spark):
+    """Counts meet postings in hashed parts; a sort would hold all postings of a part."""
+    index = bm25.build_index(spark.createDataFrame([(i, "n", "s", "r", "c", [], f"w{i % 9} x") for i in range(40)], CHUNK))
+    plan = bm25.with_df(index.postings, index.term_df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_vectors_travel_once_per_large_cell(spark, monkeypatch):
