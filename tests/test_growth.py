@@ -103,6 +103,17 @@ def test_counts_of_terms_sort_no_postings(spark):
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_scores_of_names_carry_no_texts(spark, monkeypatch):
+    """Queries and names are numbered for the scores; a pair without a query counts by its name."""
+    chunks = spark.createDataFrame([(i, f"src{i % 4}", "s", "r", "c", [], f"w{i % 3} exam") for i in range(30)], CHUNK)
+    pairs = spark.createDataFrame([(1, "exam w1", "src1"), (2, "exam w1", "src2"), (3, None, "src3"), (4, "w2", None)], "pair_id long, query string, name string")
+    seen, sums = [], bm25._sums_of
+    monkeypatch.setattr(bm25, "_sums_of", lambda *a: seen.append(sums(*a)) or seen[-1])
+    found = {r.pair_id: r.relevance for r in bm25.name_relevance(bm25.build_index(chunks), chunks, pairs).collect()}
+    assert found[1] > 0 and found[2] > 0 and found[3] == 1.0 and found[4] == 0.0
+    assert len(seen) == 2 and all(kind in ("bigint", "double") for df in seen for _, kind in df.dtypes)
+
+
 def test_vectors_travel_once_per_large_cell(spark, monkeypatch):
     """Rows sent to the grid stay within a few per vector, as cells and blocks hold many rows."""
     count = 4000
