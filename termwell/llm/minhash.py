@@ -16,9 +16,10 @@ compared with its smallest one; then, in two rounds, with a random one and with
 neighbours in a random ring, in a quarter of the buckets; then, in buckets of at most
 ``MIDDLE_BUCKET`` members, all that are still in different classes with one another. Up to
 here work per round is proportional to the members. Last,
-the members of all larger buckets that still hold several classes are joined on the
-rarest of their shingles, which finds every pair left (see ``_rare_pairs``); its work
-grows with how often these rarest shingles are shared between classes.
+the members of all larger buckets that still hold several classes meet in cells of
+the rarest of their shingles, in blocks that are compared as matrices, which finds every
+link between classes left (see ``_rare_links``). Its rows grow with the sets and the blocks of a
+cell; its arithmetic is quadratic in a cell of texts that stay just below the threshold.
 
 With 32 bands of 4, a pair at similarity 0.8 meets in no band with probability
 5e-8, and agrees in fewer than ``LEAST_AGREE`` parts with 1e-8.
@@ -56,6 +57,9 @@ ROWS_PER_TASK = 20_000
 LEAST_AGREE = 76
 COUNTERS = 1 << 20
 BLOCK_ROWS = 1000
+BLOCK_BYTES = 2 << 20
+MATRIX_ITEMS = 2048
+FEW_PAIRS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -251,7 +255,21 @@ def _dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
+def _close_pairs(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different classes whose signatures agree, from the lists of members of small buckets."""
+    for batch in batches:
+        found = [np.zeros((0, 2), np.int64)]
+        for members in batch.column("m"):
+            reps, classes, sketches = members.values.flatten()
+            reps, classes, sketches = reps.to_numpy(), classes.to_numpy(), _rows(sketches, COMPONENTS)
+            i, j = np.nonzero(np.triu(classes[:, None] != classes[None, :]))
+            near = (sketches[i] == sketches[j]).sum(axis=1) >= LEAST_AGREE
+            found.append(np.stack([reps[i[near]], reps[j[near]]], axis=1))
+        pairs = np.concatenate(found)
+        yield pa.record_batch({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+
+def _candidates(buckets: DataFrame, members: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
     """Pairs (a, b) of texts of different classes that this round compares, each once."""
     pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     if classes is None:
@@ -267,12 +285,9 @@ def _candidates(buckets: DataFrame, classes: DataFrame | None, number: int) -> D
         F.min(F.struct(turn.alias("turn"), F.col("rep"), F.col("class"))).alias("hub")).filter("low < high").select(
         "bucket", "n", F.col("hub.rep").alias("hub"), F.col("hub.class").alias("hub_class"))
     if exhaustive:
-        lists = rows.join(about.filter(F.col("n") <= MIDDLE_BUCKET).select("bucket"), "bucket").groupBy("bucket").agg(
-            F.sort_array(F.collect_list(F.struct("rep", "class"))).alias("m"))
-        every = lists.select(F.explode(F.expr(
-            "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.class <> x.class), "
-            "y -> named_struct('a', x.rep, 'b', y.rep))))")).alias("p"))
-        return every.select(*pair("p.a", "p.b")).distinct()
+        few = rows.join(about.filter(F.col("n") <= MIDDLE_BUCKET).select("bucket"), "bucket").join(members.select("rep", "sketch"), "rep")
+        lists = few.groupBy("bucket").agg(F.collect_list(F.struct("rep", "class", "sketch")).alias("m"))
+        return lists.select("m").mapInArrow(_close_pairs, "a long, b long").distinct()
     # A ring is drawn in blocks of the random order, so that no bucket has to meet in one task.
     joined = rows.join(about, "bucket").withColumn("turn", turn)
     after = W.partitionBy("bucket", "block").orderBy("turn", "rep")
@@ -339,11 +354,88 @@ def _among_items(wanted):
     return hold
 
 
-def _rare_pairs(buckets: DataFrame, classes: DataFrame | None, sets: DataFrame) -> DataFrame | None:
-    """Pairs (a, b) of different classes among the members of large buckets: all that can be similar.
+def shared_weights(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of one list (rows) and of the other (columns), their weights on the shingles they share.
 
-    For each shingle, rows of its commonest class meet only rows of other classes, so that
-    a large class is not joined with itself.
+    Shingles that few pairs share are added pair by pair, the others by products of matrices over some of them at a time.
+    """
+    items = [np.concatenate([s[0] for s in side]) for side in (left, right)]
+    shared = np.intersect1d(*items)
+    sides = []
+    for side, item in zip((left, right), items, strict=True):
+        code = np.minimum(np.searchsorted(shared, item), max(len(shared) - 1, 0))
+        hit = np.flatnonzero(shared[code] == item) if len(shared) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(code[hit], kind="stable")]
+        row = np.repeat(np.arange(len(side)), [len(s[0]) for s in side])[hit]
+        sides.append((code[hit], row, np.concatenate([s[1] for s in side])[hit].astype(np.float64)))
+    (code_l, row_l, weight_l), (code_r, row_r, weight_r) = sides
+    shape = len(left), len(right)
+    often = np.bincount(code_r, minlength=len(shared))
+    few = np.bincount(code_l, minlength=len(shared)) * often <= FEW_PAIRS
+    rare = np.flatnonzero(few[code_l])
+    times = often[code_l[rare]]
+    first = np.searchsorted(code_r, code_l[rare])
+    at_l = np.repeat(rare, times)
+    at_r = np.arange(len(at_l)) + np.repeat(first - (np.cumsum(times) - times), times)
+    pair = row_l[at_l] * shape[1] + row_r[at_r]
+    mine, theirs = (np.bincount(pair, weight, shape[0] * shape[1]).reshape(shape).astype(np.float64) for weight in (weight_l[at_l], weight_r[at_r]))
+    flat = (weight_l == 1).all() and (weight_r == 1).all()
+    dense = np.flatnonzero(~few)
+    for start in range(0, len(dense), MATRIX_ITEMS):
+        part = dense[start:start + MATRIX_ITEMS]
+        matrices = []
+        for n, (code, row, weight) in zip(shape, sides, strict=True):
+            span = slice(*np.searchsorted(code, [part[0], part[-1] + 1]))
+            span = np.arange(span.start, span.stop)[~few[code[span]]]
+            matrix = np.zeros((n, len(part)), np.float32 if flat else np.float64)
+            matrix[row[span], np.searchsorted(part, code[span])] = weight[span]
+            matrices.append(matrix)
+        x, y = matrices
+        product = x @ (y > 0).astype(x.dtype).T
+        mine += product
+        theirs += product if flat else (x > 0).astype(x.dtype) @ y.T
+    return mine, theirs
+
+
+def block_links(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between the classes of two blocks of sets, ``lo`` and ``hi``, or inside one.
+
+    Pairs that the bound of ``rare_prefix`` leaves are verified one by one. A link between classes
+    that others have joined here adds nothing, so there are fewer links than classes.
+    """
+    block, lo, hi = (rows.column(c).to_numpy() for c in ("block", "lo", "hi"))
+    rep, of = rows.column("rep").to_numpy(), rows.column("class").to_numpy()
+    sets = [_loaded(x, n) for x, n in zip(rows.column("items"), rows.column("counts"), strict=True)]
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    joined: dict[int, int] = {}
+    links = []
+
+    def top(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    if len(left) and len(right):
+        mine, theirs = shared_weights([sets[k] for k in left], [sets[k] for k in right])
+        total = [np.array([sets[k][1].sum() for k in side], np.float64) for side in (left, right)]
+        with np.errstate(divide="ignore"):
+            near = total[0][:, None] / mine + total[1][None, :] / theirs <= 1.0 + 1.0 / THRESHOLD + 1e-9
+        for i, j in zip(*np.nonzero(near & (of[left][:, None] != of[right][None, :])), strict=True):
+            one, other = left[i], right[j]
+            p, q = top(int(of[one])), top(int(of[other]))
+            if p != q and probability_jaccard(sets[one], sets[other]) >= THRESHOLD:
+                joined[max(p, q)] = min(p, q)
+                links.append(sorted((int(rep[one]), int(rep[other]))))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _rare_links(buckets: DataFrame, classes: DataFrame | None, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) that join all classes with a similar pair among the members of large buckets.
+
+    Similar sets share a rare shingle and meet in its cell. Shingles share the cell of the shingle that their
+    sets most often have as their commonest, so that a set visits few cells. A cell's sets are dealt to
+    blocks, which meet pairwise; sets of its commonest class meet only sets of other classes. Pairs of
+    sets are never rows: a cell of n sets sends each to some n / ``BLOCK_ROWS`` meetings.
     """
     send = buckets.sparkSession.sparkContext.broadcast
     classed = buckets if classes is None else buckets.join(classes, "rep", "left")
@@ -361,22 +453,32 @@ def _rare_pairs(buckets: DataFrame, classes: DataFrame | None, sets: DataFrame)
         prefixes = stored(held.mapInArrow(_prefixed(send(counts)), "rep long, item long, before double").join(open_, "rep"), "prefixes")
     # With a share of more than half of what both may lack before it, a shingle meets only such as have less.
     early = 1.0 - 2.0 / (1.0 + 1.0 / THRESHOLD) + 1e-9
-    per_class = prefixes.groupBy("item", "class").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("before"))
-    shared = stored(per_class.groupBy("item").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.max_by("class", "n").alias("top"), F.sum("n").alias("n"),
-        F.max("n").alias("most"), F.min("before").alias("least")).filter((F.col("low") < F.col("high")) & (F.col("least") <= early)).select(
-        "item", "top", F.ceil((F.col("n") - F.col("most") + 1) / F.lit(BLOCK_ROWS)).alias("blocks")), "shared")
+    shared = stored(prefixes.groupBy("item").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.min("before").alias("least")).filter((F.col("low") < F.col("high")) & (F.col("least") <= early)).select("item", "n", "least"), "shared")
     if shared.limit(1).count() == 0:
         return None
-    rows = stored(prefixes.mapInArrow(_among_items(send(bit_filter(shared, "item"))), prefixes.schema).join(shared, "item"), "shared-rows")
-    minor = rows.filter("class <> top").select(
-        "item", F.col("rep").alias("a"), F.col("class").alias("class_a"), F.col("before").alias("before_a"),
-        F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
-    other = rows.select("item", F.col("rep").alias("b"), F.col("class").alias("class_b"), F.col("before").alias("before_b"),
-                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    met = [minor.filter(x).join(other.filter(y), ["item", "block"]).filter("class_a <> class_b").filter(_near_enough("before_a", "before_b"))
-           for x, y in ((F.col("before_a") <= early, F.lit(True)), (F.col("before_a") > early, F.col("before_b") <= early))]
-    return met[0].union(met[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = stored(prefixes.mapInArrow(_among_items(send(bit_filter(shared, "item"))), prefixes.schema).join(shared, "item").filter(
+        _near_enough("before", "least")).select("item", "n", "rep", "class"), "shared-rows")
+    heads = rows.groupBy("rep").agg(F.max_by("item", F.struct("n", "item")).alias("head"))
+    votes = rows.join(heads, "rep").groupBy("item", "head").agg(F.count(F.lit(1)).alias("n"))
+    cells = votes.groupBy("item").agg(F.max_by("head", F.struct("n", "head")).alias("cell"))
+    placed = stored(rows.join(cells, "item").select("cell", "rep", "class").distinct().join(
+        held.select("rep", F.length("items").alias("size")), "rep"), "cells")
+    parts = lambda n, size: F.ceil(F.greatest(n / F.lit(BLOCK_ROWS), size / F.lit(BLOCK_BYTES)))
+    about = placed.groupBy("cell", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).groupBy("cell").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "class", "size")).alias("most")).filter(
+        F.col("n") > F.col("most.n")).select(
+        "cell", F.col("most.class").alias("top"), parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("minor"),
+        parts(F.col("most.n"), F.col("most.size")).alias("major"))
+    turn, is_top = F.xxhash64("rep"), F.col("class") == F.col("top")
+    dealt = placed.join(about, "cell").select(
+        "cell", "rep", "class", F.when(is_top, F.col("minor") + F.pmod(turn, "major")).otherwise(F.pmod(turn, "minor")).alias("block"),
+        (F.when(is_top, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1).alias("last"))
+    meeting = dealt.join(held.select("rep", "items", "counts"), "rep").withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select(
+        "cell", "block", "rep", "class", "items", "counts", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return stored(meeting.groupBy("cell", "lo", "hi").applyInArrow(block_links, "a long, b long").distinct(), "similar")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,9 +502,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         named = lambda end: of.select(*[F.col(c).alias(end if c == "rep" else f"{c}_{end}") for c in of.columns])
         return pairs.join(named("a"), "a").join(named("b"), "b")
 
-    def similar(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        close = stored(_dealt(both(pairs, members.select("rep", "sketch")).filter(
+    def close_ones(pairs: DataFrame, n_pairs: int) -> DataFrame:
+        return stored(_dealt(both(pairs, members.select("rep", "sketch")).filter(
             _agreeing("sketch_a", "sketch_b") >= LEAST_AGREE).select("a", "b"), n_pairs), "close")
+
+    def similar(close: DataFrame) -> DataFrame:
         # Only sets of texts in these pairs are shuffled.
         ends = send(bit_filter(close.select(F.explode(F.array("a", "b")).alias("rep")), "rep"))
         with small_batches(spark):
@@ -411,10 +515,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     tried, links, classes, n_buckets = None, None, None, buckets.count()
     for number in range(RANDOM_ROUNDS + 2):
-        pairs = _candidates(buckets, classes, number)
+        pairs = _candidates(buckets, members, classes, number)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(_dealt(pairs, n_buckets), "pairs")
+        with small_batches(spark):
+            pairs = stored(_dealt(pairs, n_buckets), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         n_pairs = pairs.count()
         if not n_pairs:
@@ -426,18 +531,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             with small_batches(spark):
                 sets = stored(docs.mapInArrow(_shingled(speaking), "rep long, items binary, counts binary")
                               .dropDuplicates(["rep"]).join(members.select("rep"), "rep", "left_semi"), "shingles")
-        fresh = similar(pairs, n_pairs)
+        fresh = similar(pairs if number > RANDOM_ROUNDS else close_ones(pairs, n_pairs))
         if fresh.limit(1).count() > 0:
             links = fresh if links is None else links.union(fresh)
             classes = connected(links)
         elif classes is None:
             classes = connected(fresh)
-    pairs = _rare_pairs(buckets, classes, sets) if sets is not None else None
-    if pairs is not None:
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        fresh = similar(pairs, pairs.count())
-        if fresh.limit(1).count() > 0:
-            classes = connected(fresh if links is None else links.union(fresh))
+    fresh = _rare_links(buckets, classes, sets) if sets is not None else None
+    if fresh is not None and fresh.limit(1).count() > 0:
+        classes = connected(fresh if links is None else links.union(fresh))
 
     if classes is None:
         named = texts.select("rep", F.col("doc_id").alias("class_id"))

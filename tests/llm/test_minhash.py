@@ -4,16 +4,19 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from termwell.llm.common import shingle_hashes, word_hashes
 from termwell.llm.minhash import (
     COUNTERS,
+    block_links,
     connected,
     near_duplicates,
     prob_minhash,
     probability_jaccard,
     rare_prefix,
+    shared_weights,
     weighted_shingles,
 )
 
@@ -163,3 +166,97 @@ def test_large_buckets_are_searched_whole(spark, rows, monkeypatch):
         monkeypatch.setattr(module, name, value)
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     assert Counter(tuple(r) for r in near_duplicates(df).collect()) == plain_classes(rows)
+
+
+def test_small_cells_are_searched_whole(spark, rows, monkeypatch):
+    """As above, with blocks of a few sets and matrices of a few shingles."""
+    import termwell.llm.minhash as module
+
+    for name, value in (("MIDDLE_BUCKET", 1), ("RANDOM_ROUNDS", 0), ("BLOCK_ROWS", 3), ("MATRIX_ITEMS", 7), ("FEW_PAIRS", 2)):
+        monkeypatch.setattr(module, name, value)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_duplicates(df).collect()) == plain_classes(rows)
+
+
+def some_sets(rng, n, most):
+    out = []
+    for _ in range(n):
+        items = np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint32)
+        out.append((items, rng.integers(1, most + 1, len(items)).astype(np.int32)))
+    return out
+
+
+def test_shared_weights(monkeypatch):
+    import termwell.llm.minhash as module
+
+    rng = np.random.default_rng(7)
+    for few, width, most in ((0, 5, 1), (16, 4, 3), (10 ** 6, 9, 2), (40, 1000, 1)):
+        monkeypatch.setattr(module, "FEW_PAIRS", few)
+        monkeypatch.setattr(module, "MATRIX_ITEMS", width)
+        left, right = some_sets(rng, 9, most), some_sets(rng, 14, most)
+        mine, theirs = shared_weights(left, right)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                assert mine[i, j] == a[1][np.isin(a[0], b[0])].sum() and theirs[i, j] == b[1][np.isin(b[0], a[0])].sum()
+    apart = [(np.array([k], np.uint32), np.ones(1, np.int32)) for k in range(2)]
+    assert [x.tolist() for x in shared_weights(apart[:1], apart[1:])] == [[[0.0]], [[0.0]]]
+
+
+def test_block_links_join_the_classes_that_are_linked():
+    rng = np.random.default_rng(8)
+    base = some_sets(rng, 6, 2)
+    sets = [(a[0][kept], a[1][kept]) for a in base for _ in range(5) for kept in [rng.random(len(a[0])) < 0.95] if kept.any()]
+    block, of = rng.integers(0, 2, len(sets)), rng.integers(0, 20, len(sets))
+
+    def joined(links):
+        parent = {int(c): int(c) for c in of}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[top(int(of[a]))] = top(int(of[b]))
+        groups = {}
+        for c in parent:
+            groups.setdefault(top(c), set()).add(c)
+        return sorted(map(sorted, groups.values()))
+
+    for lo, hi in ((0, 1), (0, 0)):
+        there = [k for k in range(len(sets)) if block[k] in (lo, hi)]
+        table = pa.table({
+            "block": block[there], "lo": np.full(len(there), lo), "hi": np.full(len(there), hi), "rep": np.array(there), "class": of[there],
+            "items": pa.array([sets[k][0].tobytes() for k in there], pa.binary()), "counts": pa.array([sets[k][1].tobytes() for k in there], pa.binary())})
+        links = list(zip(*(block_links(table).column(c).to_pylist() for c in "ab"), strict=True))
+        every = [(i, j) for i in there for j in there if block[i] == lo and block[j] == hi and of[i] != of[j]
+                 and probability_jaccard(sets[i], sets[j]) >= 0.8]
+        assert joined(links) == joined(every) and 0 < len(links) < len(set(of.tolist())) and set(links) <= {tuple(sorted(p)) for p in every}
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """Texts just below the threshold that share rare shingles: their pairs, a square of the group, are no rows."""
+    import termwell.llm.minhash as module
+
+    stored, tables = module.stored, {}
+
+    def counting(df, label):
+        out = stored(df, label)
+        tables[label] = tables.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(module, "stored", counting)
+    monkeypatch.setattr(module, "RANDOM_ROUNDS", -1)
+    monkeypatch.setattr(module, "MIDDLE_BUCKET", 0)
+    rng, n, base, texts = random.Random(9), 200, [f"w{k}" for k in range(100)], []
+    for _ in range(n):
+        places = rng.sample(range(7, 100, 14), 3)  # of seven, each edited in one of two ways
+        texts.append(" ".join(f"{w}{rng.choice('xy')}" if k in places else w for k, w in enumerate(base)) + f" own{rng.random()}")
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets, classes = [weighted_shingles(word_hashes(t)) for t in texts], list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if classes[i] != classes[j] and probability_jaccard(sets[i], sets[j]) >= 0.8:
+                classes = [min(classes[i], classes[j]) if c in (classes[i], classes[j]) else c for c in classes]
+    assert dict(tuple(r) for r in found.collect()) == dict(enumerate(classes)) and 3 < len(set(classes)) < n
+    assert tables["pairs"] <= 16 * n and tables["close"] <= 16 * n, tables
